@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import langid, mixing, quality
+from .runtime import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +18,19 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op5_mix_sources": op5_mix_sources}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    model = langid.fit(docs, where=~held)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, where=crc_mod("doc_id", 5) != 0)
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op10_quality": op10_quality}
 ORACLES = {"op5_mix_sources": mixing.ORACLE}
