@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality
+from . import decontam, langid, mixing, quality
 from .runtime import crc_mod
 
 
@@ -25,6 +25,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontam.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select(
+        F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, where=crc_mod("doc_id", 5) != 0)
@@ -32,5 +40,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op10_quality": op10_quality}
-ORACLES = {"op5_mix_sources": mixing.ORACLE}
+QUERIES = {"op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op8_decontaminate": op8_decontaminate, "op10_quality": op10_quality}
+ORACLES = {"op5_mix_sources": mixing.ORACLE, "op8_decontaminate": decontam.ORACLE}
