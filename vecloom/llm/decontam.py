@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .runtime import stored
+from .runtime import bounded_batches, stored
 
 #: Text in one block of the index.
 BLOCK = 2 << 20
@@ -42,9 +42,13 @@ SEPARATOR[0x00:0x30] = SEPARATOR[0x3A:0x61] = SEPARATOR[0x7B:0x80] = True
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signed 64-bit term ids and the document of each token."""
-    low = V.LOWER[data]
-    start, end, doc = V.words(low, off, SEPARATOR)
-    return V.span_hash(V.prefix_sums(low), start, end).view(np.int64), doc
+    ids, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, _, part, o in V.blocks(data, off):
+        low = V.LOWER[part]
+        start, end, doc = V.words(low, o, SEPARATOR)
+        ids.append(V.span_hash(V.prefix_sums(low), start, end).view(np.int64))
+        docs.append(doc + i)
+    return np.concatenate(ids), np.concatenate(docs)
 
 
 @dataclass(frozen=True)
@@ -199,6 +203,7 @@ def match(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc
 
     proximity: instead of exact phrases, windows whose terms all lie within so many words of their rarest one.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     size = items.select(F.sum(F.length(item_text).cast("long"))).first()[0] or 0
     parts = max(1, math.ceil(size / ITEM_BYTES))

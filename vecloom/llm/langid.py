@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
+from .runtime import bounded_batches
 
 #: The broadcast matrix may not be larger than this (languages x buckets x 4 bytes).
 MAX_MODEL_BYTES = 256 << 20
@@ -70,6 +71,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = (rows if where is None else rows.where(where)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     size = 1 << bits
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -106,6 +108,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (posterior probability of that language)."""
+    bounded_batches(docs.sparkSession)
     kept = docs.columns
     flagged = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     if not model.languages:

@@ -40,6 +40,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound Arrow batches by bytes: whole texts vary in length, and batches are held on both sides of the socket."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32(doc_id as text) mod n, the hold-out rule of the queries; null stays null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

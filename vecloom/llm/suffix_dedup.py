@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .runtime import stored
+from .runtime import bounded_batches, stored
 
 LENGTH = 200
 #: Anchors are picked among substrings of this share of the length.
@@ -231,6 +231,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     """(d, t, spans): for each document key with repeats its marked (start, stop) stretches, not merged."""
     if not 16 <= gram <= length - 72 or length < 160:
         raise ValueError("gram must lie between 16 and length - 72")
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text")).where(F.octet_length(text_col) >= length)

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer single document forms its own block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _MULT = U64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240607))
