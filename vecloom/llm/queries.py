@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, suffix_dedup
+from . import decontam, langid, mixing, near_dup, quality, suffix_dedup
 from .runtime import crc_mod
 
 
@@ -18,6 +18,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -45,5 +49,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op8_decontaminate": op8_decontaminate, "op10_quality": op10_quality}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op8_decontaminate": op8_decontaminate, "op10_quality": op10_quality}
 ORACLES = {"op5_mix_sources": mixing.ORACLE, "op8_decontaminate": decontam.ORACLE}
