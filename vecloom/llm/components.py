@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import stored as _stored
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -16,7 +16,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     number is logarithmic. Minima are pre-aggregated before shuffles, so a node with a third of all links is fine.
     """
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    left = stored(pairs, f"{name}-links")
+    left = _stored(pairs, f"{name}-links")
+    n = left.count()
+    # every table below has at most a row for each end of a link
+    stored = lambda df, table: _stored(df, table, 2 * n)
     label = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
     label = stored(label, f"{name}-labels")
     while True:

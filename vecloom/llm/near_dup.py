@@ -37,7 +37,7 @@ from .runtime import bounded_batches, stored
 SHINGLE = 5
 CHUNKS, WIDTH, B_BITS = 16, 4, 16
 #: Rows of a range bucket; shingles in a block of a large candidate group.
-BUCKET_ROWS, BLOCK_SHINGLES = 400_000, 400_000
+BUCKET_ROWS, BLOCK_SHINGLES = 400_000, 1_500_000
 _rng = np.random.Generator(np.random.PCG64(11))
 _A = _rng.integers(0, 2**64, CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**64, CHUNKS * WIDTH, dtype=np.uint64)
@@ -149,21 +149,30 @@ def exact_links(value: np.ndarray, first: np.ndarray, left: np.ndarray, right: n
             i = parent[i]
         return i
 
-    other = right[size[right] > 0]
-    if not len(other):
+    right = right[size[right] > 0]
+    if not len(right):
         return []
-    rows = np.concatenate([ids[first[j] : first[j + 1]] for j in other])
-    at = np.cumsum(size[other]) - size[other]
+    same = np.array_equal(left, right)
+    right = right[np.argsort(size[right], kind="stable")]
+    if same:
+        left = right
+    rows = np.concatenate([ids[first[j] : first[j + 1]] for j in right])
+    sizes = size[right]
+    at = np.r_[0, np.cumsum(sizes)]
     mark, found = np.zeros(int(ids.max()) + 1, np.int32), []
-    for i in left:
-        own = ids[first[i] : first[i + 1]]
-        if not len(own):
+    for x, i in enumerate(left):
+        n = int(size[i])
+        # only sets of a similar size can be linked; within one block each pair is seen from its smaller set
+        low = x + 1 if same else int(np.searchsorted(sizes, -(-n * percent // 100)))
+        high = int(np.searchsorted(sizes, n * 100 // percent, side="right"))
+        if not n or low >= high:
             continue
+        own = ids[first[i] : first[i + 1]]
         mark[own] = 1
-        common = np.add.reduceat(mark[rows], at)
+        common = np.add.reduceat(mark[rows[at[low] : at[high]]], at[low:high] - at[low])
         mark[own] = 0
-        near = other[(100 * common >= percent * (size[i] + size[other] - common)) & (other != i)]
-        for j in near.tolist():
+        near = right[low:high][100 * common >= percent * (n + sizes[low:high] - common)]
+        for j in near[near != i].tolist():
             a, b = root(int(i)), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -174,8 +183,8 @@ def exact_links(value: np.ndarray, first: np.ndarray, left: np.ndarray, right: n
 def _confirm(k: int, percent: int):
     def confirm(table):
         table = table.sort_by([("g", "ascending"), ("c", "ascending")])
-        data, off = V.arrow_text(table["text"])
-        docs, values = [], []
+        data, off = V.unpack(table["z"], table["size"].to_numpy())
+        docs, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for i, _, part, o in V.blocks(data, off):
             d, v = shingle_sets(part, o, k)
             docs.append(d + i)
@@ -212,20 +221,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(keyed.mapInArrow(_set_rows(k), SETS), "near-sets")
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "t", "signature")).alias("m"))
     # the class id is its smallest id; texts of one id that differ are told apart by their hash
-    classes = stored(classes.select("s1", "s2", "n", "m.d", "m.t", "m.signature", F.xxhash64("m.d", "s1", "s2").alias("c")), "near-classes")
+    classes = stored(classes.select("s1", "s2", "n", "m.d", "m.t", "m.signature", F.xxhash64("m.d", "s1", "s2").alias("c")), "near-classes", sets.count())
     group = components(candidate_links(classes, parts), "near-candidates")
 
     member = classes.select("c", "d", "t", "n").join(group.select(F.col("node").alias("c"), F.col("label").alias("g")), "c")
     size = member.groupBy("g").agg(F.sum("n").alias("total"))
     blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
     member = member.join(size, "g").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-    member = stored(member.select("g", "c", "d", "t", "n", "blocks", "block"), "near-members")
+    member = stored(member.select("g", "c", "d", "t", "n", "blocks", "block"), "near-members", group.count())
     small = max(1, (member.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // (2 * BLOCK_SHINGLES))
     # a group of one block shares a task with others; in a larger one each pair of blocks is a task
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("g").alias("task"), F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
     one = F.array(F.struct(F.pmod(F.xxhash64("g"), F.lit(small)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    texts = keyed.join(member, ["d", "t"])
-    dealt = texts.select("g", "c", "block", "text", F.explode(F.when(F.col("blocks") == 1, one).otherwise(pairs)).alias("p")).select("g", "c", "block", "text", "p.*")
+    texts = V.packed(keyed).join(member.drop("n").hint("merge"), ["d", "t"])
+    dealt = texts.select("g", "c", "block", "z", "size", F.explode(F.when(F.col("blocks") == 1, one).otherwise(pairs)).alias("p")).select("g", "c", "block", "z", "size", "p.*")
     links = dealt.groupBy("task", "i", "j").applyInArrow(_confirm(k, percent), "a long, b long")
     joined = components(links, "near-links")
 

@@ -147,3 +147,24 @@ def distinct_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.n
     keep = np.ones(len(doc), bool)
     keep[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     return doc[keep], value[keep]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        data, off = arrow_text(batch.column(2))
+        raw = memoryview(data)
+        small = [codec.compress(raw[a:b], asbytes=True) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary()), pa.array(np.diff(off))], ["d", "t", "z", "size"])
+
+
+def packed(keyed):
+    """(d, t, text) -> (d, t, z, size) with compressed bytes: a third of what a shuffle of texts would write."""
+    return keyed.mapInArrow(_pack, "d long, t long, z binary, size long")
+
+
+def unpack(z: pa.Array, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of packed texts."""
+    codec, sizes = pa.Codec("zstd"), size.tolist()
+    parts = [codec.decompress(x.as_buffer(), n, asbytes=True) if n else b"" for x, n in zip(z, sizes, strict=True)]
+    return np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum(size)].astype(np.int64)
