@@ -42,7 +42,7 @@ LENGTH = 200
 #: Anchors are picked among substrings of this share of the length.
 GRAM = 80
 #: Rows and bytes that one bucket is planned to hold.
-BUCKET_ROWS, BUCKET_SPANS = 400_000, 20_000
+BUCKET_ROWS, BUCKET_SPANS = 200_000, 8_000
 _PLACE = 0xFFFFF
 
 ANCHORS = "k long, f long, d long, t long, start int, n int"
@@ -145,8 +145,8 @@ def _cut_spans(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, off = V.arrow_text(batch.column(2))
-            wanted = batch.column(3)
+            data, off = V.unpack(batch.column(2), batch.column(3).to_numpy())
+            wanted = batch.column(4)
             doc = np.repeat(np.arange(len(batch)), np.diff(wanted.offsets.to_numpy()))
             kind, k, start, n = (wanted.flatten().field(c).to_numpy() for c in range(4))
             begin = off[doc] + start
@@ -244,16 +244,14 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
         F.sum(F.when(F.col("kind") == 3, 1).otherwise(2)).alias("c"), F.min(F.struct("d", "t", "start", "n")).alias("one"),
         F.collect_list(F.when(F.col("kind") == 3, F.struct("d", "t", "start", "n"))).alias("singles"),  # at most one a bucket
     )
-    edges = stored(edges, "suffix-edges")
     open_k = edges.groupBy("k").agg(F.count(F.lit(1)).alias("variants"), F.min("c").alias("least")).where("variants >= 2 AND least = 1").select("k")
     more = edges.where("c >= 2").select(F.explode("singles").alias("s")).select("s.*")
     unsure = edges.join(open_k, "k").select(F.when(F.col("c") == 1, 1).otherwise(2).alias("kind"), "k", "one.*")
     unsure = marks.where("kind IN (1, 2)").select("kind", "k", "d", "t", "start", "n").unionByName(unsure)
     wanted = unsure.groupBy("d", "t").agg(F.collect_list(F.struct("kind", "k", "start", "n")).alias("wanted"))
-    cut = keyed.join(wanted, ["d", "t"]).select("d", "t", "text", "wanted").mapInArrow(_cut_spans(length), SPANS)
-    spans = stored(cut, "suffix-spans")
-    buckets = _spread(spans.count(), parts, BUCKET_SPANS)
-    found = stored(spans.repartitionByRange(buckets, "k", "d", "start").mapInArrow(_compare_bucket(length), WINDOWS), "suffix-windows")
+    cut = V.packed(keyed).join(wanted.hint("merge"), ["d", "t"]).select("d", "t", "z", "size", "wanted").mapInArrow(_cut_spans(length), SPANS)
+    buckets = _spread(marks.where("kind IN (1, 2)").count(), parts, BUCKET_SPANS)
+    found = stored(cut.repartitionByRange(buckets, "k", "d", "start").mapInArrow(_compare_bucket(length), WINDOWS), "suffix-windows")
     across = found.where("kind >= 3").groupBy("a", "b").agg(
         F.sum(F.when(F.col("kind") == 4, 2).otherwise(1)).alias("c"), F.collect_list(F.when(F.col("kind") == 3, F.struct("d", "t", "start", "stop"))).alias("singles"),
     ).where("c >= 2").select(F.explode("singles").alias("s")).select("s.*")
