@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, near_dup, quality, suffix_dedup
+from . import decontam, langid, mixing, near_dup, quality, suffix_dedup, topk
 from .runtime import crc_mod
 
 
@@ -22,6 +22,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -49,5 +53,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op8_decontaminate": op8_decontaminate, "op10_quality": op10_quality}
-ORACLES = {"op5_mix_sources": mixing.ORACLE, "op8_decontaminate": decontam.ORACLE}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_top_k": op2_top_k, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op8_decontaminate": op8_decontaminate, "op10_quality": op10_quality}
+ORACLES = {"op2_top_k": topk.ORACLE, "op5_mix_sources": mixing.ORACLE, "op8_decontaminate": decontam.ORACLE}
