@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, near_dup, quality, suffix_dedup, topk, warc
+from . import decontam, langid, mixing, near_dup, ppm, quality, suffix_dedup, topk, warc
 from .runtime import crc_mod
 
 
@@ -38,6 +38,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    return ppm.score(docs.select("doc_id", held.alias("held_out"), "text"), ~F.col("held_out"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -57,5 +63,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_top_k": op2_top_k, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op7_warc": op7_warc, "op8_decontaminate": op8_decontaminate, "op10_quality": op10_quality}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_top_k": op2_top_k, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op6_ppm_score": op6_ppm_score, "op7_warc": op7_warc, "op8_decontaminate": op8_decontaminate, "op10_quality": op10_quality}
 ORACLES = {"op2_top_k": topk.ORACLE, "op5_mix_sources": mixing.ORACLE, "op7_warc": warc.ORACLE, "op8_decontaminate": decontam.ORACLE}
