@@ -45,21 +45,23 @@ GRAM = 80
 BUCKET_ROWS, BUCKET_SPANS = 200_000, 8_000
 _PLACE = 0xFFFFF
 
-ANCHORS = "k long, f long, d long, t long, start int, n int"
-MARKS = "kind int, k long, f long, d long, t long, start int, n int"
-SPANS = "kind int, k long, d long, t long, start int, n int, bytes binary"
-WINDOWS = "kind int, a long, b long, d long, t long, start int, stop int"
+ANCHORS = "k long, f long, d long, t long, start int, n int, anchor int"
+MARKS = "kind int, k long, f long, d long, t long, start int, n int, anchor int"
+SPANS = "kind int, k long, d long, t long, start int, n int, anchor int, bytes binary"
+WINDOWS = "kind int, core long, d long, t long, start int, stop int, items array<struct<kind int, a long, b long, start int, stop int>>"
+#: Strings at an edge travel together if their distances from the anchor differ by less than this.
+STRIDE = 8
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, k, f, start, count) of the runs of strings that share an anchor; a block of at most 2**20 bytes."""
+    """(document, k, f, start, count, distance from start to anchor) of the runs of strings that share an anchor; a block of at most 2**20 bytes."""
     sums = V.prefix_sums(data)
     h = V.window_hash(sums, gram)
     w = length - gram + 1
     n = len(h) - w + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return z, z, z, z, z, z
     low = (h & ~np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while span * 2 <= w:
@@ -71,13 +73,13 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     inside = np.arange(n) + length <= off[doc + 1]
     p = np.flatnonzero(inside)
     if not len(p):
-        return p, p, p, p, p
+        return p, p, p, p, p, p
     at, doc = at[p], doc[p]
     cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     first, last, at, doc = p[cut], p[np.r_[cut[1:] - 1, len(p) - 1]], at[cut], doc[cut]
     lead = (data[at].astype(np.uint64) << np.uint64(56)) | (data[at + 1].astype(np.uint64) << np.uint64(48)) | (data[at + 2].astype(np.uint64) << np.uint64(40))
     k = lead | (h[at] >> np.uint64(24))
-    return doc, k.view(np.int64), V.span_hash(sums, first, last + length).view(np.int64), first - off[doc], last - first + 1
+    return doc, k.view(np.int64), V.span_hash(sums, first, last + length).view(np.int64), first - off[doc], last - first + 1, at - first
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -93,16 +95,16 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[in
 
 
 def _anchor_rows(length: int, gram: int):
-    names = ["k", "f", "d", "t", "start", "n"]
+    names = ["k", "f", "d", "t", "start", "n", "anchor"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, off = V.arrow_text(batch.column(2))
             for i, part, o, s in _pieces(data, off, length):
-                doc, k, f, start, n = anchors(part, o, length, gram)
+                doc, k, f, start, n, anchor = anchors(part, o, length, gram)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f), pa.array(d[i + doc]), pa.array(t[i + doc]), pa.array((start + s).astype(np.int32)), pa.array(n.astype(np.int32))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f), pa.array(d[i + doc]), pa.array(t[i + doc]), pa.array((start + s).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int32))], names)
 
     return rows
 
@@ -122,9 +124,9 @@ def _mark_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got or not sum(len(b) for b in got):
         return
     table = pa.Table.from_batches(got)
-    k, f, d, t, start, n = (table[c].to_numpy() for c in ("k", "f", "d", "t", "start", "n"))
+    k, f, d, t, start, n, anchor = (table[c].to_numpy() for c in ("k", "f", "d", "t", "start", "n", "anchor"))
     order = np.lexsort((start, d, f, k))
-    k, f, d, t, start, n = k[order], f[order], d[order], t[order], start[order], n[order]
+    k, f, d, t, start, n, anchor = (c[order] for c in (k, f, d, t, start, n, anchor))
     gk, g = _runs(k), _runs(k, f)
     size = np.bincount(g)
     first = np.r_[True, g[1:] != g[:-1]]
@@ -136,11 +138,11 @@ def _mark_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(rows)
         for i in range(0, len(at), 100_000):
             j = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), kind, np.int32)), *(pa.array(c[j]) for c in (k, f, d, t, start, n))], ["kind", "k", "f", "d", "t", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), kind, np.int32)), *(pa.array(c[j]) for c in (k, f, d, t, start, n, anchor))], ["kind", "k", "f", "d", "t", "start", "n", "anchor"])
 
 
 def _cut_spans(length: int):
-    names = ["kind", "k", "d", "t", "start", "n", "bytes"]
+    names = ["kind", "k", "d", "t", "start", "n", "anchor", "bytes"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,11 +150,11 @@ def _cut_spans(length: int):
             data, off = V.unpack(batch.column(2), batch.column(3).to_numpy())
             wanted = batch.column(4)
             doc = np.repeat(np.arange(len(batch)), np.diff(wanted.offsets.to_numpy()))
-            kind, k, start, n = (wanted.flatten().field(c).to_numpy() for c in range(4))
+            kind, k, start, n, anchor = (wanted.flatten().field(c).to_numpy() for c in range(5))
             begin = off[doc] + start
             raw = data.tobytes()
             cut = [raw[b : b + m] for b, m in zip(begin.tolist(), (n + length - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(k), pa.array(d[doc]), pa.array(t[doc]), pa.array(start), pa.array(n), pa.array(cut, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(k), pa.array(d[doc]), pa.array(t[doc]), pa.array(start), pa.array(n), pa.array(anchor), pa.array(cut, pa.binary())], names)
 
     return rows
 
@@ -178,15 +180,17 @@ def multikey_classes(keys: list, n: int) -> np.ndarray:
 
 
 def _compare_bucket(length: int):
-    names = ["kind", "a", "b", "d", "t", "start", "stop"]
+    names = ["kind", "core", "d", "t", "start", "stop", "items"]
+    item = pa.struct([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: stretch of repeated strings. 3, 4: single or repeated string of a suffix at an edge of the bucket."""
+        """kind 0: stretch of repeated strings. 1: strings of a suffix at an edge of the bucket, by the bytes that they
+        have in common; items of kind 3 are single here, of 4 repeated (one each), of 5 single and need no mark."""
         got = list(batches)
         if not got or not sum(len(b) for b in got):
             return
         table = pa.Table.from_batches(got).combine_chunks()
-        kind, k, d, t, start, n = (table[c].to_numpy() for c in ("kind", "k", "d", "t", "start", "n"))
+        kind, k, d, t, start, n, anchor = (table[c].to_numpy() for c in ("kind", "k", "d", "t", "start", "n", "anchor"))
         column = table["bytes"].chunk(0) if table["bytes"].num_chunks else table["bytes"].combine_chunks()
         data, off = V.arrow_text(column)
         sums = V.prefix_sums(data)
@@ -206,19 +210,27 @@ def _compare_bucket(length: int):
             hit = hit[cut]
             s = span[hit]
             z = np.zeros(len(s), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int32)), pa.array(z), pa.array(z), pa.array(d[s]), pa.array(t[s]), pa.array((start[s] + inner[hit]).astype(np.int32)), pa.array((start[s] + inner[last] + length).astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int32)), pa.array(z), pa.array(d[s]), pa.array(t[s]), pa.array((start[s] + inner[hit]).astype(np.int32)), pa.array((start[s] + inner[last] + length).astype(np.int32)), pa.nulls(len(s), pa.list_(item))], names)
         edge = (k == k.min()) | (k == k.max())
         one = np.zeros(len(at), bool)
         one[np.unique(cls, return_index=True)[1]] = True
-        for code, some in ((3, (cls < 0)), (4, (cls >= 0) & one)):
-            r = np.flatnonzero(some & edge[span])
-            for i in range(0, len(r), 100_000):
-                j = r[i : i + 100_000]
-                s = span[j]
-                a, b = V.span_hash(sums, at[j], at[j] + 72), rest(j)
-                # a single string of a stretch that is repeated elsewhere counts, but needs no mark
-                c = np.where(code == 3, np.where(mine[j], 3, 5), 4).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d[s]), pa.array(t[s]), pa.array((start[s] + inner[j]).astype(np.int32)), pa.array((start[s] + inner[j] + length).astype(np.int32))], names)
+        r = np.flatnonzero(((cls < 0) | one) & edge[span])
+        step = (anchor[span[r]] - inner[r]) // STRIDE
+        order = np.lexsort((step, span[r]))
+        r, step = r[order], step[order]
+        cut = np.flatnonzero(np.r_[True, (span[r][1:] != span[r][:-1]) | (step[1:] != step[:-1])]) if len(r) else r
+        for i in range(0, len(cut), 20_000):
+            c = cut[i : i + 20_000]
+            stop = int(cut[i + 20_000]) if i + 20_000 < len(cut) else len(r)
+            j, s = r[c[0] : stop], span[r[c]]
+            begin = off[s] + anchor[s] - step[c] * STRIDE
+            core = V.span_hash(sums, begin, begin + length - STRIDE + 1).view(np.int64)
+            code = np.where(cls[j] >= 0, 4, np.where(mine[j], 3, 5)).astype(np.int32)
+            first = (start[span[j]] + inner[j]).astype(np.int32)
+            items = pa.StructArray.from_arrays([pa.array(code), pa.array(V.span_hash(sums, at[j], at[j] + 72).view(np.int64)), pa.array(rest(j).view(np.int64)), pa.array(first), pa.array(first + np.int32(length))], fields=list(item))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[c - c[0], len(j)].astype(np.int32)), items)
+            z = np.zeros(len(c), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(z + np.int32(1)), pa.array(core), pa.array(d[s]), pa.array(t[s]), pa.array(z), pa.array(z), lists], names)
 
     return rows
 
@@ -241,19 +253,21 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     marks = stored(rows.repartitionByRange(_spread(size // per_anchor, parts, BUCKET_ROWS), "k", "f", "d", "start").mapInArrow(_mark_bucket, MARKS), "suffix-marks")
 
     edges = marks.where("kind >= 3").groupBy("k", "f").agg(
-        F.sum(F.when(F.col("kind") == 3, 1).otherwise(2)).alias("c"), F.min(F.struct("d", "t", "start", "n")).alias("one"),
-        F.collect_list(F.when(F.col("kind") == 3, F.struct("d", "t", "start", "n"))).alias("singles"),  # at most one a bucket
+        F.sum(F.when(F.col("kind") == 3, 1).otherwise(2)).alias("c"), F.min(F.struct("d", "t", "start", "n", "anchor")).alias("one"),
+        F.collect_list(F.when(F.col("kind") == 3, F.struct("d", "t", "start", "n", "anchor"))).alias("singles"),  # at most one a bucket
     )
     open_k = edges.groupBy("k").agg(F.count(F.lit(1)).alias("variants"), F.min("c").alias("least")).where("variants >= 2 AND least = 1").select("k")
     more = edges.where("c >= 2").select(F.explode("singles").alias("s")).select("s.*")
     unsure = edges.join(open_k, "k").select(F.when(F.col("c") == 1, 1).otherwise(2).alias("kind"), "k", "one.*")
-    unsure = marks.where("kind IN (1, 2)").select("kind", "k", "d", "t", "start", "n").unionByName(unsure)
-    wanted = unsure.groupBy("d", "t").agg(F.collect_list(F.struct("kind", "k", "start", "n")).alias("wanted"))
+    unsure = marks.where("kind IN (1, 2)").select("kind", "k", "d", "t", "start", "n", "anchor").unionByName(unsure)
+    wanted = unsure.groupBy("d", "t").agg(F.collect_list(F.struct("kind", "k", "start", "n", "anchor")).alias("wanted"))
     cut = V.packed(keyed).join(wanted.hint("merge"), ["d", "t"]).select("d", "t", "z", "size", "wanted").mapInArrow(_cut_spans(length), SPANS)
     buckets = _spread(marks.where("kind IN (1, 2)").count(), parts, BUCKET_SPANS)
     found = stored(cut.repartitionByRange(buckets, "k", "d", "start").mapInArrow(_compare_bucket(length), WINDOWS), "suffix-windows")
-    across = found.where("kind >= 3").groupBy("a", "b").agg(
-        F.sum(F.when(F.col("kind") == 4, 2).otherwise(1)).alias("c"), F.collect_list(F.when(F.col("kind") == 3, F.struct("d", "t", "start", "stop"))).alias("singles"),
+    shared = found.where("kind = 1")
+    shared = shared.join(shared.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("core"), "core")
+    across = shared.select("d", "t", F.explode("items").alias("i")).select("d", "t", "i.*").groupBy("a", "b").agg(
+        F.sum(F.when(F.col("kind") == 4, 2).otherwise(1)).alias("c"), F.collect_list(F.when(F.col("kind") == 3, F.struct("d", "t", "start", "stop"))).alias("singles"),  # at most one a bucket
     ).where("c >= 2").select(F.explode("singles").alias("s")).select("s.*")
 
     stop = (F.col("start") + F.col("n") - 1 + length).alias("stop")
