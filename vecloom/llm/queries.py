@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, near_dup, ppm, quality, suffix_dedup, topk, warc
+from . import chat, decontam, langid, mixing, near_dup, ppm, quality, suffix_dedup, topk, warc
 from .runtime import crc_mod
 
 
@@ -56,6 +56,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text", "reply_to", "n_quotes", "n_linked", "depth", "thread")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, where=crc_mod("doc_id", 5) != 0)
@@ -63,5 +67,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_top_k": op2_top_k, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op6_ppm_score": op6_ppm_score, "op7_warc": op7_warc, "op8_decontaminate": op8_decontaminate, "op10_quality": op10_quality}
-ORACLES = {"op2_top_k": topk.ORACLE, "op5_mix_sources": mixing.ORACLE, "op7_warc": warc.ORACLE, "op8_decontaminate": decontam.ORACLE}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_top_k": op2_top_k, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op5_mix_sources": op5_mix_sources, "op6_ppm_score": op6_ppm_score, "op7_warc": op7_warc, "op8_decontaminate": op8_decontaminate, "op9_chat": op9_chat, "op10_quality": op10_quality}
+ORACLES = {"op2_top_k": topk.ORACLE, "op5_mix_sources": mixing.ORACLE, "op7_warc": warc.ORACLE, "op8_decontaminate": decontam.ORACLE, "op9_chat": chat.ORACLE}
