@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectext as V
@@ -42,6 +42,7 @@ _rng = np.random.Generator(np.random.PCG64(11))
 _A = _rng.integers(0, 2**64, CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**64, CHUNKS * WIDTH, dtype=np.uint64)
 
+NO_ID = 2**63 - 1
 SETS = "d long, t long, n long, s1 long, s2 long, signature binary"
 
 
@@ -205,8 +206,13 @@ def _confirm(k: int, percent: int):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 75) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (smallest id of its group), kept.
+def document_key(id_col: str, text_col: str) -> list:
+    """(d, t): a row's id, null ordered after all others so that it never represents a group with another id; its text's hash."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text_col).alias("t")]
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 75) -> DataFrame:
+    """(d, t, n, component): one row for each row of docs, by its key; component is the smallest id of its group.
 
     percent: links need 100 * |intersection| >= percent * |union| of the shingle sets (70 to 100: the signature
     distance that the join guarantees is set for 75 and more).
@@ -216,8 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a null id is ordered after all others, so that it represents a group only if no other id is there
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    keyed = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
     sets = stored(keyed.mapInArrow(_set_rows(k), SETS), "near-sets")
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "t", "signature")).alias("m"))
     # the class id is its smallest id; texts of one id that differ are told apart by their hash
@@ -241,6 +246,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reach = classes.select("s1", "s2", "n", "c", "d").join(joined, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c"))
     smallest = reach.groupBy("label").agg(F.min("d").alias("component"))
     reach = reach.join(smallest, "label").select("s1", "s2", "n", "component")
-    out = sets.select("d", "s1", "s2", "n").join(reach, ["s1", "s2", "n"], "left").withColumn("component", F.coalesce("component", "d"))
-    known = lambda x: F.when(F.col(x) != 2**63 - 1, F.col(x))
+    out = sets.select("d", "t", "s1", "s2", "n").join(reach, ["s1", "s2", "n"], "left")
+    return out.select("d", "t", "n", F.coalesce("component", "d").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 75) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id (smallest id of its group), kept."""
+    out = groups(docs, id_col, text_col, k, percent)
+    known = lambda x: F.when(F.col(x) != NO_ID, F.col(x))
     return out.select(known("d").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 75) -> DataFrame:
+    """docs with one row of each group: that of the smallest id. Rows without words stay, but for repeats of a row."""
+    found = groups(docs, id_col, text_col, k, percent)
+    first = found.where("n > 0").groupBy("component").agg(F.min(F.struct("d", "t")).alias("m")).select("m.d", "m.t")
+    keep = first.unionByName(found.where("n = 0").select("d", "t")).distinct()
+    names = docs.columns
+    d, t = document_key(id_col, text_col)
+    rows = docs.select("*", d.alias("_d"), t.alias("_t")).join(keep.select(F.col("d").alias("_d"), F.col("t").alias("_t")), ["_d", "_t"])
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_t").orderBy(F.lit(0)))).where("_n = 1").select(*names)

@@ -281,13 +281,16 @@ def document_key(id_col: str, text_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(text_col).alias("t")]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with kept (binary: what remains), n_bytes, n_removed, n_spans and kept_sha256."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """docs with kept (what remains), n_bytes, n_removed, n_spans and kept_sha256.
+
+    kept is binary, as a cut may split a character; as_text: a string without such halves.
+    """
     spans = repeated_spans(docs, id_col, text_col, length, gram)
     names = docs.columns
     d, t = document_key(id_col, text_col)
     joined = docs.select("*", d.alias("_d"), t.alias("_t")).join(spans.select(F.col("d").alias("_d"), F.col("t").alias("_t"), "spans"), ["_d", "_t"], "left").select(*names, F.col("spans").alias("_spans"))
-    schema = T.StructType(list(docs.schema.fields)).add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    schema = T.StructType(list(docs.schema.fields)).add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,6 +314,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone.append(lost)
                 runs.append(count)
             shas = [hashlib.sha256(x).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string())], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string())], schema.fieldNames())
 
     return joined.mapInArrow(cut, schema)
