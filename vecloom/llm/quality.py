@@ -135,7 +135,7 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 4
     return weights, float(w[-1] - mean @ weights)
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, penalty: float = 2e-4) -> Ensemble:
+def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, penalty: float = 2e-3) -> Ensemble:
     """`where` selects the rows of labels that may be learned from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known if where is None else known.where(where)
