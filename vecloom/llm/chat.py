@@ -75,14 +75,14 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     nodes = stored(nodes.select("conv_id", "turn", reply.alias("reply_to"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "chat-nodes")
 
     n = nodes.count()
-    path = nodes.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    while True:
-        step = path.select(F.col("conv_id").alias("c"), F.col("turn").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("more"))
-        path = path.join(step, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")))
-        path = stored(path.select("conv_id", "turn", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), "more"), "chat-paths", n)
-        if path.where("more > 0").isEmpty():
+    path = nodes.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("reply_to").isNull().alias("done"))
+    while True:  # paths that have reached their start take no part in further rounds
+        step = path.select(F.col("conv_id").alias("c"), F.col("turn").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("more"), F.col("done").alias("end"))
+        moved = path.where("NOT done").join(step, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")))
+        moved = moved.select("conv_id", "turn", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("end").alias("done"))
+        path = stored(path.where("done").unionByName(moved), "chat-paths", n)
+        if path.where("NOT done").isEmpty():
             break
-        path = path.drop("more")
     tree = path.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_n"), F.col("steps").alias("depth"), F.col("up").alias("thread"))
     facts = nodes.select(F.col("conv_id").alias("_fc"), F.col("turn").alias("_fn"), "reply_to", "n_quotes", "n_linked")
     tree = tree.join(facts, F.col("_c").eqNullSafe(F.col("_fc")) & (F.col("_n") == F.col("_fn"))).drop("_fc", "_fn")
