@@ -103,7 +103,8 @@ def overlay_support(edge: DataFrame, family: str = "leaf", bits: bool = True) ->
 
     bits: views that share one of 64 bits count once; of several ranks in a view the smallest counts.
     """
-    view = family_bit(family) if bits else F.col(family)
+    number = F.pmod(F.xxhash64(family), F.lit(1 << 32)) if dict(edge.dtypes)[family] == "string" else F.col(family)
+    view = family_bit(number) if bits else F.col(family)
     per = edge.withColumn("_v", view).groupBy("p", "c", "_v").agg(
         F.min("d2").alias("d2"), F.min(F.when(F.col("direct"), F.greatest(F.col("rank"), F.lit(1)))).alias("rank"), F.max((~F.col("direct")).cast("int")).alias("mirror")
     )
