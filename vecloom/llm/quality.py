@@ -160,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
 def score(docs: DataFrame, model: Ensemble, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1) and predicted (score >= threshold)."""
     stats = statistics(F.col(text_col))
-    with_stats = docs.withColumn("_stats", F.struct(*[c.alias(k) for k, c in stats.items()]))
+    # the row number is a barrier: a filter on the score must not be moved below, where each rule would compute its statistics anew
+    with_stats = docs.withColumn("_stats", F.struct(*[c.alias(k) for k, c in stats.items()], F.monotonically_increasing_id().alias("row")))
     out = with_stats.withColumn("score", model.score({k: F.col(f"_stats.{k}") for k in stats})).drop("_stats")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
