@@ -14,7 +14,8 @@ line that is everywhere costs one row; no conversation is gathered in one task.
 Null, empty, repeated: a null text is empty; a null turn answers nothing; rows
 without conversation form one of their own; rows that share conversation and
 turn are one node of the reply tree and are each returned; an empty table gives
-an empty result. Further columns are carried along.
+an empty result. Further columns are carried along; those named like the added
+ones are replaced.
 """
 
 from __future__ import annotations
@@ -57,6 +58,7 @@ def passages(messages: DataFrame) -> DataFrame:
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """messages, the text without quotes, with reply_to, n_quotes, n_linked, depth (0 at a thread's start) and thread."""
+    messages = messages.drop("reply_to", "n_quotes", "n_linked", "depth", "thread", "_c", "_n")
     m = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = m.select("conv_id", "turn", own_text(F.col("text")).alias("own"))
     units = F.flatten(F.array(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")))

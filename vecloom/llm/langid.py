@@ -7,7 +7,8 @@ of languages) is broadcast, and texts are scored in blocks with numpy gathers.
 
 Null, empty, repeated: a text that is null or has no letter is `und` with score
 0; rows with null text or null language teach nothing; ties go to the language
-first in order; without any training rows all is `und`. Further columns stay.
+first in order; without any training rows all is `und`. Further columns stay; those named like
+the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -109,6 +110,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (posterior probability of that language)."""
     bounded_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score", "_letter")
     kept = docs.columns
     flagged = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     if not model.languages:

@@ -9,7 +9,8 @@ Thresholds are nested: a larger budget keeps all that a smaller one takes.
 
 Null, empty, repeated: a null text has size 0; a null source is a source of its
 own, ordered last; rows with the same id share a hash and are taken together;
-an empty table gives an empty result; further columns are carried along.
+an empty table gives an empty result; further columns are carried along, but
+for those named like the columns that are added, which are replaced.
 """
 
 from __future__ import annotations
@@ -66,6 +67,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     A source below its target is taken whole as often as fits and the rest is drawn by hash threshold. The
     last cell is taken if that brings the source nearer to its target.
     """
+    docs = docs.drop("size", "source_size", "target", "taken", "_h", "_ks", "_whole", "_edge", "_last")
     sized = docs.select("*", word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), seed).alias("_h"))
     slim = stored(sized.select(F.col(source_col).alias("source"), "size", F.shiftright("_h", 60 - BITS).alias("_c1"), F.shiftright("_h", 60 - 2 * BITS).bitwiseAND(2**BITS - 1).alias("_c2")), "mix-sizes")
     cells = slim.groupBy("source", "_c1").agg(F.sum("size").alias("_s"))

@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 75) -> DataFrame:
     """docs with one row of each group: that of the smallest id. Rows without words stay, but for repeats of a row."""
+    docs = docs.drop("_d", "_t", "_n")
     found = groups(docs, id_col, text_col, k, percent)
     first = found.where("n > 0").groupBy("component").agg(F.min(F.struct("d", "t")).alias("m")).select("m.d", "m.t")
     keep = first.unionByName(found.where("n = 0").select("d", "t")).distinct()

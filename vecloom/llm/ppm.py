@@ -16,7 +16,8 @@ sums and the bounded tables reaches the driver.
 
 Null, empty, repeated: a null text is empty: one end token; rows with the same id
 are scored each; without training rows all bytes are equally likely and no token
-is known; an empty table gives an empty result. Further columns are carried along.
+is known; an empty table gives an empty result. Further columns are carried along;
+those named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -124,8 +125,8 @@ def code_lengths(gram: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> np.n
 
 def _block_words(table):
     """Distinct words of one block, with how often training texts hold them."""
-    data, off = V.unpack(table["z"], table["size"].to_numpy())
-    train, parts = table["train"].to_numpy(zero_copy_only=False), table["parts"][0].as_py()
+    data, off = V.unpack(table["_z"], table["_size"].to_numpy())
+    train, parts = table["_train"].to_numpy(zero_copy_only=False), table["_parts"][0].as_py()
     have: list[tuple] = []
     for i, j, part, o in V.blocks(data, off):
         low = V.LOWER[part]
@@ -145,7 +146,7 @@ def _block_words(table):
     size, s = size[first], starts[first]
     at = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(size.sum())
     word = pa.Array.from_buffers(pa.binary(), len(unique), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(raw[at].tobytes())])
-    block = np.full(len(unique), table["block"][0].as_py(), np.int32)
+    block = np.full(len(unique), table["_block"][0].as_py(), np.int32)
     return pa.table([pa.array((unique % parts).astype(np.int32)), pa.array(block), word, pa.array(unique), pa.array(total)], ["part", "block", "word", "hash", "trained"])
 
 
@@ -198,7 +199,7 @@ def _score_block(names: list[str], total: int, distinct: int):
         h, trained, cost = (words[c].to_numpy() for c in ("hash", "trained", "cost"))
         order = np.argsort(h)
         h, trained, cost = h[order], trained[order], cost[order]
-        data, off = V.unpack(docs["z"], docs["size"].to_numpy())
+        data, off = V.unpack(docs["_z"], docs["_size"].to_numpy())
         n = len(docs)
         tokens, known, base_sum, ppm = np.ones(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
         end = int(np.searchsorted(h, END_HASH))
@@ -226,23 +227,24 @@ def score(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score", *(c for c in ("_train", "_block", "_parts", "_z", "_size", "_text") if c != text_col))
     names = [c for c in docs.columns if c != text_col]
     size = docs.select(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
-    flags = docs.select(*names, F.coalesce(train, F.lit(False)).alias("train"), F.pmod(F.xxhash64(text_col, *[c for c in names if not isinstance(docs.schema[c].dataType, T.MapType)]), F.lit(parts)).cast("int").alias("block"), F.lit(parts).alias("parts"), F.col(text_col).alias("text"))
-    rest = [c for c in flags.columns if c != "text"]
-    packed_schema = T.StructType([f for f in flags.schema.fields if f.name != "text"]).add("z", "binary").add("size", "long")
+    flags = docs.select(*names, F.coalesce(train, F.lit(False)).alias("_train"), F.pmod(F.xxhash64(text_col, *[c for c in names if not isinstance(docs.schema[c].dataType, T.MapType)]), F.lit(parts)).cast("int").alias("_block"), F.lit(parts).alias("_parts"), F.col(text_col).alias("_text"))
+    rest = [c for c in flags.columns if c != "_text"]
+    packed_schema = T.StructType([f for f in flags.schema.fields if f.name != "_text"]).add("_z", "binary").add("_size", "long")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
-            data, off = V.arrow_text(batch.column(batch.schema.get_field_index("text")))
+            data, off = V.arrow_text(batch.column(batch.schema.get_field_index("_text")))
             raw = memoryview(data)
             small = [codec.compress(raw[a:b], asbytes=True) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(small, pa.binary()), pa.array(np.diff(off))], [*rest, "z", "size"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(small, pa.binary()), pa.array(np.diff(off))], [*rest, "_z", "_size"])
 
     packed = flags.mapInArrow(pack, packed_schema)
-    words = packed.select("block", "parts", "train", "z", "size").groupBy("block").applyInArrow(_block_words, WORDS)
+    words = packed.select("_block", "_parts", "_train", "_z", "_size").groupBy("_block").applyInArrow(_block_words, WORDS)
     vocabulary = stored(words.groupBy("part").applyInArrow(_part_vocabulary, VOCABULARY), "ppm-vocabulary")
     known = vocabulary.where("gram IS NULL")
     grams = vocabulary.where("gram IS NOT NULL").select("part", "gram", "n")
@@ -256,4 +258,4 @@ def score(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
     asked = grams.select(F.col("part").alias("p"), "gram").join(costs, "gram").groupBy("p")
     sent = known.select("part", "hash", "word", "trained", "blocks").groupBy("part").cogroup(asked).applyInArrow(_word_costs, "block int, hash long, trained long, cost double")
     schema = T.StructType([docs.schema[c] for c in names]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
-    return packed.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_score_block(names, int(total), int(distinct)), schema)
+    return packed.groupBy("_block").cogroup(sent.groupBy("block")).applyInArrow(_score_block(names, int(total), int(distinct)), schema)

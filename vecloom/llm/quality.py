@@ -8,7 +8,8 @@ is a plain projection over the whole table: no shuffle, no Python.
 
 Null, empty, repeated: a null text scores as an empty one; repeated rows score
 alike; with no labelled rows, or one class, the score is the (smoothed) share of
-label 1. Further columns are carried along.
+label 1. Further columns are carried along; those named like the added ones are
+replaced.
 """
 
 from __future__ import annotations
@@ -159,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
 
 def score(docs: DataFrame, model: Ensemble, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1) and predicted (score >= threshold)."""
+    docs = docs.drop("score", "predicted", "_stats")
     stats = statistics(F.col(text_col))
     # the row number is a barrier: a filter on the score must not be moved below, where each rule would compute its statistics anew
     with_stats = docs.withColumn("_stats", F.struct(*[c.alias(k) for k, c in stats.items()], F.monotonically_increasing_id().alias("row")))

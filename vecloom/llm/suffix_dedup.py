@@ -21,7 +21,8 @@ equal offsets, so all copies of a string meet at suffixes that begin alike.
 
 Null, empty, repeated: a null text is empty; texts shorter than `length` are
 untouched; a repeated row is a repeat of all its bytes; an empty table gives an
-empty result. Strings are judged on the input. Further columns are carried along.
+empty result. Strings are judged on the input. Further columns are carried along; those named
+like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -286,6 +287,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kept is binary, as a cut may split a character; as_text: a string without such halves.
     """
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "_d", "_t", "_spans")
     spans = repeated_spans(docs, id_col, text_col, length, gram)
     names = docs.columns
     d, t = document_key(id_col, text_col)
