@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     stop = (F.col("start") + F.col("n") - 1 + length).alias("stop")
     every = marks.where("kind = 0").select("d", "t", "start", stop).unionByName(more.select("d", "t", "start", stop))
     every = every.unionByName(found.where("kind = 0").select("d", "t", "start", "stop")).unionByName(across)
-    return every.groupBy("d", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return every.groupBy("d", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def document_key(id_col: str, text_col: str) -> list:
