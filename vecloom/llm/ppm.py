@@ -36,8 +36,8 @@ from .runtime import bounded_batches, stored
 ORDER = 7
 #: Text that one block is planned to hold.
 BLOCK_BYTES = 24 << 20
-#: Tasks that the trie is spread over, by context.
-TRIE_TASKS = 64
+#: The trie is spread over tasks by context: at least so many, and one for so many of its rows.
+TRIE_TASKS, TRIE_ROWS = 64, 1_000_000
 END = b"\n"
 END_HASH = int(V.span_hash(V.prefix_sums(np.frombuffer(END, np.uint8)), np.array([0]), np.array([1])).view(np.int64)[0])
 
@@ -253,7 +253,8 @@ def score(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
     for row in grams.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("p")).agg(F.sum("n").alias("n")).collect():  # at most 65,536
         pairs[row[0] >> 8, row[0] & 0xFF] = row[1]
     shared = spark.sparkContext.broadcast(pairs)
-    summed = grams.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("task", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(TRIE_TASKS)))
+    tasks = max(TRIE_TASKS, -(-grams.count() // TRIE_ROWS))
+    summed = grams.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("task", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(tasks)))
     costs = summed.groupBy("task").applyInArrow(_trie_task(shared), "gram long, cost double")
     asked = grams.select(F.col("part").alias("p"), "gram").join(costs, "gram").groupBy("p")
     sent = known.select("part", "hash", "word", "trained", "blocks").groupBy("part").cogroup(asked).applyInArrow(_word_costs, "block int, hash long, trained long, cost double")
