@@ -34,8 +34,8 @@ SCALE = 1024
 LEVELS = (4, 8, 16)
 #: Vectors in a block of candidates and of queries.
 BLOCK, QUERY_BLOCK = 4096, 512
-#: Row groups that candidate blocks are dealt to; each gets every query block.
-GROUPS = 64
+#: Vectors in one of the groups that candidate blocks are dealt to; each group gets every query block.
+GROUP_ROWS = 1 << 18
 
 
 def _pack(step: int):
@@ -118,10 +118,12 @@ def valid(vector: str) -> Column:
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad
 
 
-def top_k(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", groups: int = GROUPS) -> DataFrame:
+def top_k(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", groups: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row where `queries` holds, its k best other rows."""
     bounded_batches(rows.sparkSession)
     vectors = rows.where(F.col(id_col).isNotNull() & valid(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
+    if groups is None:
+        groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // GROUP_ROWS))
     kind = "dim int, ids binary, vectors binary"
     x = vectors.select("id", "v").mapInArrow(_pack(BLOCK), kind).select("dim", F.col("ids").alias("x_ids"), F.col("vectors").alias("x"))
     x = x.withColumn("g", F.pmod(F.xxhash64("x_ids"), F.lit(groups)).cast("int"))
