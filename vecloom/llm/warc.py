@@ -2,8 +2,8 @@
 
 Writing: records of equal payloads of at least MIN_BYTES are told apart by their
 smallest id (response) and the others (revisit, without payload); each partition
-becomes gzipped archive files of at most MAX_RECORDS records in the shared
-folder. Reading: a task looks for the record magic anywhere in a file, parses
+becomes gzipped archive files of bounded size in the shared folder, each read
+back by one task. Reading: a task looks for the record magic anywhere in a file, parses
 what follows as a header and emits (file, offset, successor's offset) for every
 candidate; pointer jumping from offset 0 keeps the records that the chain
 reaches, so magic inside a payload is rejected however real its header looks.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .runtime import bounded_batches, fresh_path
 
 MIN_BYTES = 100
-MAX_RECORDS = 4000
+#: An archive has at most so many records and, by the largest payload, so many bytes.
+MAX_RECORDS, MAX_BYTES = 4000, 256 << 20
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 RECORDS = "path string, at long, next long, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 _NAMES = [x.split()[0] for x in RECORDS.split(", ")]
@@ -53,7 +54,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
     # the writer ends each value with a line feed, the last byte of a record
-    p.select(F.concat(head, block, F.lit("\r\n\r")).alias("value")).write.option("maxRecordsPerFile", MAX_RECORDS).option("compression", "gzip").text(path)
+    largest = pages.select(F.max(F.octet_length(payload_col))).first()[0] or 0
+    records = max(1, min(MAX_RECORDS, MAX_BYTES // (largest + 1024)))
+    p.select(F.concat(head, block, F.lit("\r\n\r")).alias("value")).write.option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
 
 
 def unzip(raw: bytes) -> bytes:
