@@ -207,6 +207,8 @@ def match(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc
     spark = docs.sparkSession
     size = items.select(F.sum(F.length(item_text).cast("long"))).first()[0] or 0
     parts = max(1, math.ceil(size / ITEM_BYTES))
+    if parts > 1:  # every pass must cut the same blocks
+        docs = stored(docs.select(id_col, text_col), "decontam-docs")
     kind = docs.schema[id_col].dataType
     schema = T.StructType().add("block", "long").add("slot", "integer").add("doc", kind).add("n_words", "long").add("spans", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
     results = []

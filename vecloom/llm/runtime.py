@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_tables: list[str] = []
 _local: list[tempfile.TemporaryDirectory] = []
 
 
@@ -38,15 +39,23 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = fresh_path(spark, name)
+    _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate folder that is no longer read."""
+def written() -> int:
+    """How many intermediate tables there have been, as a mark for release()."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int, keep: str) -> None:
+    """Delete the intermediate tables written after the mark `since`, once nothing reads them; names that begin with `keep` stay."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in [p for p in _tables[since:] if not p.rpartition("/")[2].startswith(keep)]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _tables.remove(path)
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
