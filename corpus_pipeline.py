@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import decontam, mixing, near_dup, quality, suffix_dedup
 from vecloom.llm.queries import table
-from vecloom.llm.runtime import stored
+from vecloom.llm.runtime import release, stored, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        mark = written()
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, mark, "pipeline-")  # the stage's own tables; its result stays
     return docs
