@@ -92,11 +92,11 @@ def assign(points: DataFrame, leaders: DataFrame, fanout: int, epsilon: float |
     return points.select("id", "vec").mapInArrow(pick, "id long, rank int, leader long, d2 double")
 
 
-def group_neighbours(members: DataFrame, k: int, cap: int = 3500, epsilon: float | None = None, group: int = 32) -> DataFrame:
+def group_neighbours(members: DataFrame, k: int, cap: int = 3500, epsilon: float | None = None, group: int = 32, pruned_from: int = 513) -> DataFrame:
     """leaf, p, c, rank, d2: the k nearest members of each member's leaf. members: leaf, id, vec; leaves of at most `cap` rows.
 
     A leaf is one task's work; distances are computed in blocks of rows. Larger leaves are refused: split them first.
-    epsilon: early abandoning in leaves of 513 and more.
+    epsilon: early abandoning in leaves of `pruned_from` and more rows.
     """
     leaf_type = members.schema["leaf"].dataType.simpleString()
 
@@ -106,7 +106,7 @@ def group_neighbours(members: DataFrame, k: int, cap: int = 3500, epsilon: float
             raise ValueError(f"a leaf has {len(ids)} rows, more than {cap}")
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], matrix(table["vec"])[order]
-        if epsilon is not None and len(ids) >= 513:
+        if epsilon is not None and len(ids) >= pruned_from:
             a, b, d, rank = kernels.sampled_top_k(x, x, ids, k, epsilon, group, own=ids)[0]
         else:
             a, b, d, rank = kernels.top_k(x, x, ids, k, own=ids)

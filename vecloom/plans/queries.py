@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..functions.hashing import fixed_hyperplanes
-from ..operators import knn, reduce, sampling, search, stats
+from ..operators import knn, reduce, report, sampling, search, stats
 from ..operators.partition import partition
 from ..params import BuildParams, leader_share
 from ..runtime import stored
@@ -337,12 +337,49 @@ def lune_witness_retention(spark, sf_dir):
     return _shades(spark, sf_dir)[1].select("src", "victim", "pivot", "key", "place")
 
 
-@query()
+_LUNE = """, lr AS (SELECT p, list(c ORDER BY d2, c) AS cands FROM wide GROUP BY p),
+sh AS (SELECT p, map_from_entries(list((victim, pv))) AS m FROM (SELECT src AS p, victim, list("pivot") AS pv FROM keep_w GROUP BY src, victim) GROUP BY p),
+lf AS (SELECT lr.p, cands, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(cands, lambda c: [c])),
+  lambda acc, x: CASE WHEN len(acc) >= 5 THEN acc WHEN len(acc) >= 1 AND coalesce(list_has_any(m[x[1]], acc), false) THEN acc ELSE list_append(acc, x[1]) END) AS take FROM lr LEFT JOIN sh ON lr.p = sh.p),
+ls AS (SELECT p, CASE WHEN len(cands) <= 5 THEN cands ELSE list_slice(list_concat(take, list_filter(cands, lambda c: NOT list_contains(take, c))), 1, 5) END AS nbrs,
+  CAST(CASE WHEN len(cands) <= 5 THEN 0 WHEN len(take) = 5 THEN list_position(cands, take[5]) - 5 ELSE len(cands) - len(take) END AS BIGINT) AS skipped,
+  CAST(CASE WHEN len(cands) <= 5 THEN 0 ELSE least(5, len(cands)) - len(take) END AS BIGINT) AS filled FROM lf) """
+
+
+@query(_LUNE + "SELECT p, nbrs, skipped, filled FROM ls")
 def view_lune_select(spark, sf_dir):
     wide, kept = _shades(spark, sf_dir)
     return reduce.lune_select(reduce.lune_rows(wide, kept), 5, 1)
 
 
+@query(_LUNE + """SELECT (SELECT count(DISTINCT p) FROM wide) AS sources, (SELECT count(*) FROM wide) AS candidates, (SELECT count(*) FROM keep_w) AS witnesses, (SELECT count(*) FROM (SELECT DISTINCT src, victim FROM keep_w)) AS victims,
+  CAST(sum(len(nbrs)) AS BIGINT) AS edges, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(sum(filled) AS BIGINT) AS filled FROM ls""")
+def view_lune_stats(spark, sf_dir):
+    wide, kept = _shades(spark, sf_dir)
+    return report.selection(wide, kept, reduce.lune_select(reduce.lune_rows(wide, kept), 5, 1))
+
+
+@query("""SELECT count(*) AS rows, CAST(sum(CASE WHEN a.n = b.n THEN 1 ELSE 0 END) AS BIGINT) AS same, CAST(sum(len(list_intersect(a.n, b.n))) AS BIGINT) AS shared, CAST(sum(len(b.n)) AS BIGINT) AS edges
+FROM (SELECT p, list(c ORDER BY rank) AS n FROM kept WHERE rank <= 4 GROUP BY p) a JOIN (SELECT p, list(c ORDER BY rank) AS n FROM wide GROUP BY p) b ON a.p = b.p""")
+def graph_overlap(spark, sf_dir):
+    a = reduce.prune_nearest(_candidates(spark, sf_dir), 4)
+    ids = vectors(spark, sf_dir)
+    return report.overlap(reduce.adjacency(a, ids), reduce.adjacency(_wide(spark, sf_dir), ids))
+
+
+@query("SELECT leader, count(*) AS points, list(id ORDER BY id) AS ids FROM assigned WHERE rank = 1 GROUP BY leader")
+def closest_centres(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return report.inverted_index(knn.assign(v, _leaders(v), 1))
+
+
+@query("SELECT count(*) AS rows, count(*) AS hits FROM nl")
+def ads_leaf_agreement(spark, sf_dir):
+    """Early abandoning with a conservative epsilon agrees with exact neighbours in every leaf."""
+    v = _labelled(spark, sf_dir).select(F.col("label").alias("leaf"), "id", "vec")
+    return report.agreement(knn.group_neighbours(v, KNN, epsilon=50.0, group=16, pruned_from=2), knn.group_neighbours(v, KNN), ("p", "c", "rank"))
+
+
 @query()
 def robust_prune(spark, sf_dir):
     kept = reduce.prune_nearest(_candidates(spark, sf_dir), L_MAX)
@@ -354,7 +391,14 @@ def degree_stats(spark, sf_dir):
     return stats.degrees(reduce.adjacency(reduce.prune_nearest(_candidates(spark, sf_dir), L_MAX), vectors(spark, sf_dir)))
 
 
-@query()
+def _times(x: str, factor: int) -> str:
+    return f"CAST((CAST({x} AS UHUGEINT) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+@query(f"""WITH a AS (SELECT vec_id AS id, xor(17::UBIGINT, {_times("vec_id", 0x9E3779B97F4A7C15)}) AS x FROM embeddings),
+b AS (SELECT id, CAST((CAST(x AS UHUGEINT) + {0x9E3779B97F4A7C15}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS z FROM a),
+c AS (SELECT id, {_times("xor(z, z >> 30)", 0xBF58476D1CE4E5B9)} AS z FROM b), d AS (SELECT id, {_times("xor(z, z >> 27)", 0x94D049BB133111EB)} AS z FROM c)
+SELECT id, CAST(place AS INTEGER) AS place FROM (SELECT id, row_number() OVER (ORDER BY xor(z, z >> 31), id) AS place FROM d) WHERE place <= 32""")
 def bottomk_leaders(spark, sf_dir):
     return sampling.bottom_k(vectors(spark, sf_dir), 32, 17)
 
