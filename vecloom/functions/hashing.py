@@ -23,12 +23,18 @@ def sample_score(ids: np.ndarray, seed: int) -> np.ndarray:
         return splitmix64(U(seed & (2**64 - 1)) ^ (np.asarray(ids).astype(np.uint64) * GOLDEN))
 
 
+#: Factor of the size, and rotations of the first, middle and last id, in a leaf's name.
+ROUTE_FACTOR, ROUTE_ROTATIONS = 0xD6E8FEB86659FD93, (7, 17, 29)
+
+
 def route_family(ids: np.ndarray) -> int:
     """A stable non-zero 32-bit name of a leaf, from its size and its first, middle and last id."""
     n = len(ids)
     rotate = lambda x, r: ((x << r) | (x >> (64 - r))) & (2**64 - 1)
-    first, mid, last = (int(ids[0]), int(ids[n // 2]), int(ids[-1])) if n else (0, 0, 0)
-    seed = (n * 0xD6E8FEB86659FD93 & (2**64 - 1)) ^ rotate(first, 7) ^ rotate(mid, 17) ^ rotate(last, 29)
+    named = (int(ids[0]), int(ids[n // 2]), int(ids[-1])) if n else (0, 0, 0)
+    seed = n * ROUTE_FACTOR & (2**64 - 1)
+    for x, r in zip(named, ROUTE_ROTATIONS, strict=True):
+        seed ^= rotate(x, r)
     return max(1, int(splitmix64(np.array([seed], dtype=np.uint64))[0]) & 0xFFFFFFFF)
 
 

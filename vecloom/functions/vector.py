@@ -81,6 +81,10 @@ def rank_weight(rank: Column | str) -> Column:
     return F.when(r <= 1, 6).when(r == 2, 3).when(r == 3, 2).otherwise(1)
 
 
+#: The two factors and the rotation that choose a view family's bit.
+FAMILY_FACTORS, FAMILY_ROTATION = (0x9E3779B1, 0x85EBCA6B), 13
+
+
 def family_bit(family: Column | str) -> Column:
     """Which of 64 bits a view family sets: two 32-bit multiplications with a rotation between, low six bits.
 
@@ -91,6 +95,6 @@ def family_bit(family: Column | str) -> Column:
         high, low = factor >> 16, factor & 0xFFFF
         return ((x * high % (1 << 32)) * (1 << 16) + x * low) % (1 << 32)
 
-    x = times(F.pmod(_c(family).cast("long"), F.lit(1 << 32)), 0x9E3779B1)
-    x = (x * (1 << 13)) % (1 << 32) + F.floor(x / (1 << 19)).cast("long")
-    return times(x, 0x85EBCA6B).bitwiseAND(63).cast("int")
+    x = times(F.pmod(_c(family).cast("long"), F.lit(1 << 32)), FAMILY_FACTORS[0])
+    x = (x * (1 << FAMILY_ROTATION)) % (1 << 32) + F.floor(x / (1 << (32 - FAMILY_ROTATION))).cast("long")
+    return times(x, FAMILY_FACTORS[1]).bitwiseAND(63).cast("int")
