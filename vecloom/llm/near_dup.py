@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import vectext as V
 from .components import components
-from .runtime import bounded_batches, stored
+from .runtime import bounded_batches, compact, scan_tasks, stored
 
 SHINGLE = 5
 CHUNKS, WIDTH, B_BITS = 16, 4, 16
@@ -128,7 +128,7 @@ def candidate_links(classes: DataFrame, parts: int) -> DataFrame:
     """(a, b): links that connect all classes with a common key. classes: c, signature."""
     rows = classes.count() * CHUNKS * WIDTH
     keys = classes.select("c", "signature").mapInArrow(_key_rows, "key long, c long")
-    runs = stored(keys.repartitionByRange(max(parts, -(-rows // BUCKET_ROWS)), "key", "c").mapInArrow(_link_runs, "key long, a long, b long"), "near-runs")
+    runs = stored(keys.repartitionByRange(max(parts, -(-rows // BUCKET_ROWS)), "key", "c").mapInArrow(_link_runs, "key long, a long, b long"), "near-runs", tasks=-(-rows // BUCKET_ROWS))
     ends = runs.where("b IS NULL").select("key", "a")
     least = ends.groupBy("key").agg(F.min("a").alias("m"))
     across = ends.join(least, "key").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
@@ -247,7 +247,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     smallest = reach.groupBy("label").agg(F.min("d").alias("component"))
     reach = reach.join(smallest, "label").select("s1", "s2", "n", "component")
     out = sets.select("d", "t", "s1", "s2", "n").join(reach, ["s1", "s2", "n"], "left")
-    return out.select("d", "t", "n", F.coalesce("component", "d").alias("component"))
+    return compact(out.select("d", "t", "n", F.coalesce("component", "d").alias("component")), scan_tasks(sets))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 75) -> DataFrame:
@@ -266,4 +266,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     names = docs.columns
     d, t = document_key(id_col, text_col)
     rows = docs.select("*", d.alias("_d"), t.alias("_t")).join(keep.select(F.col("d").alias("_d"), F.col("t").alias("_t")), ["_d", "_t"])
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_t").orderBy(F.lit(0)))).where("_n = 1").select(*names)
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_t").orderBy(F.lit(0)))).where("_n = 1").select(*names)
+    return compact(rows, scan_tasks(docs))

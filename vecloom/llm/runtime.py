@@ -30,20 +30,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 FILE_ROWS = 100_000
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, tasks: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: short lineage that survives lost executors.
 
     rows: a bound of its rows, if known; then it is written by as many tasks as these rows need.
+    tasks: how many its input needs; then it is written by so many, or by two for each core if these are more.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    elif tasks is not None:
+        df = compact(df, tasks)
     path = fresh_path(spark, name)
     _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame, tasks: int) -> DataFrame:
+    """df in at most `tasks` partitions, but at least two for each core: files of a fair size, however many partitions a shuffle had."""
+    return df.coalesce(max(tasks, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def scan_tasks(df: DataFrame) -> int:
+    """Partitions in which df is read; only plans."""
+    return df.rdd.getNumPartitions()
+
+
 def written() -> int:
     """How many intermediate tables there have been, as a mark for release()."""
     return len(_tables)
