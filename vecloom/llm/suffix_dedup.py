@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .runtime import bounded_batches, stored
+from .runtime import bounded_batches, compact, scan_tasks, stored
 
 LENGTH = 200
 #: Anchors are picked among substrings of this share of the length.
@@ -251,7 +251,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     size = keyed.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     rows = keyed.mapInArrow(_anchor_rows(length, gram), ANCHORS)
     per_anchor = (length - gram + 2) // 2
-    marks = stored(rows.repartitionByRange(_spread(size // per_anchor, parts, BUCKET_ROWS), "k", "f", "d", "start").mapInArrow(_mark_bucket, MARKS), "suffix-marks")
+    marks = rows.repartitionByRange(_spread(size // per_anchor, parts, BUCKET_ROWS), "k", "f", "d", "start").mapInArrow(_mark_bucket, MARKS)
+    marks = stored(marks, "suffix-marks", tasks=_spread(size // per_anchor, 1, BUCKET_ROWS))
 
     edges = marks.where("kind >= 3").groupBy("k", "f").agg(
         F.sum(F.when(F.col("kind") == 3, 1).otherwise(2)).alias("c"), F.min(F.struct("d", "t", "start", "n", "anchor")).alias("one"),
@@ -263,8 +264,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     unsure = marks.where("kind IN (1, 2)").select("kind", "k", "d", "t", "start", "n", "anchor").unionByName(unsure)
     wanted = unsure.groupBy("d", "t").agg(F.collect_list(F.struct("kind", "k", "start", "n", "anchor")).alias("wanted"))
     cut = V.packed(keyed).join(wanted.hint("merge"), ["d", "t"]).select("d", "t", "z", "size", "wanted").mapInArrow(_cut_spans(length), SPANS)
-    buckets = _spread(marks.where("kind IN (1, 2)").count(), parts, BUCKET_SPANS)
-    found = stored(cut.repartitionByRange(buckets, "k", "d", "start").mapInArrow(_compare_bucket(length), WINDOWS), "suffix-windows")
+    n = marks.where("kind IN (1, 2)").count()
+    found = cut.repartitionByRange(_spread(n, parts, BUCKET_SPANS), "k", "d", "start").mapInArrow(_compare_bucket(length), WINDOWS)
+    found = stored(found, "suffix-windows", tasks=_spread(n, 1, BUCKET_SPANS))
     shared = found.where("kind = 1")
     shared = shared.join(shared.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("core"), "core")
     across = shared.select("d", "t", F.explode("items").alias("i")).select("d", "t", "i.*").groupBy("a", "b").agg(
@@ -318,4 +320,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             shas = [hashlib.sha256(x).hexdigest() for x in kept]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string())], schema.fieldNames())
 
-    return joined.mapInArrow(cut, schema)
+    return compact(joined.mapInArrow(cut, schema), scan_tasks(docs))
