@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import decontam, mixing, near_dup, quality, suffix_dedup
 from vecloom.llm.queries import table
-from vecloom.llm.runtime import release, stored, written
+from vecloom.llm.runtime import compact, release, scan_tasks, stored, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string"))
     keyed = docs.withColumn("_key", key)
     hit = decontam.match(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").where("n_hit > 0").select(F.col("doc").alias("_key")).distinct()
-    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
+    return compact(keyed.join(hit, "_key", "left_anti").select(*docs.columns), scan_tasks(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
