@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import hashing, kernels
 from vecloom.functions import vector as V
-from vecloom.operators import knn, reduce, sampling, search, stats
+from vecloom.operators import knn, reduce, report, sampling, search, stats
 from vecloom.operators.partition import leader_count, pack_clusters, partition
 from vecloom.params import BuildParams
 from vecloom.plans import reuse
@@ -158,6 +158,8 @@ def test_nearest_matches_numpy(spark):
     same = knn.nearest_sql(v.where("id < 10"), v, 5, skip_self=True).collect()
     assert sorted(map(tuple, same)) == sorted(map(tuple, got))
     assert knn.nearest(v.where("false"), v, 5).count() == 0
+    with pytest.raises(ValueError, match="bound"):
+        knn.check_bound(v, 100)
 
 
 def test_lune_predicate_and_selection(spark):
@@ -230,3 +232,14 @@ def test_ordered_equals_nearest_without_overflow(spark):
     assert a == b
     with pytest.raises(Exception, match="more than"):
         knn.group_neighbours(v.withColumn("leaf", F.lit(1)), 2, cap=10).collect()
+
+
+def test_reports(spark):
+    a = spark.createDataFrame([(0, [1, 2]), (1, [0])], "id long, nbrs array<bigint>")
+    b = spark.createDataFrame([(0, [2, 3]), (1, [0])], "id long, nbrs array<bigint>")
+    assert tuple(report.overlap(a, b).first()) == (2, 1, 2, 3)
+    cands = spark.createDataFrame([(0, 1), (0, 2)], "p long, c long")
+    kept = spark.createDataFrame([(0, 2, 1)], "src long, victim long, pivot long")
+    chosen = spark.createDataFrame([(0, [1], 1, 0)], "p long, nbrs array<bigint>, skipped long, filled long")
+    text = report.selection_json(report.selection(cands, kept, chosen), a, b)
+    assert '"witnesses": 1' in text and '"shared": 2' in text

@@ -58,8 +58,16 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, skip_self: bool = False
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "d2")
 
 
+def check_bound(small: DataFrame, limit: int = BROADCAST_BYTES) -> None:
+    """Refuse a vector table that is too large to broadcast."""
+    stats = small.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    if stats["n"] * (stats["d"] or 0) * 4 > limit:
+        raise ValueError(f"{stats['n']} vectors exceed the bound of a broadcast")
+
+
 def nearest_sql(queries: DataFrame, base: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
-    """nearest() as plain expressions, for small inputs and as a check."""
+    """nearest() as plain expressions, for queries of a bounded size and as a check."""
+    check_bound(queries)
     q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
     pairs = F.broadcast(q).crossJoin(base) if not skip_self else F.broadcast(q).join(base, F.col("query_id") != F.col("id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id"))
