@@ -52,9 +52,10 @@ def compact(df: DataFrame, tasks: int) -> DataFrame:
     return df.coalesce(max(tasks, 2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
-def scan_tasks(df: DataFrame) -> int:
-    """Partitions in which df is read; only plans."""
-    return df.rdd.getNumPartitions()
+def scan_tasks(df: DataFrame, each: int = 32 << 20) -> int:
+    """Files of `each` bytes that df would fill, by the optimiser's estimate of its size; nothing is run."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return min(-(-size // each), 1 << 20)
 
 
 def written() -> int:
