@@ -54,7 +54,7 @@ def compact(df: DataFrame, tasks: int) -> DataFrame:
 
 def scan_tasks(df: DataFrame, each: int = 32 << 20) -> int:
     """Files of `each` bytes that df would fill, by the optimiser's estimate of its size; nothing is run."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(-(-size // each), 1 << 20)
 
 
