@@ -41,8 +41,16 @@ TRIE_TASKS, TRIE_ROWS = 64, 1_000_000
 END = b"\n"
 END_HASH = int(V.span_hash(V.prefix_sums(np.frombuffer(END, np.uint8)), np.array([0]), np.array([1])).view(np.int64)[0])
 
-WORDS = "part int, block int, place int, word binary, trained long"
-VOCABULARY = "part int, word binary, trained long, blocks array<int>, places array<int>, gram long, n long"
+WORDS = "part int, block int, word binary, hash long, trained long"
+VOCABULARY = "part int, words binary, total long, known long, gram long, n long"
+
+
+def _packed_table(table: pa.Table) -> bytes:
+    """A table as one compressed value, so that millions of short rows are stored and shuffled as a few."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def word_grams(words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +132,7 @@ def code_lengths(gram: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> np.n
 
 
 def _block_words(table):
-    """Distinct words of one block in order of their hashes, with how often training texts hold them."""
+    """Distinct words of one block, with how often training texts hold them."""
     data, off = V.unpack(table["_z"], table["_size"].to_numpy())
     train, parts = table["_train"].to_numpy(zero_copy_only=False), table["_parts"][0].as_py()
     have: list[tuple] = []
@@ -147,28 +155,26 @@ def _block_words(table):
     at = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(size.sum())
     word = pa.Array.from_buffers(pa.binary(), len(unique), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(raw[at].tobytes())])
     block = np.full(len(unique), table["_block"][0].as_py(), np.int32)
-    return pa.table([pa.array((unique % parts).astype(np.int32)), pa.array(block), pa.array(np.arange(len(unique), dtype=np.int32)), word, pa.array(total)], ["part", "block", "place", "word", "trained"])
+    return pa.table([pa.array((unique % parts).astype(np.int32)), pa.array(block), word, pa.array(unique), pa.array(total)], ["part", "block", "word", "hash", "trained"])
 
 
 def _part_vocabulary(table):
-    """One row for each word of a part (its count, and the places in blocks that ask for it), and the part's grams."""
+    """One row with the words of a part (the count of each and the blocks that ask for it), and one for each of its grams."""
     table = table.combine_chunks()
     part = table["part"][0].as_py()
-    every, block, place, n = table["word"].combine_chunks(), table["block"].to_numpy(), table["place"].to_numpy(), table["trained"].to_numpy()
-    data, off = V.arrow_text(every)
-    h = V.span_hash(V.prefix_sums(data), off[:-1], off[1:])
+    h, block, n = table["hash"].to_numpy(), table["block"].to_numpy(), table["trained"].to_numpy()
     order = np.argsort(h, kind="stable")
     new = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
     total = np.add.reduceat(n[order], new)
-    cuts = pa.array(np.r_[new, len(h)].astype(np.int32))
-    blocks, places = (pa.ListArray.from_arrays(cuts, pa.array(x[order])) for x in (block, place))
-    words = every.take(pa.array(order[new]))
+    asked = pa.ListArray.from_arrays(pa.array(np.r_[new, len(h)].astype(np.int32)), pa.array(block[order].astype(np.int32)))
+    words = table["word"].combine_chunks().take(pa.array(order[new]))
     of, gram = word_grams(words)
     unique, _, count = _sums(gram, total[of])
-    k, g = len(new), len(unique)
-    left = [words, pa.array(total), blocks, places]
-    columns = [pa.concat_arrays([x, pa.nulls(g, x.type)]) for x in left] + [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)]) for x in (unique, count)]
-    return pa.table([pa.array(np.full(k + g, part, np.int32)), *columns], ["part", "word", "trained", "blocks", "places", "gram", "n"])
+    packed = _packed_table(pa.table([pa.array(h[order][new]), words, pa.array(total), asked], ["hash", "word", "trained", "blocks"]))
+    g = len(unique)
+    first = [pa.array([packed], pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])]
+    columns = [pa.concat_arrays([x, pa.nulls(g, x.type)]) for x in first] + [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x)]) for x in (unique, count)]
+    return pa.table([pa.array(np.full(1 + g, part, np.int32)), *columns], ["part", "words", "total", "known", "gram", "n"])
 
 
 def _trie_task(shared):
@@ -181,15 +187,15 @@ def _trie_task(shared):
 
 def _word_costs(words, costs):
     """Code length of each word of a part, sent to the blocks that ask for it."""
-    words, costs = words.combine_chunks(), costs.combine_chunks()
+    words, costs = pa.ipc.open_stream(words["words"][0].as_py()).read_all().combine_chunks(), costs.combine_chunks()
     gram, cost = costs["gram"].to_numpy(), costs["cost"].to_numpy()
     order = np.argsort(gram)
     gram, cost = gram[order], cost[order]
     of, g = word_grams(words["word"].combine_chunks())
     total = np.bincount(of, weights=cost[np.searchsorted(gram, g)], minlength=len(words))
-    blocks, places = words["blocks"].combine_chunks(), words["places"].combine_chunks()
-    times = np.diff(blocks.offsets.to_numpy())
-    return pa.table({"block": blocks.flatten(), "place": places.flatten(), "trained": np.repeat(words["trained"].to_numpy(), times), "cost": np.repeat(total, times)})
+    asked = words["blocks"].combine_chunks()
+    times = np.diff(asked.offsets.to_numpy())
+    return pa.table({"block": asked.flatten(), "hash": np.repeat(words["hash"].to_numpy(), times), "trained": np.repeat(words["trained"].to_numpy(), times), "cost": np.repeat(total, times)})
 
 
 def _score_block(names: list[str], total: int, distinct: int):
@@ -197,25 +203,18 @@ def _score_block(names: list[str], total: int, distinct: int):
 
     def score(docs, words):
         docs, words = docs.combine_chunks(), words.combine_chunks()
-        trained, cost = (words[c].to_numpy() for c in ("trained", "cost"))
-        order = np.argsort(words["place"].to_numpy())
-        trained, cost = trained[order], cost[order]
+        h, trained, cost = (words[c].to_numpy() for c in ("hash", "trained", "cost"))
+        order = np.argsort(h)
+        h, trained, cost = h[order], trained[order], cost[order]
         data, off = V.unpack(docs["_z"], docs["_size"].to_numpy())
         n = len(docs)
-        parts, distinct_words = [], [np.array([END_HASH])]
+        tokens, known, base_sum, ppm = np.ones(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+        end = int(np.searchsorted(h, END_HASH))
         for i, j, part, o in V.blocks(data, off):
             low = V.LOWER[part]
             start, stop, doc = V.words(low, o)
-            h = V.span_hash(V.prefix_sums(low), start, stop).view(np.int64)
-            parts.append((i, j, doc, h))
-            distinct_words.append(np.unique(h))
-        place = np.unique(np.concatenate(distinct_words))  # as in _block_words
-        if len(place) != len(trained):
-            raise RuntimeError("a block's words don't match those that were asked for")
-        tokens, known, base_sum, ppm = np.ones(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
-        end = int(np.searchsorted(place, END_HASH))
-        for i, j, doc, h in parts:
-            at, m = np.searchsorted(place, h), j - i
+            at = np.searchsorted(h, V.span_hash(V.prefix_sums(low), start, stop).view(np.int64))
+            m = j - i
             tokens[i:j] += np.bincount(doc, minlength=m)
             known[i:j] = np.bincount(doc, weights=trained[at] > 0, minlength=m)
             base_sum[i:j] = np.bincount(doc, weights=np.log10(trained[at] + 1.0), minlength=m)
@@ -254,9 +253,9 @@ def score(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
     packed = flags.mapInArrow(pack, packed_schema)
     words = packed.select("_block", "_parts", "_train", "_z", "_size").groupBy("_block").applyInArrow(_block_words, WORDS)
     vocabulary = stored(words.groupBy("part").applyInArrow(_part_vocabulary, VOCABULARY), "ppm-vocabulary", tasks=-(-size // BLOCK_BYTES))
-    known = vocabulary.where("gram IS NULL")
+    known = vocabulary.where("gram IS NULL").select("part", "words", "total", "known")
     grams = vocabulary.where("gram IS NOT NULL").select("part", "gram", "n")
-    total, distinct = known.where("trained > 0").agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count(F.lit(1))).first()
+    total, distinct = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     pairs = np.zeros((256, 256), np.int64)
     for row in grams.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("p")).agg(F.sum("n").alias("n")).collect():  # at most 65,536
         pairs[row[0] >> 8, row[0] & 0xFF] = row[1]
@@ -265,6 +264,6 @@ def score(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
     summed = grams.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("task", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(tasks)))
     costs = summed.groupBy("task").applyInArrow(_trie_task(shared), "gram long, cost double")
     asked = grams.select(F.col("part").alias("p"), "gram").join(costs, "gram").groupBy("p")
-    sent = known.select("part", "word", "trained", "blocks", "places").groupBy("part").cogroup(asked).applyInArrow(_word_costs, "block int, place int, trained long, cost double")
+    sent = known.select("part", "words").groupBy("part").cogroup(asked).applyInArrow(_word_costs, "block int, hash long, trained long, cost double")
     schema = T.StructType([docs.schema[c] for c in names]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
     return packed.groupBy("_block").cogroup(sent.groupBy("block")).applyInArrow(_score_block(names, int(total), int(distinct)), schema)
