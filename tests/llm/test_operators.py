@@ -79,6 +79,14 @@ def test_near_duplicates_null_ids(spark):
     assert got == [(-1, 5, False), (3, 3, True), (5, 5, True)]
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    """Unlike texts without an id, or under one id, are groups of their own."""
+    a, b, c, d = (prose(40, s) for s in (9, 11, 12, 13))
+    rows = [(None, a), (None, b), (None, b), (None, b + " more"), (5, c), (5, d), (5, d), (6, c), (None, d)]
+    got = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and {(r["doc_id"], r["text"]) for r in got} - {(None, b), (None, b + " more")} == {(None, a), (5, c), (5, d)}
+
+
 def test_exact_links_find_every_component():
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 200).astype(np.uint64)

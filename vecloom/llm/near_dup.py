@@ -212,8 +212,9 @@ def document_key(id_col: str, text_col: str) -> list:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 75) -> DataFrame:
-    """(d, t, n, component): one row for each row of docs, by its key; component is the smallest id of its group.
+    """(d, t, n, component, label): one row for each row of docs, by its key; component is the smallest id of its group.
 
+    label tells groups apart, also those of unlike texts without an id or with the same one; null for rows without words.
     percent: links need 100 * |intersection| >= percent * |union| of the shingle sets (70 to 100: the signature
     distance that the join guarantees is set for 75 and more).
     """
@@ -245,9 +246,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
     reach = classes.select("s1", "s2", "n", "c", "d").join(joined, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c"))
     smallest = reach.groupBy("label").agg(F.min("d").alias("component"))
-    reach = reach.join(smallest, "label").select("s1", "s2", "n", "component")
+    reach = reach.join(smallest, "label").select("s1", "s2", "n", "component", "label")
     out = sets.select("d", "t", "s1", "s2", "n").join(reach, ["s1", "s2", "n"], "left")
-    return compact(out.select("d", "t", "n", F.coalesce("component", "d").alias("component")), scan_tasks(sets))
+    return compact(out.select("d", "t", "n", F.coalesce("component", "d").alias("component"), "label"), scan_tasks(sets))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 75) -> DataFrame:
@@ -261,7 +262,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """docs with one row of each group: that of the smallest id. Rows without words stay, but for repeats of a row."""
     docs = docs.drop("_d", "_t", "_n")
     found = groups(docs, id_col, text_col, k, percent)
-    first = found.where("n > 0").groupBy("component").agg(F.min(F.struct("d", "t")).alias("m")).select("m.d", "m.t")
+    first = found.where("n > 0").groupBy("label").agg(F.min(F.struct("d", "t")).alias("m")).select("m.d", "m.t")
     keep = first.unionByName(found.where("n = 0").select("d", "t")).distinct()
     names = docs.columns
     d, t = document_key(id_col, text_col)
