@@ -387,6 +387,17 @@ def test_quality(spark, messy, empty):
         assert flat.rules == () and len({r["score"] for r in quality.score(docs, flat).collect()}) == 1
 
 
+def test_quality_repeated_rows(spark):
+    """Copies of one labelled document, one id with many texts or repeated labels leave both classes in the sample."""
+    good = [(i, prose(80, i), 1) for i in range(60)]
+    bad = [(1000 + i, "BUY!! " * (20 + i) + "$$$", 0) for i in range(60)]
+    hot = [(1000, bad[0][1], 0)] * 300 + [(1001, f"SELL!! {i} $$$", 0) for i in range(150)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in good + bad + hot], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, q) for d, _, q in good + bad] + [(1000, 0)] * 300, "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in quality.score(docs, quality.fit(docs, labels, sample_rows=150)).collect()}
+    assert all(got[d] == q for d, _, q in good + bad)
+
+
 def test_rules_agree_with_columns(spark):
     docs = spark.createDataFrame([(i, prose(3 + i, i) + "!" * (i % 5)) for i in range(40)], "doc_id long, text string")
     stats = quality.statistics(F.col("text"))

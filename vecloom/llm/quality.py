@@ -1,7 +1,8 @@
 """Quality classifier: a sparse ensemble of rules compiled into Spark column expressions.
 
 Boosted shallow trees are grown in numpy on a bounded sample of labelled rows
-(SAMPLE_ROWS, those with the smallest hash of the id); every path from a root is
+(SAMPLE_ROWS, those with the smallest hash of the id; rows that repeat id, text
+and label count once); every path from a root is
 a conjunctive rule over text statistics; a lasso logistic regression weighs the
 rules, most get weight zero; what is left becomes one Spark expression. Scoring
 is a plain projection over the whole table: no shuffle, no Python.
@@ -140,10 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
     """`where` selects the rows of labels that may be learned from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known if where is None else known.where(where)
-    sample = known.select(id_col, F.col(label_col).cast("double").alias("_y")).orderBy(F.xxhash64(id_col), id_col, "_y").limit(sample_rows)
+    sample = known.select(id_col, F.col(label_col).cast("double").alias("_y")).distinct().orderBy(F.xxhash64(id_col), id_col, "_y").limit(sample_rows)
     stats = statistics(F.col("_t"))
     texts = docs.select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(sample), id_col)  # at most sample_rows rows
-    got = texts.select("_y", *[c.alias(k) for k, c in stats.items()]).orderBy("_y", *stats).limit(sample_rows).toArrow()
+    rows = texts.select(F.col(id_col).alias("_d"), F.xxhash64("_t").alias("_h"), "_y", *[c.alias(k) for k, c in stats.items()]).dropDuplicates(["_d", "_h", "_y"])
+    # cut by hash, not by label: an id with many texts must not push out the other class
+    got = rows.orderBy(F.xxhash64("_d", "_h"), "_d", "_h", "_y").limit(sample_rows).select("_y", *stats).toArrow()
+    got = got.sort_by([(c, "ascending") for c in got.column_names])
     y = got["_y"].to_numpy()
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
