@@ -364,6 +364,18 @@ def test_chat(spark):
     assert [[m["turn"] for m in r["messages"]] for r in parts] == [[0, 1, 1], [2]]
 
 
+def test_chat_partial_quotes(spark):
+    """Two lines of three, two paragraphs of three, and an answer of two lines between two quotes find their originals."""
+    rows = [
+        (1, 0, "one a\ntwo b\nthree c"), (1, 1, "p q\n\nr s\n\nt u"), (1, 2, "> one a\n> TWO  b\nyes\nindeed\n> three c\nno\nnever"), (1, 3, "> r s\n>\n> t u\nok"),
+        (1, 4, "> yes\n> indeed\nsure"), (1, 5, "> one a\n> three c\nhm"), (2, 0, "x y"), (2, 1, "> one a\n> two b\nother"), (None, 0, "k l\nm n\no p"), (None, 1, "mid"), (None, 2, "> k l\n> m n\nend"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_quotes"], r["n_linked"]) for r in chat.link(df).collect()}
+    assert got[1, 2] == (0, 2, 2) and got[1, 3] == (1, 1, 1) and got[1, 4] == (2, 1, 1)
+    assert got[1, 5] == (4, 1, 0) and got[2, 1] == (0, 1, 0) and got[None, 2] == (0, 1, 1)
+
+
 def test_chat_long_reply_chain(spark):
     df = spark.createDataFrame([(1, i, f"m{i}", "u") for i in range(300)], "conv_id long, turn long, text string, role string")
     assert {r["turn"]: r["depth"] for r in chat.link(df).collect()} == {i: i for i in range(300)}

@@ -4,7 +4,10 @@ Lines that begin with one or more `>` are quoted, as deep as they have marks;
 neighbouring lines of one depth form a passage. What is left is the message's
 own text. Own texts, their paragraphs and lines are normalised (lower case, one
 blank between words) and hashed; a quoted passage with the same hash links to
-the earliest message of its conversation that holds it as its own. A message
+the earliest message of its conversation that holds it as its own. A passage of
+several lines without such a unit links to the earliest message that holds these
+lines one after another, blank lines aside: own texts are hashed once more in
+windows of as many lines as such passages of their conversation have. A message
 answers the latest message that it quotes directly (else at any depth), else the
 one before it. Depth and thread come from pointer doubling over these answers.
 
@@ -56,6 +59,21 @@ def passages(messages: DataFrame) -> DataFrame:
     return lines.groupBy("conv_id", "turn", "t", "level", "run").agg(text.alias("text")).select("conv_id", "turn", "level", "text")
 
 
+def full_lines(text: Column) -> Column:
+    """Normalised lines without blank ones."""
+    return F.filter(F.transform(F.split(text, "\n", -1), normalised), lambda x: F.length(x) > 0)
+
+
+def line_windows(own: DataFrame, part: DataFrame) -> DataFrame:
+    """(c, wh, source): earliest turn of the passages `part` (pc, h, m lines) among runs of m lines of own texts (conv_id, turn, own)."""
+    sizes = part.groupBy(F.col("pc").alias("c")).agg(F.collect_set("m").alias("sizes"))
+    lines = own.select("conv_id", "turn", full_lines(F.col("own")).alias("lines")).where(F.size("lines") > 1)
+    runs = lambda m: F.transform(F.sequence(F.lit(1), F.size("lines") - m + 1), lambda i: F.md5(F.array_join(F.slice("lines", i, m), " ").cast("binary")))
+    hashes = F.flatten(F.transform(F.filter("sizes", lambda m: m <= F.size("lines")), runs))
+    window = lines.join(sizes, F.col("conv_id").eqNullSafe(F.col("c"))).select("c", "turn", F.explode(F.array_distinct(hashes)).alias("wh"))
+    return window.groupBy("c", "wh").agg(F.min("turn").alias("source"))
+
+
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """messages, the text without quotes, with reply_to, n_quotes, n_linked, depth (0 at a thread's start) and thread."""
     messages = messages.drop("reply_to", "n_quotes", "n_linked", "depth", "thread", "_c", "_n")
@@ -64,8 +82,15 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     units = F.flatten(F.array(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")))
     unit = own.where(F.col("turn").isNotNull()).select("conv_id", "turn", F.explode(F.array_distinct(F.transform(units, lambda x: F.md5(normalised(x).cast("binary"))))).alias("h"))
     source = unit.groupBy(F.col("conv_id").alias("c"), "h").agg(F.min("turn").alias("source"))
-    quotes = passages(m).withColumn("h", F.md5(normalised(F.col("text")).cast("binary"))).where(F.length(normalised(F.col("text"))) > 0).drop("text")
-    quotes = quotes.join(source, quotes["conv_id"].eqNullSafe(source["c"]) & (quotes["h"] == source["h"]) & (F.col("source") < F.col("turn")), "left")
+    quotes = passages(m).withColumn("h", F.md5(normalised(F.col("text")).cast("binary"))).where(F.length(normalised(F.col("text"))) > 0).withColumn("m", F.size(full_lines(F.col("text")))).drop("text")
+    source = source.withColumnRenamed("h", "_h")
+    quotes = quotes.join(source, quotes["conv_id"].eqNullSafe(source["c"]) & (quotes["h"] == source["_h"]) & (F.col("source") < F.col("turn")), "left")
+    quotes = stored(quotes.drop("c", "_h").select("conv_id", "turn", "level", "h", "m", "source"), "chat-quotes")
+    part = quotes.where("source IS NULL AND m > 1").select(F.col("conv_id").alias("pc"), "h", "m").distinct()
+    if not part.isEmpty():
+        source = line_windows(own.where(F.col("turn").isNotNull()), part)
+        quotes = quotes.withColumnRenamed("source", "unit").join(source, F.col("unit").isNull() & quotes["conv_id"].eqNullSafe(source["c"]) & (quotes["h"] == source["wh"]) & (F.col("source") < F.col("turn")), "left")
+        quotes = quotes.select("conv_id", "turn", "level", F.coalesce("unit", "source").alias("source"))
     said = quotes.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("n")).agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("source").alias("n_linked"), F.coalesce(F.max(F.when(F.col("level") == 1, F.col("source"))), F.max("source")).alias("quoted")
     )
