@@ -243,3 +243,15 @@ def test_reports(spark):
     chosen = spark.createDataFrame([(0, [1], 1, 0)], "p long, nbrs array<bigint>, skipped long, filled long")
     text = report.selection_json(report.selection(cands, kept, chosen), a, b)
     assert '"witnesses": 1' in text and '"shared": 2' in text
+
+
+def test_large_leaves_are_compared_in_block_pairs(spark):
+    """Above the rows of a block a leaf gives the same neighbours; the default takes more than 3500 rows."""
+    r = np.random.default_rng(6)
+    x = r.integers(0, 5, (90, 4)).tolist()  # many ties
+    v = spark.createDataFrame([(None if i % 9 == 0 else i % 3, i, [float(y) for y in row]) for i, row in enumerate(x)], "leaf long, id long, vec array<float>")
+    key = lambda df: sorted((r["leaf"] is None, r["leaf"] or 0, r["p"], r["rank"], r["c"], r["d2"]) for r in df.collect())
+    assert key(knn.group_neighbours(v, 4, block=12)) == key(knn.group_neighbours(v, 4))
+    line = spark.range(3600).select(F.lit(1).alias("leaf"), "id", F.array(F.col("id").cast("float")).alias("vec"))
+    got = {(r["p"], r["rank"]): r["c"] for r in knn.group_neighbours(line, 2).collect()}
+    assert len(got) == 7200 and all({got[i, 1], got[i, 2]} == {i - 1, i + 1} for i in range(1, 3599))

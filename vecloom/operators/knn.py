@@ -15,6 +15,8 @@ from .arrow import batch, matrix
 
 #: Bytes of query or leader vectors that may be broadcast at once.
 BROADCAST_BYTES = 64 << 20
+#: Rows of a leaf, or of a block of a larger one, that a task compares with as many.
+LEAF_ROWS = 3500
 
 
 def as_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -100,28 +102,57 @@ def assign(points: DataFrame, leaders: DataFrame, fanout: int, epsilon: float |
     return points.select("id", "vec").mapInArrow(pick, "id long, rank int, leader long, d2 double")
 
 
-def group_neighbours(members: DataFrame, k: int, cap: int = 3500, epsilon: float | None = None, group: int = 32, pruned_from: int = 513) -> DataFrame:
-    """leaf, p, c, rank, d2: the k nearest members of each member's leaf. members: leaf, id, vec; leaves of at most `cap` rows.
+def group_neighbours(members: DataFrame, k: int, cap: int | None = None, epsilon: float | None = None, group: int = 32, pruned_from: int = 513, block: int = LEAF_ROWS) -> DataFrame:
+    """leaf, p, c, rank, d2: the k nearest members of each member's leaf. members: leaf, id, vec; ids of a leaf are distinct.
 
-    A leaf is one task's work; distances are computed in blocks of rows. Larger leaves are refused: split them first.
-    epsilon: early abandoning in leaves of `pruned_from` and more rows.
+    A leaf of at most `block` rows is one task's work; distances are computed in blocks of rows. The rows of a larger one
+    are dealt to blocks, each pair of row block and column block is a task, and the k best by (d2, id) are merged.
+    cap: instead, refuse leaves of more rows, for callers that have split theirs.
+    epsilon: early abandoning in leaves of `pruned_from` and more rows (in larger leaves: block pairs).
     """
     leaf_type = members.schema["leaf"].dataType.simpleString()
+    members = members.select("leaf", "id", "vec")
+    out = f"leaf {leaf_type}, p long, c long, rank int, d2 double"
 
-    def neighbours(table):
+    def best(table, rows, columns):
+        """The k nearest of the rows `columns` for each of the rows `rows`."""
         ids = table["id"].to_numpy()
-        if len(ids) > cap:
-            raise ValueError(f"a leaf has {len(ids)} rows, more than {cap}")
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], matrix(table["vec"])[order]
-        if epsilon is not None and len(ids) >= pruned_from:
-            a, b, d, rank = kernels.sampled_top_k(x, x, ids, k, epsilon, group, own=ids)[0]
+        own, other = (m[np.argsort(ids[m], kind="stable")] for m in (rows, columns))
+        if not len(own) or not len(other):
+            a, b, d, rank = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         else:
-            a, b, d, rank = kernels.top_k(x, x, ids, k, own=ids)
+            vec = matrix(table["vec"])
+            x, y = vec[own], vec[other]
+            if epsilon is not None and len(other) >= pruned_from:
+                a, b, d, rank = kernels.sampled_top_k(x, y, ids[other], k, epsilon, group, own=ids[own])[0]
+            else:
+                a, b, d, rank = kernels.top_k(x, y, ids[other], k, own=ids[own])
         leaf = table["leaf"].combine_chunks().take(pa.array(np.zeros(len(a), np.int64))) if len(a) else table["leaf"].slice(0, 0)
-        return pa.table([leaf, pa.array(ids[a]), pa.array(ids[b]), pa.array(np.asarray(rank, np.int32)), pa.array(d)], ["leaf", "p", "c", "rank", "d2"])
+        return pa.table([leaf, pa.array(ids[own][a]), pa.array(ids[other][b]), pa.array(np.asarray(rank, np.int32)), pa.array(d)], ["leaf", "p", "c", "rank", "d2"])
 
-    return members.select("leaf", "id", "vec").groupBy("leaf").applyInArrow(neighbours, f"leaf {leaf_type}, p long, c long, rank int, d2 double")
+    def neighbours(table):
+        if cap is not None and len(table) > cap:
+            raise ValueError(f"a leaf has {len(table)} rows, more than {cap}")
+        every = np.arange(len(table))
+        return best(table, every, every)
+
+    def tile(table):
+        return best(table, np.flatnonzero(table["own"].to_numpy(zero_copy_only=False)), np.flatnonzero(~table["own"].to_numpy(zero_copy_only=False)))
+
+    whole = lambda df: df.groupBy("leaf").applyInArrow(neighbours, out)
+    if cap is not None:
+        return whole(members)
+    large = members.groupBy(F.col("leaf").alias("_leaf")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    if large.isEmpty():
+        return whole(members)
+    same = F.col("leaf").eqNullSafe(F.col("_leaf"))
+    dealt = members.join(F.broadcast(large), same).drop("_leaf").withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # a row is asked for in each column block, and is a column for each row block
+    place = lambda own: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct((F.col("b") if own else x).alias("i"), (x if own else F.col("b")).alias("j"), F.lit(own).alias("own")))
+    tiles = dealt.select("leaf", "id", "vec", F.explode(F.concat(place(True), place(False))).alias("t")).select("leaf", "id", "vec", "t.*")
+    found = tiles.groupBy("leaf", "i", "j").applyInArrow(tile, out)
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("leaf", "p").orderBy("d2", "c"))).where(F.col("rank") <= k)
+    return whole(members.join(F.broadcast(large), same, "left_anti")).unionByName(found.select("leaf", "p", "c", "rank", "d2"))
 
 
 def edges(neighbours: DataFrame) -> DataFrame:
