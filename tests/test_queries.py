@@ -38,3 +38,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 200
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_searches_ask_for_every_hundredth_id(spark, monkeypatch):
+    """The query set isn't a fixed number of vectors."""
+    ids = {r[0] for r in q.vectors(spark, SF).where("id % 100 = 0").select("id").collect()}
+    assert len(ids) > 1 and {r["query_id"] for r in q.beam_search(spark, SF).collect()} == ids
+    seen, nearest = [], q.knn.nearest
+    monkeypatch.setattr(q.knn, "nearest", lambda asked, *a: seen.append({r["id"] for r in asked.collect()}) or nearest(asked, *a))
+    assert all(0 < r["recall"] <= 1 for r in q.recall_by_width(spark, SF).collect()) and seen == [ids]
