@@ -115,21 +115,26 @@ def mix(rows):
     return out
 
 
+def stream(text):
+    """Bytes that the language model codes: words with one space between them, then one end byte."""
+    return (" ".join(words(text)) + "\n").encode()
+
+
 def ppm(rows, order=7):
-    """doc_id -> (tokens, known, total, base, score); rows: (doc_id, text, train)."""
-    tokens = lambda t: [w.encode() for w in words(t)] + [b"\n"]
+    """doc_id -> (tokens, known, total, base, score); rows: (doc_id, text, train). Contexts run over the whole text, end bytes stand before it."""
+    tokens = lambda t: [*words(t), "\n"]
     count = Counter(w for _, t, train in rows if train for w in tokens(t))
     total, distinct = sum(count.values()), len(count)
 
-    def coded(w):
-        b = b"\0" * (order - 1) + b" " + w + (b"" if w == b"\n" else b" ")
+    def coded(t):
+        b = b"\n" * order + stream(t)
         return [(b[i - order : i], b[i]) for i in range(order, len(b))]
 
     trie = [defaultdict(Counter) for _ in range(order + 1)]
-    for w, c in count.items():
-        for ctx, s in coded(w):
+    for _, t, train in rows:
+        for ctx, s in coded(t) if train else ():
             for o in range(order + 1):
-                trie[o][ctx[order - o :]][s] += c
+                trie[o][ctx[order - o :]][s] += 1
 
     def cost(ctx, s):
         gone, out = set(), 0.0
@@ -146,9 +151,4 @@ def ppm(rows, order=7):
             gone |= set(seen)
         return out - math.log10(max(1, 256 - len(gone)))
 
-    known = {}
-    for _, t, _ in rows:
-        for w in tokens(t):
-            if w not in known:
-                known[w] = sum(cost(*x) for x in coded(w))
-    return {d: (len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), total, sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in tokens(t)), sum(known[w] for w in tokens(t))) for d, t, _ in rows}
+    return {d: (len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), total, sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in tokens(t)), sum(cost(*x) for x in coded(t))) for d, t, _ in rows}

@@ -273,24 +273,43 @@ def test_ppm(spark, messy, messy_rows, empty):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3] and r["base_score"] == pytest.approx(w[3]) and r["score"] == pytest.approx(w[4])
     assert ppm.score(empty, F.lit(True)).count() == 0
     alone = ppm.score(messy.where("doc_id = 7"), F.lit(False)).first()
-    assert alone["n_known"] == 0 and alone["score"] == pytest.approx(-np.log10(256) * 9)
+    assert alone["n_known"] == 0 and alone["score"] == pytest.approx(-np.log10(256) * 8)
+
+
+def test_ppm_parts(spark, monkeypatch):
+    """Small blocks, and suffixes that are grown byte by byte until a part holds one context, don't change a score."""
+    rows = [(i, prose(30, i, 12) + (" aaaa aaaa" * (i % 7)), i % 4 != 0) for i in range(40)] + [(40, None, True), (41, "ü" * 300, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t boolean")
+    want = brute.ppm(rows)
+    monkeypatch.setattr(ppm, "PART_GRAMS", 9)
+    monkeypatch.setattr(ppm, "PART_WORDS", 5)
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 1000)
+    for r in ppm.score(df, F.col("t")).collect():
+        w = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3] and (r["base_score"], r["score"]) == pytest.approx(w[3:])
+
+
+def test_ppm_depends_on_the_order_of_words(spark):
+    rows = [(i, prose(60, 7) + f" w{i}") for i in range(6)] + [(10, prose(60, 7)), (11, " ".join(reversed(prose(60, 7).split())))]
+    got = {r["doc_id"]: (r["score"], r["base_score"]) for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 10).collect()}
+    assert got[10][1] == pytest.approx(got[11][1]) and got[10][0] > got[11][0] / 4
 
 
 def test_ppm_probabilities_sum_to_one():
-    words_ = [b"then", b"there", b"the", b"a", b"\n"]
-    of, gram = ppm.word_grams(words_)
-    weight = np.array([5, 3, 9, 2, 4])[of]
-    pairs = np.zeros((256, 256), np.int64)
-    np.add.at(pairs, ((gram >> 8) & 0xFF, gram & 0xFF), weight)
-    unique, inverse = np.unique(gram, return_inverse=True)
-    count = np.bincount(inverse, weights=weight).astype(np.int64)
-    for context in np.unique(gram >> 8)[:6]:
-        every = (int(context) << 8) + np.arange(256)
-        grams = np.union1d(unique, every)
-        n = np.zeros(len(grams), np.int64)
-        n[np.searchsorted(grams, unique)] = count
-        cost = ppm.code_lengths(grams, n, pairs)
-        assert (10.0 ** cost[np.searchsorted(grams, every)]).sum() == pytest.approx(1)
+    raw, off = ppm.streams(np.frombuffer(b"then there the a the then", np.uint8), np.array([0, 10, 25]))
+    unique, count = ppm._distinct(ppm.grams(raw, off))
+    low = []
+    for o in range(2):
+        keys = (ppm._prefix(unique, o) << np.uint64(8)) | (unique & np.uint64(255))
+        u, inverse = np.unique(keys, return_inverse=True)
+        low.append((u, np.bincount(inverse, weights=count).astype(np.int64)))
+    for context in np.unique(unique >> np.uint64(8))[:8]:
+        every = (context << np.uint64(8)) + np.arange(256, dtype=np.uint64)
+        have = np.union1d(unique, every)
+        n = np.zeros(len(have), np.int64)
+        n[np.searchsorted(have, unique)] = count
+        cost = ppm.code_lengths(have, n, low)
+        assert (10.0 ** cost[np.searchsorted(have, every)]).sum() == pytest.approx(1)
 
 
 def test_warc(spark, tmp_path):

@@ -1,18 +1,28 @@
 """Language-model scoring by prediction by partial matching (PPM) with exclusion, pretrained on the corpus.
 
-A text is a sequence of tokens (words, then one end); a token is coded byte by
-byte and closed by a space, each byte predicted from the ORDER bytes before it
-back to the start of its word. The trie is a table of (context, byte, count):
-orders ORDER to 2 are held by context, spread over tasks; orders 1 and 0 have at
-most 65,536 and 256 entries and are broadcast. A byte not seen in a context
-escapes to the next shorter one (PPMD: each distinct byte seen gives half a count
-to the escape) where bytes of the longer context are excluded; after order 0 the
-bytes never seen are equally likely.
-
-Counts cover all training texts. The corpus' vocabulary is a table, too large to
-broadcast, so texts are dealt into blocks of bounded size; a block asks for its
-distinct words only and gets back count and code length of each. Nothing but
-sums and the bounded tables reaches the driver.
+A text is the byte stream of its tokens: lower-cased words with one space between
+them, then one end byte. Each byte is predicted from the ORDER bytes before it,
+across words and spaces; before a text's first byte stand end bytes. A byte not
+seen in a context escapes to the next shorter one (PPMD: each distinct byte seen
+gives half a count to the escape) where bytes of the longer context are excluded;
+after order 0 the bytes never seen are equally likely.
+
+1. Texts are packed into blocks of bounded size, one row each, and stored.
+2. A block sums up its distinct grams (context and byte, one 64-bit integer with
+   the latest context byte first, so that sorting them walks the trie of contexts)
+   and asks for their code lengths. The trie is dealt to parts: ranges of sorted
+   grams that never split contexts with a common suffix. Suffixes are grown byte by
+   byte while more than PART_GRAMS bytes of the corpus follow them, so a frequent
+   suffix is spread too; the counts of the shorter contexts above such a cut are
+   broadcast (at most 256 for each suffix that is grown, fewer than one suffix for
+   PART_GRAMS bytes and order).
+3. A part adds up the counts of all blocks and sends each block the code lengths of
+   its grams in the order in which they came, so grams travel once only.
+4. Blocks look up their bytes and sum by text. Words go the same way to their counts.
+
+Counts cover all training texts. Nothing but sums and tables of bounded size
+reaches the driver: 65,536 counts of byte pairs and those of the grown suffixes.
+A block is cut by its bytes, but for a single longer text.
 
 Null, empty, repeated: a null text is empty: one end token; rows with the same id
 are scored each; without training rows all bytes are equally likely and no token
@@ -22,7 +32,8 @@ those named like the added ones are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,196 +44,437 @@ from pyspark.sql import types as T
 from . import vectext as V
 from .runtime import bounded_batches, stored
 
-ORDER = 7
-#: Text that one block is planned to hold.
-BLOCK_BYTES = 24 << 20
-#: The trie is spread over tasks by context: at least so many, and one for so many of its rows.
-TRIE_TASKS, TRIE_ROWS = 64, 1_000_000
-END = b"\n"
-END_HASH = int(V.span_hash(V.prefix_sums(np.frombuffer(END, np.uint8)), np.array([0]), np.array([1])).view(np.int64)[0])
-
-WORDS = "part int, block int, word binary, hash long, trained long"
-VOCABULARY = "part int, words binary, total long, known long, gram long, n long"
-
-
-def _packed_table(table: pa.Table) -> bytes:
-    """A table as one compressed value, so that millions of short rows are stored and shuffled as a few."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def word_grams(words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, gram) for each coded byte: gram is the ORDER bytes before it and the byte, as an integer."""
-    data, off = V.arrow_text(pa.array(words, pa.binary()) if isinstance(words, list) else words)
-    size = np.diff(off)
-    pad = ORDER + 1
-    start = np.arange(len(size)) * pad + off[:-1]
-    buffer = np.zeros(len(data) + len(size) * pad, np.uint8)
-    lead = start + ORDER - 1
-    buffer[lead] = 0x20
-    of = np.repeat(np.arange(len(size)), size)
-    buffer[np.arange(len(data)) + (of + 1) * pad - 1] = data
-    close = start + ORDER + size
-    buffer[close] = 0x20
-    gram = np.zeros(max(len(buffer) - ORDER, 0), np.int64)
-    for i in range(ORDER + 1):
-        gram = (gram << 8) | buffer[i : i + len(gram)]
-    coded = np.ones(len(buffer), bool)
-    for i in range(ORDER):
-        coded[start + i] = False
-    is_end = (size == 1) & (data[np.minimum(off[:-1], max(len(data) - 1, 0))] == END[0]) if len(data) else np.zeros(len(size), bool)
-    coded[close[is_end]] = False
-    at = np.flatnonzero(coded)
-    return np.searchsorted(start, at, side="right") - 1, gram[at - ORDER]
-
-
-def _sums(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    unique, inverse = np.unique(key, return_inverse=True)
-    return unique, inverse, np.bincount(inverse, weights=weight, minlength=len(unique)).astype(np.int64)
-
-
-def code_lengths(gram: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+ORDER = 7  # a gram fills 64 bits
+#: Text that one block is planned to hold, bytes of the corpus that one part of the trie is planned for, words in a part.
+BLOCK_BYTES, PART_GRAMS, PART_WORDS = 12 << 20, 16_000_000, 1_000_000
+_PIECE = 1 << 20
+_END, _BLANK = 0x0A, 0x20
+U64 = np.uint64
+REPLY = "block long, part int, kind int, n long, data binary"
+
+
+def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte streams of texts, and their offsets: lower case, one space between words, an end byte last."""
+    n = len(off) - 1
+    close = off[1:] + np.arange(n)  # where the end bytes go
+    raw = np.empty(len(data) + n, np.uint8)
+    text = np.ones(len(raw), bool)
+    text[close] = False
+    raw[text], raw[close] = data, _END
+    space = V.SPACE[raw]
+    low = np.where(space, np.uint8(_BLANK), V.LOWER[raw])
+    keep = ~space
+    keep[1:] |= keep[:-1]  # the first white byte after a word
+    keep[close] = True
+    low[close] = _END
+    doc = np.cumsum(np.add.reduceat(keep, np.r_[0, close[:-1] + 1]) if n else np.zeros(0, np.int64))
+    out = low[keep]
+    # a space right before the end byte goes
+    drop = doc - 2
+    drop = drop[(drop >= np.r_[0, doc[:-1]]) & (out[np.maximum(drop, 0)] == _BLANK)] if n else drop
+    stay = np.ones(len(out), bool)
+    stay[drop] = False
+    sizes = np.diff(np.r_[0, doc]) - np.isin(doc - 2, drop)
+    return out[stay], np.r_[0, np.cumsum(sizes)].astype(np.int64)
+
+
+def grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The gram of each byte of streams laid end to end: the ORDER bytes before it, the latest first, then the byte."""
+    out = np.empty(len(data), U64)
+    padded = np.r_[np.full(ORDER, _END, np.uint8), data]
+    for i in range(0, len(data), _PIECE):
+        m = min(_PIECE, len(data) - i)
+        x = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded[i : i + m + ORDER], ORDER + 1)).view("<u8")[:, 0]
+        out[i : i + m] = (x << U64(8)) | (x >> U64(56))
+    first, size = off[:-1], np.diff(off)
+    for j in range(ORDER):  # contexts don't reach back into the text before
+        at = first[size > j] + j
+        filler = int.from_bytes(bytes([0] * j + [_END] * (ORDER - j) + [0]), "big")
+        keep = int.from_bytes(bytes([255] * j + [0] * (ORDER - j) + [255]), "big")
+        out[at] = (out[at] & U64(keep)) | U64(filler)
+    return out
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and how often each occurs; x is sorted in place."""
+    x.sort()
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return x[at], np.diff(np.r_[at, len(x)])
+
+
+def _prefix(gram: np.ndarray, order: int) -> np.ndarray:
+    """The `order` latest bytes of the contexts of grams."""
+    return gram >> U64(64 - 8 * order) if order else np.zeros(len(gram), U64)
+
+
+def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key among sorted ones, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class _Order:
+    """Counts of one order: sorted keys (context, byte) that were seen, and by context their sum, number and mass one order below."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, below: _Order | None):
+        self.keys, self.counts = keys, counts.astype(np.int64)
+        context = keys >> U64(8)
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.contexts = context[first]
+        total = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
+        self.n, self.t = total(self.counts), np.diff(np.r_[first, len(keys)])
+        if below is None:
+            self.x = np.zeros(len(first), np.int64)
+        else:
+            at, found = _lookup(below.keys, shorter(keys))
+            self.x = total(np.where(found, below.counts[at], 0) if len(below.keys) else np.zeros(len(keys), np.int64))
+
+
+def shorter(keys: np.ndarray) -> np.ndarray:
+    """Keys (context, byte) without the oldest byte of the context."""
+    return ((keys >> U64(16)) << U64(8)) | (keys & U64(255))
+
+
+def code_lengths(gram: np.ndarray, count: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """log10 probability of the last byte of each gram given those before it.
 
-    gram, count: all grams, with training counts, whose contexts end in the same two bytes as any of them.
-    pairs: 256 x 256 counts of (byte before, byte) over all training grams.
+    gram: sorted and distinct, all that share any one's len(low) latest context bytes; count: of training.
+    low: (keys, counts) of the orders 0, 1, .. that these grams alone can't tell.
     """
-    orders: dict[int, tuple] = {}
-    for o in range(ORDER, 1, -1):
-        key = gram if o == 7 else gram & ((1 << 8 * (o + 1)) - 1)  # 8 bytes fill the integer
-        unique, inverse, c = _sums(key, count)
-        contexts, of = np.unique(unique >> 8, return_inverse=True)
-        seen = c > 0
-        orders[o] = (unique, inverse, c, of, np.bincount(of, weights=c).astype(np.int64), np.bincount(of, weights=seen).astype(np.int64))
-    n1, t1 = pairs.sum(axis=1), (pairs > 0).sum(axis=1)
-    zero = pairs.sum(axis=0)
-    x1 = np.where(pairs > 0, zero[None, :], 0).sum(axis=1)
-    last, before = gram & 0xFF, (gram >> 8) & 0xFF
-
-    out, done = np.zeros(len(gram)), np.zeros(len(gram), bool)
+    seen = count > 0
+    tables = {ORDER: (gram[seen], count[seen].astype(np.int64))}
+    for o in range(ORDER - 1, len(low) - 1, -1):
+        keys, counts = tables[o + 1]
+        keys = shorter(keys)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        tables[o] = keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
+    for o, table in enumerate(low):
+        tables[o] = table
+    orders: list[_Order] = []
+    for o in range(ORDER + 1):
+        orders.append(_Order(*tables[o], orders[-1] if o else None))
+
+    out = np.zeros(len(gram))
+    rows = np.arange(len(gram))
     gone_n, gone_t = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
     for o in range(ORDER, -1, -1):
-        if o >= 2:
-            unique, inverse, c, of, n, t = orders[o]
-            if o > 2:
-                lower = orders[o - 1]
-                short = lower[2][np.searchsorted(lower[0], unique & ((1 << 8 * o) - 1))]
-            else:
-                short = pairs[(unique >> 8) & 0xFF, unique & 0xFF]
-            x = np.bincount(of, weights=np.where(c > 0, short, 0)).astype(np.int64)
-            row = of[inverse]
-            own, total, kinds, excluded = c[inverse], n[row], t[row], x[row]
-        elif o == 1:
-            own, total, kinds, excluded = pairs[before, last], n1[before], t1[before], x1[before]
-        else:
-            own, total, kinds = zero[last], np.full(len(gram), zero.sum()), np.full(len(gram), (zero > 0).sum())
-            excluded = np.zeros(len(gram), np.int64)
+        if not len(rows):
+            break
+        t = orders[o]
+        context = _prefix(gram[rows], o)
+        at, known = _lookup(t.contexts, context)
+        total, kinds, mass = ((np.where(known, v[at], 0) if len(v) else np.zeros(len(rows), np.int64)) for v in (t.n, t.t, t.x))
+        at, found = _lookup(t.keys, (context << U64(8)) | (gram[rows] & U64(255)))
+        own = np.where(found, t.counts[at], 0) if len(t.counts) else np.zeros(len(rows), np.int64)
         open_n, open_t = total - gone_n, kinds - gone_t
-        active = ~done & (open_n > 0)
-        hit = active & (own > 0)
-        weight = np.where(own > 0, 2 * own - 1, open_t)
-        out[active] += np.log10(weight[active] / (2 * open_n)[active])
-        done |= hit
-        known = total > 0
-        gone_n, gone_t = np.where(known, excluded, gone_n), np.where(known, kinds, gone_t)
-    left = np.maximum(256 - gone_t, 1)
-    return out - np.where(done, 0, np.log10(left))
-
-
-def _block_words(table):
-    """Distinct words of one block, with how often training texts hold them."""
-    data, off = V.unpack(table["_z"], table["_size"].to_numpy())
-    train, parts = table["_train"].to_numpy(zero_copy_only=False), table["_parts"][0].as_py()
-    have: list[tuple] = []
-    for i, j, part, o in V.blocks(data, off):
-        low = V.LOWER[part]
-        start, end, doc = V.words(low, o)
-        h = V.span_hash(V.prefix_sums(low), start, end)
-        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        n = np.bincount(inverse, weights=train[i:j][doc], minlength=len(unique)).astype(np.int64)
-        s, e = start[first], end[first]
-        size = e - s
-        at = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        have.append((unique.view(np.int64), n, size, low[at]))
-    have.append((np.array([END_HASH]), np.array([int(train.sum())]), np.array([1]), np.frombuffer(END, np.uint8)))
-    h, n, size, raw = (np.concatenate(x) for x in zip(*have, strict=True))
-    starts = np.cumsum(size) - size
-    unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=n, minlength=len(unique)).astype(np.int64)
-    size, s = size[first], starts[first]
-    at = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    word = pa.Array.from_buffers(pa.binary(), len(unique), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(raw[at].tobytes())])
-    block = np.full(len(unique), table["_block"][0].as_py(), np.int32)
-    return pa.table([pa.array((unique % parts).astype(np.int32)), pa.array(block), word, pa.array(unique), pa.array(total)], ["part", "block", "word", "hash", "trained"])
-
-
-def _part_vocabulary(table):
-    """One row with the words of a part (the count of each and the blocks that ask for it), and one for each of its grams."""
-    table = table.combine_chunks()
-    part = table["part"][0].as_py()
-    h, block, n = table["hash"].to_numpy(), table["block"].to_numpy(), table["trained"].to_numpy()
-    order = np.argsort(h, kind="stable")
-    new = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-    total = np.add.reduceat(n[order], new)
-    asked = pa.ListArray.from_arrays(pa.array(np.r_[new, len(h)].astype(np.int32)), pa.array(block[order].astype(np.int32)))
-    words = table["word"].combine_chunks().take(pa.array(order[new]))
-    of, gram = word_grams(words)
-    unique, _, count = _sums(gram, total[of])
-    packed = _packed_table(pa.table([pa.array(h[order][new]), words, pa.array(total), asked], ["hash", "word", "trained", "blocks"]))
-    g = len(unique)
-    first = [pa.array([packed], pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])]
-    columns = [pa.concat_arrays([x, pa.nulls(g, x.type)]) for x in first] + [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x)]) for x in (unique, count)]
-    return pa.table([pa.array(np.full(1 + g, part, np.int32)), *columns], ["part", "words", "total", "known", "gram", "n"])
-
-
-def _trie_task(shared):
-    def codes(table):
-        gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
-        return pa.table({"gram": pa.array(gram), "cost": pa.array(code_lengths(gram, n, shared.value))})
-
-    return codes
-
-
-def _word_costs(words, costs):
-    """Code length of each word of a part, sent to the blocks that ask for it."""
-    words, costs = pa.ipc.open_stream(words["words"][0].as_py()).read_all().combine_chunks(), costs.combine_chunks()
-    gram, cost = costs["gram"].to_numpy(), costs["cost"].to_numpy()
-    order = np.argsort(gram)
-    gram, cost = gram[order], cost[order]
-    of, g = word_grams(words["word"].combine_chunks())
-    total = np.bincount(of, weights=cost[np.searchsorted(gram, g)], minlength=len(words))
-    asked = words["blocks"].combine_chunks()
-    times = np.diff(asked.offsets.to_numpy())
-    return pa.table({"block": asked.flatten(), "hash": np.repeat(words["hash"].to_numpy(), times), "trained": np.repeat(words["trained"].to_numpy(), times), "cost": np.repeat(total, times)})
-
-
-def _score_block(names: list[str], total: int, distinct: int):
-    base = np.log10(total + distinct + 1)
-
-    def score(docs, words):
-        docs, words = docs.combine_chunks(), words.combine_chunks()
-        h, trained, cost = (words[c].to_numpy() for c in ("hash", "trained", "cost"))
-        order = np.argsort(h)
-        h, trained, cost = h[order], trained[order], cost[order]
-        data, off = V.unpack(docs["_z"], docs["_size"].to_numpy())
-        n = len(docs)
+        active = open_n > 0
+        out[rows[active]] += np.log10(np.where(own > 0, 2 * own - 1, open_t)[active] / (2 * open_n)[active])
+        left = ~(active & (own > 0))
+        gone_n, gone_t = np.where(known, mass, gone_n)[left], np.where(known, kinds, gone_t)[left]
+        rows = rows[left]
+    out[rows] -= np.log10(np.maximum(256 - gone_t, 1))
+    return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Compressed array: first bytes of all values, then their second ones, and so on."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.Codec("zstd", compression_level=1).compress(raw.tobytes(), asbytes=True)
+
+
+def _unplanes(z, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize * n
+    raw = np.frombuffer(pa.Codec("zstd").decompress(z, size, asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(-1, n).T).reshape(-1).view(kind) if n else np.zeros(0, kind)
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _planes(np.diff(x, prepend=U64(0)))
+
+
+def _unpack_sorted(z, n: int) -> np.ndarray:
+    return np.cumsum(_unplanes(z, "<u8", n), dtype=U64)
+
+
+def _word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start, end, doc = V.words(data, off)
+    return V.span_hash(V.prefix_sums(data), start, end), doc
+
+
+def _make_blocks(names: list[str], limit: int):
+    """Rows -> blocks: training texts first."""
+
+    def block(key: int, rows: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        train = table["_train"].to_numpy(zero_copy_only=False)
+        order = np.argsort(~train, kind="stable")
+        table = table.take(pa.array(order))
+        sizes = np.array([len(texts[i]) for i in order], np.int64)
+        raw = b"".join([texts[i] for i in order])
+        n_train = int(train.sum())
+        data, off = np.frombuffer(raw, np.uint8), np.r_[0, np.cumsum(sizes)]
+        hashes, weights = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for i, _, part, o in V.blocks(data, off):
+            h, doc = _word_hashes(part, o)
+            unique, inverse = np.unique(h, return_inverse=True)
+            hashes.append(unique)
+            weights.append(np.bincount(inverse, weights=(doc + i) < n_train, minlength=len(unique)).astype(np.int64))
+        unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        trained = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(unique)).astype(np.uint32)
+        columns = [table[c].combine_chunks() for c in names]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        docs = pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.StructArray.from_arrays(columns, names=names))
+        one = lambda x, kind=None: pa.array([x], kind)
+        return pa.RecordBatch.from_arrays(
+            [one(key), docs, one(sizes.astype("<i8").tobytes()), one(n_train, pa.int64()), one(pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)), one(len(raw), pa.int64()), one(_pack_sorted(unique)), one(_planes(trained)), one(len(unique), pa.int64()), one(int(trained.sum()), pa.int64())],
+            ["block", "docs", "sizes", "n_train", "z", "size", "words", "trained", "n_words", "train_words"],
+        )
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        key, rows, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            text, off = V.arrow_text(batch.column(batch.schema.get_field_index("_text")))
+            for i, j, part, o in V.blocks(text, off, _PIECE):
+                stream, at = streams(part, o)
+                raw = stream.tobytes()
+                texts += [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                rest = batch.select(names).slice(i, j - i)
+                rows.append(rest)
+                held += len(raw) + rest.nbytes
+                if held >= limit:
+                    yield block(key, rows, texts)
+                    key, rows, texts, held = key + 1, [], [], 0
+        if texts:
+            yield block(key, rows, texts)
+
+    return blocks
+
+
+def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(block, streams, offsets, training texts) of each row."""
+    for row in range(len(batch)):
+        get = lambda c: batch.column(batch.schema.get_field_index(c))[row]  # noqa: B023, E731
+        sizes = np.frombuffer(get("sizes").as_buffer(), "<i8")
+        data = np.frombuffer(pa.Codec("zstd").decompress(get("z").as_buffer(), get("size").as_py(), asbytes=True), np.uint8)
+        yield get("block").as_py(), data, np.r_[0, np.cumsum(sizes)], get("n_train").as_py()
+
+
+def _pieces(data: np.ndarray, off: np.ndarray, n_train: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Grams of a run of texts, and whether these are for training."""
+    for a, b, train in ((0, n_train, True), (n_train, len(off) - 1, False)):
+        for _, _, x, at in V.blocks(data[off[a] : off[b]], off[a : b + 1] - off[a], 4 * _PIECE):
+            yield grams(x, at), train
+
+
+def _sums(level: int, grown: np.ndarray | None):
+    """Sums of a task: kind 0, (context of `level` - 1 bytes, byte) over training texts; kind 1, suffixes of `level` bytes over all; only below `grown`."""
+
+    def add(have: dict, keys: np.ndarray, n: np.ndarray) -> None:
+        for k, v in zip(keys.tolist(), n.tolist(), strict=True):
+            have[k] += v
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = defaultdict(int), defaultdict(int)
+        for batch in batches:
+            for _, data, off, n_train in _open(batch):
+                for g, train in _pieces(data, off, n_train):
+                    if grown is not None:
+                        g = g[_lookup(grown, _prefix(g, level - 1))[1]]
+                    if train:
+                        add(have[0], *_distinct((_prefix(g, level - 1) << U64(8)) | (g & U64(255))))
+                    add(have[1], *_distinct(_prefix(g, level)))
+        for kind, part in enumerate(have):
+            keys = np.fromiter(part, np.int64, len(part))
+            for i in range(0, len(keys), 50_000):
+                k = keys[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array([part[x] for x in k.tolist()], pa.int64())], ["kind", "key", "n"])
+
+    return sums
+
+
+def _sorted_table(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    rows = sorted(rows)
+    return np.array([k for k, _ in rows], U64), np.array([n for _, n in rows], np.int64)
+
+
+def plan_trie(blocks: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(first gram, suffix length) of each part, and counts by order above the parts. least: parts that there should be; most: bytes a part is planned for."""
+    slim = blocks.select("block", "sizes", "n_train", "z", "size")
+
+    def level(k: int, grown: np.ndarray | None) -> tuple[list, list]:
+        rows = slim.mapInArrow(_sums(k, grown), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()  # 256 for each suffix that is grown
+        return [(r[1], r[2]) for r in rows if r[0] == 0], [(r[1], r[2]) for r in rows if r[0] == 1]
+
+    counts, suffixes = level(2, None)
+    single = defaultdict(int)
+    for k, n in counts:
+        single[k & 255] += n
+    low = [_sorted_table(list(single.items())), _sorted_table(counts)]
+    total = sum(n for _, n in suffixes)
+    fair = max(1, min(most, total // (2 * least)))
+    parts: list[tuple[int, int]] = []
+    by_level = {2: sorted(suffixes)}
+    for k in range(2, ORDER):
+        grown = [s for s, n in by_level[k] if n > most]
+        if not grown:
+            break
+        counts, suffixes = level(k + 1, np.array(grown, U64))
+        low.append(_sorted_table(counts))
+        by_level[k + 1] = sorted(suffixes)
+
+    def walk(k: int, items: list) -> None:
+        held = fair  # the first suffix opens a part
+        for s, n in items:
+            if k < ORDER and n > most:
+                walk(k + 1, [(c, m) for c, m in by_level[k + 1] if c >> 8 == s])
+                held = fair
+                continue
+            if held >= fair:
+                parts.append((s << (64 - 8 * k), k))
+                held = 0
+            held += n
+
+    walk(2, by_level[2])
+    parts.sort()
+    parts = parts or [(0, 2)]
+    return np.array([p for p, _ in parts], U64), np.array([k for _, k in parts]), low
+
+
+def _ask(first: Callable[[], np.ndarray]):
+    """Distinct grams of each block with their training counts, by part."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = first()
+        for batch in batches:
+            for block, data, off, n_train in _open(batch):
+                gram, count = _block_grams(data, off, n_train)
+                cuts = np.r_[0, np.searchsorted(gram, starts[1:]), len(gram)]
+                have = np.flatnonzero(np.diff(cuts))
+                for i in range(0, len(have), 64):
+                    ps = have[i : i + 64].tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ps, pa.int32()), pa.array([block] * len(ps), pa.int64()), pa.array([int(cuts[p + 1] - cuts[p]) for p in ps], pa.int64()), pa.array([_pack_sorted(gram[cuts[p] : cuts[p + 1]]) for p in ps], pa.binary()), pa.array([_planes(count[cuts[p] : cuts[p + 1]]) for p in ps], pa.binary())],
+                        ["part", "block", "n", "keys", "counts"],
+                    )
+
+    return ask
+
+
+def _block_grams(data: np.ndarray, off: np.ndarray, n_train: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of a block and how often its training texts hold them."""
+    cut = off[n_train]
+    own, count = _distinct(grams(data[:cut], off[: n_train + 1]))
+    other, _ = _distinct(grams(data[cut:], off[n_train:] - cut))
+    if not len(other):
+        return own, count.astype(np.uint32)
+    gram, _ = _distinct(np.concatenate([own, other]))
+    out = np.zeros(len(gram), np.uint32)
+    out[np.searchsorted(gram, own)] = count
+    return gram, out
+
+
+def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Distinct keys of a part, their counts over all blocks, and where each block's keys are."""
+    size, z, c = table["n"].to_numpy(), table["keys"].combine_chunks(), table["counts"].combine_chunks()
+    keys = [_unpack_sorted(z[i].as_buffer(), int(n)) for i, n in enumerate(size)]
+    unique, _ = _distinct(np.concatenate(keys))
+    total, places = np.zeros(len(unique), np.int64), []
+    for i, (k, n) in enumerate(zip(keys, size, strict=True)):
+        at = np.searchsorted(unique, k).astype(np.int32)
+        total[at] += _unplanes(c[i].as_buffer(), "<u4", int(n))
+        keys[i] = None
+        places.append((table["block"][i].as_py(), at))
+    return unique, total, places
+
+
+def _reply(part: int, kind: int, values: np.ndarray, places: list) -> pa.Table:
+    z = [_planes(values[at]) for _, at in places]
+    return pa.table({"block": pa.array([b for b, _ in places], pa.int64()), "part": pa.array(np.full(len(places), part, np.int32)), "kind": pa.array(np.full(len(places), kind, np.int32)), "n": pa.array([len(at) for _, at in places], pa.int64()), "data": pa.array(z, pa.binary())})
+
+
+def _trie_part(shared):
+    def costs(table):
+        part = table["part"][0].as_py()
+        _, depth, low = shared.value
+        gram, count, places = _added(table)
+        return _reply(part, 0, code_lengths(gram, count, low[: depth[part]]).astype(np.float32), places)
+
+    return costs
+
+
+def _ask_words(parts: int):
+    """Distinct words of each block with their training counts, by range of the hash."""
+    width = -(-(1 << 64) // parts)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.array([i * width for i in range(1, parts)], U64)
+        for batch in batches:
+            for block, z, c, n in zip(*(batch.column(i) for i in range(4)), strict=True):
+                word, count = _unpack_sorted(z.as_buffer(), n.as_py()), _unplanes(c.as_buffer(), "<u4", n.as_py())
+                cuts = np.r_[0, np.searchsorted(word, starts), len(word)]
+                ps = np.flatnonzero(np.diff(cuts)).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ps, pa.int32()), pa.array([block.as_py()] * len(ps), pa.int64()), pa.array([int(cuts[p + 1] - cuts[p]) for p in ps], pa.int64()), pa.array([_pack_sorted(word[cuts[p] : cuts[p + 1]]) for p in ps], pa.binary()), pa.array([_planes(count[cuts[p] : cuts[p + 1]]) for p in ps], pa.binary())],
+                    ["part", "block", "n", "keys", "counts"],
+                )
+
+    return ask
+
+
+def _word_part(table):
+    _, count, places = _added(table)
+    out = _reply(table["part"][0].as_py(), 1, count, places)
+    return out.append_column("known", pa.array([int((count > 0).sum())] + [0] * (len(out) - 1), pa.int64()))
+
+
+def _gathered(replies: pa.Table, kind: int, dtype: str) -> np.ndarray:
+    """Values that came back to a block, in the order of its sorted keys."""
+    mine = replies.filter(pa.array(replies["kind"].to_numpy() == kind))
+    part, size, data = mine["part"].to_numpy(), mine["n"].to_numpy(), mine["data"].combine_chunks()
+    return np.concatenate([np.zeros(0, dtype), *(_unplanes(data[i].as_buffer(), dtype, int(size[i])) for i in np.argsort(part).tolist())])
+
+
+def _score_block(names: list[str], total: int, distinct: int, ends: int):
+    base, end = np.log10(total + distinct + 1), np.log10(ends + 1.0)
+
+    def score(blocks, replies):
+        out = []
+        for batch in blocks.combine_chunks().to_batches():
+            for row, (_, data, off, n_train) in enumerate(_open(batch)):
+                out.append(_scores(batch, row, data, off, n_train, replies))
+        return pa.concat_tables(out)
+
+    def _scores(batch, row, data, off, n_train, replies):
+        cost, trained = _gathered(replies, 0, "<f4"), _gathered(replies, 1, "<i8")
+        get = lambda c: batch.column(batch.schema.get_field_index(c))
+        word = _unpack_sorted(get("words")[row].as_buffer(), get("n_words")[row].as_py())
+        gram, _ = _block_grams(data, off, n_train)
+        n = len(off) - 1
         tokens, known, base_sum, ppm = np.ones(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
-        end = int(np.searchsorted(h, END_HASH))
-        for i, j, part, o in V.blocks(data, off):
-            low = V.LOWER[part]
-            start, stop, doc = V.words(low, o)
-            at = np.searchsorted(h, V.span_hash(V.prefix_sums(low), start, stop).view(np.int64))
-            m = j - i
-            tokens[i:j] += np.bincount(doc, minlength=m)
-            known[i:j] = np.bincount(doc, weights=trained[at] > 0, minlength=m)
-            base_sum[i:j] = np.bincount(doc, weights=np.log10(trained[at] + 1.0), minlength=m)
-            ppm[i:j] = np.bincount(doc, weights=cost[at], minlength=m)
-        known += trained[end] > 0
-        base_sum += np.log10(trained[end] + 1.0)
-        out = [docs[c] for c in names]
-        return pa.table([*out, pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(n, total)), pa.array(base_sum - tokens * base), pa.array(ppm + cost[end])], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for i, j, part, o in V.blocks(data, off, _PIECE):
+            h, doc = _word_hashes(part, o)
+            c = trained[np.searchsorted(word, h)]
+            tokens[i:j] += np.bincount(doc, minlength=j - i)
+            known[i:j] = np.bincount(doc, weights=c > 0, minlength=j - i)
+            base_sum[i:j] = np.bincount(doc, weights=np.log10(c + 1.0), minlength=j - i)
+            g = grams(part, o)
+            order = np.argsort(g)
+            own = np.empty(len(g))
+            own[order] = cost[np.searchsorted(gram, g[order])]
+            ppm[i:j] = np.add.reduceat(own, o[:-1])  # no stream is empty
+        known += ends > 0
+        docs = get("docs")
+        flat = docs[row].values
+        columns = [flat.field(c) for c in names]
+        return pa.table([*columns, pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(n, total)), pa.array(base_sum + end - tokens * base), pa.array(ppm)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return score
 
@@ -234,36 +486,26 @@ def score(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score", *(c for c in ("_train", "_block", "_parts", "_z", "_size", "_text") if c != text_col))
+    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score", *(c for c in ("_train", "_text") if c != text_col))
     names = [c for c in docs.columns if c != text_col]
-    size = docs.select(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
-    flags = docs.select(*names, F.coalesce(train, F.lit(False)).alias("_train"), F.pmod(F.xxhash64(text_col, *[c for c in names if not isinstance(docs.schema[c].dataType, T.MapType)]), F.lit(parts)).cast("int").alias("_block"), F.lit(parts).alias("_parts"), F.col(text_col).alias("_text"))
-    rest = [c for c in flags.columns if c != "_text"]
-    packed_schema = T.StructType([f for f in flags.schema.fields if f.name != "_text"]).add("_z", "binary").add("_size", "long")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", compression_level=1)
-        for batch in batches:
-            data, off = V.arrow_text(batch.column(batch.schema.get_field_index("_text")))
-            raw = memoryview(data)
-            small = [codec.compress(raw[a:b], asbytes=True) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(small, pa.binary()), pa.array(np.diff(off))], [*rest, "_z", "_size"])
-
-    packed = flags.mapInArrow(pack, packed_schema)
-    words = packed.select("_block", "_parts", "_train", "_z", "_size").groupBy("_block").applyInArrow(_block_words, WORDS)
-    vocabulary = stored(words.groupBy("part").applyInArrow(_part_vocabulary, VOCABULARY), "ppm-vocabulary", tasks=-(-size // BLOCK_BYTES))
-    known = vocabulary.where("gram IS NULL").select("part", "words", "total", "known")
-    grams = vocabulary.where("gram IS NOT NULL").select("part", "gram", "n")
-    total, distinct = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-    pairs = np.zeros((256, 256), np.int64)
-    for row in grams.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("p")).agg(F.sum("n").alias("n")).collect():  # at most 65,536
-        pairs[row[0] >> 8, row[0] & 0xFF] = row[1]
-    shared = spark.sparkContext.broadcast(pairs)
-    tasks = max(TRIE_TASKS, -(-grams.count() // TRIE_ROWS))
-    summed = grams.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("task", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(tasks)))
-    costs = summed.groupBy("task").applyInArrow(_trie_task(shared), "gram long, cost double")
-    asked = grams.select(F.col("part").alias("p"), "gram").join(costs, "gram").groupBy("p")
-    sent = known.select("part", "words").groupBy("part").cogroup(asked).applyInArrow(_word_costs, "block int, hash long, trained long, cost double")
+    rows = docs.select(*names, F.coalesce(train, F.lit(False)).alias("_train"), F.col(text_col).alias("_text"))
+    kept = [*names, "_train"]
+    kind = T.StructType().add("block", "long").add("docs", T.ArrayType(T.StructType([rows.schema[c] for c in kept]))).add("sizes", "binary").add("n_train", "long").add("z", "binary").add("size", "long")
+    kind = kind.add("words", "binary").add("trained", "binary").add("n_words", "long").add("train_words", "long")
+    blocks = stored(rows.mapInArrow(_make_blocks(kept, BLOCK_BYTES), kind), "ppm-blocks")
+    found = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "train_words", "n_words")]).first()
+    ends, total, asked = found[0], found[0] + found[1], found[2]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    part_schema = "part int, block long, n long, keys binary, counts binary"
+    word_parts = max(tasks, -(-asked // PART_WORDS))
+    words = blocks.select("block", "words", "trained", "n_words").mapInArrow(_ask_words(word_parts), part_schema)
+    words = stored(words.groupBy("part").applyInArrow(_word_part, REPLY + ", known long"), "ppm-words")
+    distinct = (words.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]) + (ends > 0)
+
+    shared = spark.sparkContext.broadcast(plan_trie(blocks, tasks, PART_GRAMS))
+    wanted = blocks.select("block", "sizes", "n_train", "z", "size").mapInArrow(_ask(lambda: shared.value[0]), part_schema)
+    costs = wanted.groupBy("part").applyInArrow(_trie_part(shared), REPLY)
+    replies = costs.unionByName(words.drop("known"))
     schema = T.StructType([docs.schema[c] for c in names]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
-    return packed.groupBy("_block").cogroup(sent.groupBy("block")).applyInArrow(_score_block(names, int(total), int(distinct)), schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score_block(names, int(total), int(distinct), int(ends)), schema)
