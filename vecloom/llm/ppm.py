@@ -46,11 +46,11 @@ from .runtime import bounded_batches, stored
 
 ORDER = 7  # a gram fills 64 bits
 #: Text that one block is planned to hold, bytes of the corpus that one part of the trie is planned for, words in a part.
-BLOCK_BYTES, PART_GRAMS, PART_WORDS = 12 << 20, 16_000_000, 1_000_000
+BLOCK_BYTES, PART_GRAMS, PART_WORDS = 8 << 20, 12_000_000, 1_000_000
 _PIECE = 1 << 20
 _END, _BLANK = 0x0A, 0x20
 U64 = np.uint64
-REPLY = "block long, part int, kind int, n long, data binary"
+REPLY = "block long, part int, kind int, n long, kinds long, choice binary, data binary"
 
 
 def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def _make_blocks(names: list[str], limit: int):
         docs = pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.StructArray.from_arrays(columns, names=names))
         one = lambda x, kind=None: pa.array([x], kind)
         return pa.RecordBatch.from_arrays(
-            [one(key), docs, one(sizes.astype("<i8").tobytes()), one(n_train, pa.int64()), one(pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)), one(len(raw), pa.int64()), one(_pack_sorted(unique)), one(_planes(trained)), one(len(unique), pa.int64()), one(int(trained.sum()), pa.int64())],
+            [one(key), docs, one(sizes.astype("<i8").tobytes()), one(n_train, pa.int64()), one(pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)), one(len(raw), pa.int64()), one(_pack_sorted(unique)), one(_planes(trained)), one(len(unique), pa.int64()), one(int(trained.sum()), pa.int64())],
             ["block", "docs", "sizes", "n_train", "z", "size", "words", "trained", "n_words", "train_words"],
         )
 
@@ -396,8 +396,20 @@ def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.
 
 
 def _reply(part: int, kind: int, values: np.ndarray, places: list) -> pa.Table:
-    z = [_planes(values[at]) for _, at in places]
-    return pa.table({"block": pa.array([b for b, _ in places], pa.int64()), "part": pa.array(np.full(len(places), part, np.int32)), "kind": pa.array(np.full(len(places), kind, np.int32)), "n": pa.array([len(at) for _, at in places], pa.int64()), "data": pa.array(z, pa.binary())})
+    """A row for each block: the distinct values of its keys, the most frequent first, and for each key the place of its value."""
+    distinct, code = np.unique(values, return_inverse=True)
+    code = code.astype(np.int32)
+    rows = []
+    for _, at in places:
+        times = np.bincount(code[at], minlength=len(distinct))
+        used = np.flatnonzero(times)
+        used = used[np.argsort(-times[used], kind="stable")]
+        rank = np.zeros(len(distinct), np.uint32)
+        rank[used] = np.arange(len(used))
+        rows.append((len(at), len(used), _planes(distinct[used]), _planes(rank[code[at]])))
+    n, kinds, choice, data = zip(*rows, strict=True)
+    full = lambda x: pa.array(np.full(len(rows), x, np.int32))
+    return pa.table({"block": pa.array([b for b, _ in places], pa.int64()), "part": full(part), "kind": full(kind), "n": pa.array(n, pa.int64()), "kinds": pa.array(kinds, pa.int64()), "choice": pa.array(choice, pa.binary()), "data": pa.array(data, pa.binary())})
 
 
 def _trie_part(shared):
@@ -438,8 +450,10 @@ def _word_part(table):
 def _gathered(replies: pa.Table, kind: int, dtype: str) -> np.ndarray:
     """Values that came back to a block, in the order of its sorted keys."""
     mine = replies.filter(pa.array(replies["kind"].to_numpy() == kind))
-    part, size, data = mine["part"].to_numpy(), mine["n"].to_numpy(), mine["data"].combine_chunks()
-    return np.concatenate([np.zeros(0, dtype), *(_unplanes(data[i].as_buffer(), dtype, int(size[i])) for i in np.argsort(part).tolist())])
+    part, n, kinds = (mine[c].to_numpy() for c in ("part", "n", "kinds"))
+    choice, data = mine["choice"].combine_chunks(), mine["data"].combine_chunks()
+    values = lambda i: _unplanes(choice[i].as_buffer(), dtype, int(kinds[i]))[_unplanes(data[i].as_buffer(), "<u4", int(n[i]))]
+    return np.concatenate([np.zeros(0, dtype), *(values(i) for i in np.argsort(part).tolist())])
 
 
 def _score_block(names: list[str], total: int, distinct: int, ends: int):
