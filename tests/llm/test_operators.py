@@ -282,7 +282,7 @@ def test_ppm_parts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, t boolean")
     want = brute.ppm(rows)
     monkeypatch.setattr(ppm, "PART_GRAMS", 9)
-    monkeypatch.setattr(ppm, "PART_WORDS", 5)
+    monkeypatch.setattr(ppm, "PART_BYTES", 500)
     monkeypatch.setattr(ppm, "BLOCK_BYTES", 1000)
     for r in ppm.score(df, F.col("t")).collect():
         w = want[r["doc_id"]]

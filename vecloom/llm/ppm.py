@@ -16,8 +16,9 @@ after order 0 the bytes never seen are equally likely.
    suffix is spread too; the counts of the shorter contexts above such a cut are
    broadcast (at most 256 for each suffix that is grown, fewer than one suffix for
    PART_GRAMS bytes and order).
-3. A part adds up the counts of all blocks and sends each block the code lengths of
-   its grams in the order in which they came, so grams travel once only.
+3. A part adds up the counts of all blocks and answers each block in the order in
+   which its grams came: counts of grams that training texts hold, what the block
+   lacks of their contexts' sums, and the code lengths of the others.
 4. Blocks look up their bytes and sum by text. Words go the same way to their counts.
 
 Counts cover all training texts. Nothing but sums and tables of bounded size
@@ -45,12 +46,13 @@ from . import vectext as V
 from .runtime import bounded_batches, stored
 
 ORDER = 7  # a gram fills 64 bits
-#: Text that one block is planned to hold, bytes of the corpus that one part of the trie is planned for, words in a part.
-BLOCK_BYTES, PART_GRAMS, PART_WORDS = 8 << 20, 12_000_000, 1_000_000
+#: Text that one block is planned to hold, bytes of the corpus that one part of the trie and one part of the words are planned for.
+BLOCK_BYTES, PART_GRAMS, PART_BYTES = 8 << 20, 12_000_000, 32_000_000
 _PIECE = 1 << 20
 _END, _BLANK = 0x0A, 0x20
 U64 = np.uint64
-REPLY = "block long, part int, kind int, n long, kinds long, choice binary, data binary"
+ASKED = "part int, block long, n long, keys binary, counts binary"
+REPLY = "block long, part int, kind int, n long, contexts long, unseen long, counts binary, more binary, costs binary"
 
 
 def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,22 +218,13 @@ def _make_blocks(names: list[str], limit: int):
         sizes = np.array([len(texts[i]) for i in order], np.int64)
         raw = b"".join([texts[i] for i in order])
         n_train = int(train.sum())
-        data, off = np.frombuffer(raw, np.uint8), np.r_[0, np.cumsum(sizes)]
-        hashes, weights = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for i, _, part, o in V.blocks(data, off):
-            h, doc = _word_hashes(part, o)
-            unique, inverse = np.unique(h, return_inverse=True)
-            hashes.append(unique)
-            weights.append(np.bincount(inverse, weights=(doc + i) < n_train, minlength=len(unique)).astype(np.int64))
-        unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        trained = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(unique)).astype(np.uint32)
         columns = [table[c].combine_chunks() for c in names]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
         docs = pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.StructArray.from_arrays(columns, names=names))
         one = lambda x, kind=None: pa.array([x], kind)
         return pa.RecordBatch.from_arrays(
-            [one(key), docs, one(sizes.astype("<i8").tobytes()), one(n_train, pa.int64()), one(pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)), one(len(raw), pa.int64()), one(_pack_sorted(unique)), one(_planes(trained)), one(len(unique), pa.int64()), one(int(trained.sum()), pa.int64())],
-            ["block", "docs", "sizes", "n_train", "z", "size", "words", "trained", "n_words", "train_words"],
+            [one(key), docs, one(sizes.astype("<i8").tobytes()), one(n_train, pa.int64()), one(pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)), one(len(raw), pa.int64())],
+            ["block", "docs", "sizes", "n_train", "z", "size"],
         )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,10 +300,8 @@ def _sorted_table(rows: list) -> tuple[np.ndarray, np.ndarray]:
 
 def plan_trie(blocks: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """(first gram, suffix length) of each part, and counts by order above the parts. least: parts that there should be; most: bytes a part is planned for."""
-    slim = blocks.select("block", "sizes", "n_train", "z", "size")
-
     def level(k: int, grown: np.ndarray | None) -> tuple[list, list]:
-        rows = slim.mapInArrow(_sums(k, grown), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()  # 256 for each suffix that is grown
+        rows = blocks.mapInArrow(_sums(k, grown), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()  # 256 for each suffix that is grown
         return [(r[1], r[2]) for r in rows if r[0] == 0], [(r[1], r[2]) for r in rows if r[0] == 1]
 
     counts, suffixes = level(2, None)
@@ -348,20 +339,21 @@ def plan_trie(blocks: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.
     return np.array([p for p, _ in parts], U64), np.array([k for _, k in parts]), low
 
 
-def _ask(first: Callable[[], np.ndarray]):
-    """Distinct grams of each block with their training counts, by part."""
+def _ask(parts: Callable[[], np.ndarray], distinct: Callable):
+    """Sorted distinct keys of each block with their training counts, dealt to parts by where these begin."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = first()
+        starts = parts()[1:]
         for batch in batches:
             for block, data, off, n_train in _open(batch):
-                gram, count = _block_grams(data, off, n_train)
-                cuts = np.r_[0, np.searchsorted(gram, starts[1:]), len(gram)]
+                keys, counts = distinct(data, off, n_train)
+                cuts = np.r_[0, np.searchsorted(keys, starts), len(keys)]
                 have = np.flatnonzero(np.diff(cuts))
                 for i in range(0, len(have), 64):
                     ps = have[i : i + 64].tolist()
+                    spans = [slice(int(cuts[p]), int(cuts[p + 1])) for p in ps]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ps, pa.int32()), pa.array([block] * len(ps), pa.int64()), pa.array([int(cuts[p + 1] - cuts[p]) for p in ps], pa.int64()), pa.array([_pack_sorted(gram[cuts[p] : cuts[p + 1]]) for p in ps], pa.binary()), pa.array([_planes(count[cuts[p] : cuts[p + 1]]) for p in ps], pa.binary())],
+                        [pa.array(ps, pa.int32()), pa.array([block] * len(ps), pa.int64()), pa.array([x.stop - x.start for x in spans], pa.int64()), pa.array([_pack_sorted(keys[x]) for x in spans], pa.binary()), pa.array([_planes(counts[x]) for x in spans], pa.binary())],
                         ["part", "block", "n", "keys", "counts"],
                     )
 
@@ -381,35 +373,42 @@ def _block_grams(data: np.ndarray, off: np.ndarray, n_train: int) -> tuple[np.nd
     return gram, out
 
 
+def _block_words(data: np.ndarray, off: np.ndarray, n_train: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct word hashes of a block and how often its training texts hold them."""
+    hashes, weights = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for i, _, part, o in V.blocks(data, off, _PIECE):
+        h, doc = _word_hashes(part, o)
+        unique, inverse = np.unique(h, return_inverse=True)
+        hashes.append(unique)
+        weights.append(np.bincount(inverse, weights=(doc + i) < n_train, minlength=len(unique)).astype(np.int64))
+    unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    return unique, np.bincount(inverse, weights=np.concatenate(weights), minlength=len(unique)).astype(np.uint32)
+
+
 def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
     """Distinct keys of a part, their counts over all blocks, and where each block's keys are."""
     size, z, c = table["n"].to_numpy(), table["keys"].combine_chunks(), table["counts"].combine_chunks()
     keys = [_unpack_sorted(z[i].as_buffer(), int(n)) for i, n in enumerate(size)]
     unique, _ = _distinct(np.concatenate(keys))
     total, places = np.zeros(len(unique), np.int64), []
-    for i, (k, n) in enumerate(zip(keys, size, strict=True)):
-        at = np.searchsorted(unique, k).astype(np.int32)
+    for i, n in enumerate(size):
+        at = np.searchsorted(unique, keys[i]).astype(np.int32)
         total[at] += _unplanes(c[i].as_buffer(), "<u4", int(n))
         keys[i] = None
         places.append((table["block"][i].as_py(), at))
     return unique, total, places
 
 
-def _reply(part: int, kind: int, values: np.ndarray, places: list) -> pa.Table:
-    """A row for each block: the distinct values of its keys, the most frequent first, and for each key the place of its value."""
-    distinct, code = np.unique(values, return_inverse=True)
-    code = code.astype(np.int32)
-    rows = []
-    for _, at in places:
-        times = np.bincount(code[at], minlength=len(distinct))
-        used = np.flatnonzero(times)
-        used = used[np.argsort(-times[used], kind="stable")]
-        rank = np.zeros(len(distinct), np.uint32)
-        rank[used] = np.arange(len(used))
-        rows.append((len(at), len(used), _planes(distinct[used]), _planes(rank[code[at]])))
-    n, kinds, choice, data = zip(*rows, strict=True)
+def _reply(part: int, kind: int, rows: list[tuple]) -> pa.Table:
+    """rows: block, counts, what is more in the contexts, code lengths of what wasn't seen."""
+    blocks, counts, more, costs = zip(*rows, strict=True)
     full = lambda x: pa.array(np.full(len(rows), x, np.int32))
-    return pa.table({"block": pa.array([b for b, _ in places], pa.int64()), "part": full(part), "kind": full(kind), "n": pa.array(n, pa.int64()), "kinds": pa.array(kinds, pa.int64()), "choice": pa.array(choice, pa.binary()), "data": pa.array(data, pa.binary())})
+    sizes = [pa.array([len(x) for x in v], pa.int64()) for v in (counts, more, costs)]
+    return pa.table([pa.array(blocks, pa.int64()), full(part), full(kind), *sizes, *(pa.array([_planes(x) for x in v], pa.binary()) for v in (counts, more, costs))], ["block", "part", "kind", "n", "contexts", "unseen", "counts", "more", "costs"])
+
+
+def _runs(context: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
 
 
 def _trie_part(shared):
@@ -417,43 +416,48 @@ def _trie_part(shared):
         part = table["part"][0].as_py()
         _, depth, low = shared.value
         gram, count, places = _added(table)
-        return _reply(part, 0, code_lengths(gram, count, low[: depth[part]]).astype(np.float32), places)
-
-    return costs
+        cost = code_lengths(gram, count, low[: depth[part]])
+        context = gram >> U64(8)
+        first = _runs(context)
+        total = np.repeat(np.add.reduceat(count, first), np.diff(np.r_[first, len(gram)]))
 
+        def answer(block, at):
+            c, own = count[at], _runs(context[at])
+            return block, c, total[at[own]] - np.add.reduceat(c, own), cost[at[c == 0]]
 
-def _ask_words(parts: int):
-    """Distinct words of each block with their training counts, by range of the hash."""
-    width = -(-(1 << 64) // parts)
+        return _reply(part, 0, [answer(*x) for x in places])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = np.array([i * width for i in range(1, parts)], U64)
-        for batch in batches:
-            for block, z, c, n in zip(*(batch.column(i) for i in range(4)), strict=True):
-                word, count = _unpack_sorted(z.as_buffer(), n.as_py()), _unplanes(c.as_buffer(), "<u4", n.as_py())
-                cuts = np.r_[0, np.searchsorted(word, starts), len(word)]
-                ps = np.flatnonzero(np.diff(cuts)).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ps, pa.int32()), pa.array([block.as_py()] * len(ps), pa.int64()), pa.array([int(cuts[p + 1] - cuts[p]) for p in ps], pa.int64()), pa.array([_pack_sorted(word[cuts[p] : cuts[p + 1]]) for p in ps], pa.binary()), pa.array([_planes(count[cuts[p] : cuts[p + 1]]) for p in ps], pa.binary())],
-                    ["part", "block", "n", "keys", "counts"],
-                )
-
-    return ask
+    return costs
 
 
 def _word_part(table):
     _, count, places = _added(table)
-    out = _reply(table["part"][0].as_py(), 1, count, places)
-    return out.append_column("known", pa.array([int((count > 0).sum())] + [0] * (len(out) - 1), pa.int64()))
+    none = np.zeros(0, np.int64)
+    out = _reply(table["part"][0].as_py(), 1, [(block, count[at], none, none) for block, at in places])
+    return out.append_column("known", pa.array([int((count > 0).sum())] + [0] * (len(out) - 1), pa.int64())).append_column("total", pa.array([int(count.sum())] + [0] * (len(out) - 1), pa.int64()))
 
 
-def _gathered(replies: pa.Table, kind: int, dtype: str) -> np.ndarray:
-    """Values that came back to a block, in the order of its sorted keys."""
+def _gathered(replies: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What came back to a block, in the order of its sorted keys."""
     mine = replies.filter(pa.array(replies["kind"].to_numpy() == kind))
-    part, n, kinds = (mine[c].to_numpy() for c in ("part", "n", "kinds"))
-    choice, data = mine["choice"].combine_chunks(), mine["data"].combine_chunks()
-    values = lambda i: _unplanes(choice[i].as_buffer(), dtype, int(kinds[i]))[_unplanes(data[i].as_buffer(), "<u4", int(n[i]))]
-    return np.concatenate([np.zeros(0, dtype), *(values(i) for i in np.argsort(part).tolist())])
+    order = np.argsort(mine["part"].to_numpy()).tolist()
+
+    def values(column: str, size: str, dtype: str) -> np.ndarray:
+        z, n = mine[column].combine_chunks(), mine[size].to_numpy()
+        return np.concatenate([np.zeros(0, dtype), *(_unplanes(z[i].as_buffer(), dtype, int(n[i])) for i in order)])
+
+    return values("counts", "n", "<i8"), values("more", "contexts", "<i8"), values("costs", "unseen", "<f8")
+
+
+def _block_costs(gram: np.ndarray, count: np.ndarray, more: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    """Code lengths of a block's distinct grams."""
+    first = _runs(gram >> U64(8))
+    total = np.repeat(np.add.reduceat(count, first) + more, np.diff(np.r_[first, len(gram)]))
+    out = np.empty(len(gram))
+    seen = count > 0
+    out[seen] = np.log10((2 * count[seen] - 1) / (2 * total[seen]))
+    out[~seen] = unseen
+    return out
 
 
 def _score_block(names: list[str], total: int, distinct: int, ends: int):
@@ -467,15 +471,14 @@ def _score_block(names: list[str], total: int, distinct: int, ends: int):
         return pa.concat_tables(out)
 
     def _scores(batch, row, data, off, n_train, replies):
-        cost, trained = _gathered(replies, 0, "<f4"), _gathered(replies, 1, "<i8")
-        get = lambda c: batch.column(batch.schema.get_field_index(c))
-        word = _unpack_sorted(get("words")[row].as_buffer(), get("n_words")[row].as_py())
-        gram, _ = _block_grams(data, off, n_train)
+        word, trained = _block_words(data, off, n_train)[0], _gathered(replies, 1)[0]
+        gram = _block_grams(data, off, n_train)[0]
+        cost = _block_costs(gram, *_gathered(replies, 0))
         n = len(off) - 1
         tokens, known, base_sum, ppm = np.ones(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
         for i, j, part, o in V.blocks(data, off, _PIECE):
             h, doc = _word_hashes(part, o)
-            c = trained[np.searchsorted(word, h)]
+            c = trained[np.searchsorted(word, h)] if len(h) else np.zeros(0)
             tokens[i:j] += np.bincount(doc, minlength=j - i)
             known[i:j] = np.bincount(doc, weights=c > 0, minlength=j - i)
             base_sum[i:j] = np.bincount(doc, weights=np.log10(c + 1.0), minlength=j - i)
@@ -485,8 +488,7 @@ def _score_block(names: list[str], total: int, distinct: int, ends: int):
             own[order] = cost[np.searchsorted(gram, g[order])]
             ppm[i:j] = np.add.reduceat(own, o[:-1])  # no stream is empty
         known += ends > 0
-        docs = get("docs")
-        flat = docs[row].values
+        flat = batch.column(batch.schema.get_field_index("docs"))[row].values
         columns = [flat.field(c) for c in names]
         return pa.table([*columns, pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(n, total)), pa.array(base_sum + end - tokens * base), pa.array(ppm)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -505,21 +507,20 @@ def score(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
     rows = docs.select(*names, F.coalesce(train, F.lit(False)).alias("_train"), F.col(text_col).alias("_text"))
     kept = [*names, "_train"]
     kind = T.StructType().add("block", "long").add("docs", T.ArrayType(T.StructType([rows.schema[c] for c in kept]))).add("sizes", "binary").add("n_train", "long").add("z", "binary").add("size", "long")
-    kind = kind.add("words", "binary").add("trained", "binary").add("n_words", "long").add("train_words", "long")
     blocks = stored(rows.mapInArrow(_make_blocks(kept, BLOCK_BYTES), kind), "ppm-blocks")
-    found = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "train_words", "n_words")]).first()
-    ends, total, asked = found[0], found[0] + found[1], found[2]
+    ends, size = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    slim = blocks.select("block", "sizes", "n_train", "z", "size")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    part_schema = "part int, block long, n long, keys binary, counts binary"
-    word_parts = max(tasks, -(-asked // PART_WORDS))
-    words = blocks.select("block", "words", "trained", "n_words").mapInArrow(_ask_words(word_parts), part_schema)
-    words = stored(words.groupBy("part").applyInArrow(_word_part, REPLY + ", known long"), "ppm-words")
-    distinct = (words.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]) + (ends > 0)
+    width = -(-(1 << 64) // max(tasks, -(-size // PART_BYTES)))  # of the hashes of a part
+    words = slim.mapInArrow(_ask(lambda: np.arange(0, 1 << 64, width, dtype=object).astype(U64), _block_words), ASKED)
+    words = stored(words.groupBy("part").applyInArrow(_word_part, REPLY + ", known long, total long"), "ppm-words")
+    distinct, total = words.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    distinct, total = distinct + (ends > 0), total + ends
 
-    shared = spark.sparkContext.broadcast(plan_trie(blocks, tasks, PART_GRAMS))
-    wanted = blocks.select("block", "sizes", "n_train", "z", "size").mapInArrow(_ask(lambda: shared.value[0]), part_schema)
+    shared = spark.sparkContext.broadcast(plan_trie(slim, tasks, PART_GRAMS))
+    wanted = slim.mapInArrow(_ask(lambda: shared.value[0], _block_grams), ASKED)
     costs = wanted.groupBy("part").applyInArrow(_trie_part(shared), REPLY)
-    replies = costs.unionByName(words.drop("known"))
+    replies = costs.unionByName(words.drop("known", "total"))
     schema = T.StructType([docs.schema[c] for c in names]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score_block(names, int(total), int(distinct), int(ends)), schema)
