@@ -100,10 +100,14 @@ def grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values, and how often each occurs; x is sorted in place."""
     x.sort()
-    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    at = _runs(x)
     return x[at], np.diff(np.r_[at, len(x)])
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
 def _prefix(gram: np.ndarray, order: int) -> np.ndarray:
     """The `order` latest bytes of the contexts of grams."""
     return gram >> U64(64 - 8 * order) if order else np.zeros(len(gram), U64)
@@ -123,7 +127,7 @@ class _Order:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, below: _Order | None):
         self.keys, self.counts = keys, counts.astype(np.int64)
         context = keys >> U64(8)
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        first = _runs(context)
         self.contexts = context[first]
         total = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
         self.n, self.t = total(self.counts), np.diff(np.r_[first, len(keys)])
@@ -152,7 +156,7 @@ def code_lengths(gram: np.ndarray, count: np.ndarray, low: list[tuple[np.ndarray
         keys = shorter(keys)
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        first = _runs(keys)
         tables[o] = keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
     for o, table in enumerate(low):
         tables[o] = table
@@ -263,32 +267,40 @@ def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 def _pieces(data: np.ndarray, off: np.ndarray, n_train: int) -> Iterator[tuple[np.ndarray, bool]]:
     """Grams of a run of texts, and whether these are for training."""
     for a, b, train in ((0, n_train, True), (n_train, len(off) - 1, False)):
-        for _, _, x, at in V.blocks(data[off[a] : off[b]], off[a : b + 1] - off[a], 4 * _PIECE):
+        for _, _, x, at in V.blocks(data[off[a] : off[b]], off[a : b + 1] - off[a], _PIECE):
             yield grams(x, at), train
 
 
 def _sums(level: int, grown: np.ndarray | None):
     """Sums of a task: kind 0, (context of `level` - 1 bytes, byte) over training texts; kind 1, suffixes of `level` bytes over all; only below `grown`."""
-
-    def add(have: dict, keys: np.ndarray, n: np.ndarray) -> None:
-        for k, v in zip(keys.tolist(), n.tolist(), strict=True):
-            have[k] += v
+    if grown is not None:
+        near = np.zeros(1 << 16, bool)  # by the two latest bytes of suffixes that are grown
+        near[(grown >> U64(8 * (level - 3))).astype(np.int64)] = True
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = defaultdict(int), defaultdict(int)
+        flat = np.zeros((2, 1 << 16), np.int64)
+        have = [(np.zeros(0, U64), np.zeros(0, np.int64))] * 2
+
+        def add(kind: int, keys: np.ndarray) -> None:
+            if grown is None:  # two bytes
+                flat[kind] += np.bincount(keys.astype(np.int64), minlength=1 << 16)
+            else:
+                k, n = _distinct(keys)
+                unique, inverse = np.unique(np.concatenate([have[kind][0], k]), return_inverse=True)
+                have[kind] = unique, np.bincount(inverse, weights=np.concatenate([have[kind][1], n]), minlength=len(unique)).astype(np.int64)
+
         for batch in batches:
             for _, data, off, n_train in _open(batch):
                 for g, train in _pieces(data, off, n_train):
                     if grown is not None:
+                        g = g[near[_prefix(g, 2).astype(np.int64)]]
                         g = g[_lookup(grown, _prefix(g, level - 1))[1]]
                     if train:
-                        add(have[0], *_distinct((_prefix(g, level - 1) << U64(8)) | (g & U64(255))))
-                    add(have[1], *_distinct(_prefix(g, level)))
-        for kind, part in enumerate(have):
-            keys = np.fromiter(part, np.int64, len(part))
-            for i in range(0, len(keys), 50_000):
-                k = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array([part[x] for x in k.tolist()], pa.int64())], ["kind", "key", "n"])
+                        add(0, (_prefix(g, level - 1) << U64(8)) | (g & U64(255)))
+                    add(1, _prefix(g, level))
+        for kind in (0, 1):
+            keys, n = (np.flatnonzero(flat[kind]), flat[kind][flat[kind] > 0]) if grown is None else have[kind]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
     return sums
 
@@ -373,16 +385,22 @@ def _block_grams(data: np.ndarray, off: np.ndarray, n_train: int) -> tuple[np.nd
     return gram, out
 
 
-def _block_words(data: np.ndarray, off: np.ndarray, n_train: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct word hashes of a block and how often its training texts hold them."""
-    hashes, weights = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+def _sorted_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a block in ascending order, where each distinct one begins, and the place and text of each."""
+    got = [(np.zeros(0, U64), np.zeros(0, np.int64))]
     for i, _, part, o in V.blocks(data, off, _PIECE):
         h, doc = _word_hashes(part, o)
-        unique, inverse = np.unique(h, return_inverse=True)
-        hashes.append(unique)
-        weights.append(np.bincount(inverse, weights=(doc + i) < n_train, minlength=len(unique)).astype(np.int64))
-    unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    return unique, np.bincount(inverse, weights=np.concatenate(weights), minlength=len(unique)).astype(np.uint32)
+        got.append((h, doc + i))
+    h, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(h)
+    h = h[order]
+    return h, _runs(h), order, doc
+
+
+def _block_words(data: np.ndarray, off: np.ndarray, n_train: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct word hashes of a block and how often its training texts hold them."""
+    h, first, order, doc = _sorted_words(data, off)
+    return h[first], (np.add.reduceat((doc < n_train)[order].astype(np.uint32), first) if len(first) else np.zeros(0)).astype(np.uint32)
 
 
 def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -407,10 +425,6 @@ def _reply(part: int, kind: int, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(blocks, pa.int64()), full(part), full(kind), *sizes, *(pa.array([_planes(x) for x in v], pa.binary()) for v in (counts, more, costs))], ["block", "part", "kind", "n", "contexts", "unseen", "counts", "more", "costs"])
 
 
-def _runs(context: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
-
-
 def _trie_part(shared):
     def costs(table):
         part = table["part"][0].as_py()
@@ -471,21 +485,24 @@ def _score_block(names: list[str], total: int, distinct: int, ends: int):
         return pa.concat_tables(out)
 
     def _scores(batch, row, data, off, n_train, replies):
-        word, trained = _block_words(data, off, n_train)[0], _gathered(replies, 1)[0]
         gram = _block_grams(data, off, n_train)[0]
         cost = _block_costs(gram, *_gathered(replies, 0))
         n = len(off) - 1
-        tokens, known, base_sum, ppm = np.ones(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+        h, first, order, doc = _sorted_words(data, off)
+        trained = np.empty(len(h), np.int64)
+        trained[order] = np.repeat(_gathered(replies, 1)[0], np.diff(np.r_[first, len(h)]))
+        del h, order
+        tokens = 1 + np.bincount(doc, minlength=n)
+        known = np.bincount(doc, weights=trained > 0, minlength=n)
+        base_sum = np.bincount(doc, weights=np.log10(trained + 1.0), minlength=n)
+        ppm = np.zeros(n)
         for i, j, part, o in V.blocks(data, off, _PIECE):
-            h, doc = _word_hashes(part, o)
-            c = trained[np.searchsorted(word, h)] if len(h) else np.zeros(0)
-            tokens[i:j] += np.bincount(doc, minlength=j - i)
-            known[i:j] = np.bincount(doc, weights=c > 0, minlength=j - i)
-            base_sum[i:j] = np.bincount(doc, weights=np.log10(c + 1.0), minlength=j - i)
             g = grams(part, o)
             order = np.argsort(g)
+            g = g[order]
+            first = _runs(g)
             own = np.empty(len(g))
-            own[order] = cost[np.searchsorted(gram, g[order])]
+            own[order] = np.repeat(cost[np.searchsorted(gram, g[first])], np.diff(np.r_[first, len(g)]))
             ppm[i:j] = np.add.reduceat(own, o[:-1])  # no stream is empty
         known += ends > 0
         flat = batch.column(batch.schema.get_field_index("docs"))[row].values
