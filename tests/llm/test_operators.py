@@ -351,16 +351,26 @@ def test_decontaminate(spark, messy, messy_rows, empty):
     for r in got:
         text = next(t for d, t, _ in messy_rows if d == r["doc"])
         n, hit, found = brute.hits(text, items)
-        assert (r["n_words"], r["n_hit"], r["items"]) == (n, hit, sorted(str(x) for x in found if x is not None))
+        assert (r["n_words"], r["n_hit"], r["items"], r["n_items"]) == (n, hit, sorted(str(x) for x in found if x is not None), len(found))
     assert decontam.match(empty, bench).count() == 0
     assert decontam.match(messy, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
 
 
-def test_decontaminate_in_passes(spark, messy, monkeypatch):
+def test_decontaminate_null_items_count(spark):
+    """An item without an id is counted as the SQL of the query counts it."""
+    docs = spark.createDataFrame([(1, "un deux trois")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "deux"), (4, "trois"), (4, "trois"), (None, "quatre")], "item_id long, text string")
+    got = decontam.match(docs, bench).first()
+    assert (got["n_items"], got["items"], got["n_hit"]) == (3, ["4", "4"], 2)
+
+
+def test_decontaminate_small_blocks(spark, messy, monkeypatch):
+    """Blocks, candidates at once and crowded cells don't change a result."""
     bench = spark.createDataFrame([(i, prose(60, i)) for i in range(1, 6)], "item_id long, text string")
-    key = lambda df: sorted((r["doc"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in df.collect())
+    key = lambda df: sorted((r["doc"], r["n_words"], r["n_hit"], tuple(r["items"]), tuple(r["spans"])) for r in df.collect())
     once = key(decontam.match(messy, bench))
-    monkeypatch.setattr(decontam, "ITEM_BYTES", 300)
+    for name, value in (("BLOCK", 300), ("CANDIDATES", 3), ("CELL_BITS", 2), ("SIEVE_BITS", 7)):
+        monkeypatch.setattr(decontam, name, value)
     assert key(decontam.match(messy, bench)) == once and any(x[2] for x in once)
 
 

@@ -51,7 +51,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select(
-        F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.col("doc").alias("doc_id"), "n_words", "n_hit", "n_items",
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
