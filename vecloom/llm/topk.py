@@ -1,6 +1,7 @@
 """Exact top-k search by inner product with multi-resolution segment statistics.
 
-Vectors are scaled to integers, so scores are exact. Each vector is cut into
+Vectors are scaled to integers and scores are exact: sums of products below 2**53
+are exact as doubles, others are summed again as integers. Each vector is cut into
 segments; a segment is summed up by its mean and deviation. By Cauchy-Schwarz
 the product of two segments of length L is at most L * (mean * mean + dev *
 dev), and |q|^2 + |x|^2 minus twice that sum is the familiar lower bound of
@@ -13,7 +14,8 @@ a task holds one block of each. A block pair hands on at most k rows a query,
 and the best k are merged by a window with partial limits.
 
 Null, empty, repeated: vectors that are null, empty or hold null or non-finite
-components take no part; vectors of another length than the query's are not
+components (also once scaled) take no part; scores beyond a long are cut to its
+limits and tie there; vectors of another length than the query's are not
 compared; equal scores go to the smaller id; a query's own row is left out by
 id, so rows that repeat its id are left out too; an empty table gives an empty
 result. Further columns are ignored.
@@ -67,16 +69,40 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean, dev]) * np.sqrt(np.hstack([width, width]))
 
 
+def products(x: np.ndarray, q: np.ndarray, norms: np.ndarray, norm: float) -> np.ndarray:
+    """Exact inner products of integer rows x with q, as int64; norms: lengths of the rows, norm: of q."""
+    bound = norms * norm  # no partial sum is larger
+    out = np.zeros(len(x), np.int64)
+    small, medium = bound <= 2.0**52, bound <= 2.0**61
+    out[small] = (x[small] @ q).astype(np.int64)
+    rows = np.flatnonzero(medium & ~small)
+    if len(rows):
+        out[rows] = x[rows].astype(np.int64) @ q.astype(np.int64)
+    whole = [int(v) for v in q] if not medium.all() else []
+    for i in np.flatnonzero(~medium).tolist():
+        out[i] = min(max(sum(a * int(b) for a, b in zip(whole, x[i], strict=True)), -(2**63)), 2**63 - 1)
+    return out
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, levels=LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, row index, score) of the k best rows for each query, ties to the smaller id, own id left out."""
-    stats = [(segment_statistics(q, s), segment_statistics(x, s)) for s in levels if s < x.shape[1]]
-    norms = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        stats = [(segment_statistics(q, s), segment_statistics(x, s)) for s in levels if s < x.shape[1]]
+        norms = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
     out_q, out_r, out_s = [], [], []
     for i in range(len(q)):
         other = np.flatnonzero(ids != q_ids[i])
         if not len(other):
             continue
         bound = norms[0][i] * norms[1][other]
+        if not np.isfinite(bound).all():  # too large for bounds
+            rows = other
+            score = products(x[rows], q[i], norms[1][rows], norms[0][i])
+            best = np.lexsort((ids[rows], ~score))[:k]
+            out_q.append(np.full(len(best), i))
+            out_r.append(rows[best])
+            out_s.append(score[best])
+            continue
         slack = 1e-9 * (1 + float(bound.max()))
         if stats:
             bound = np.minimum(bound, stats[0][1][other] @ stats[0][0][i])
@@ -89,8 +115,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
             if len(rows) <= 4 * k:
                 break
             rows = rows[b[rows] @ a[i] >= least - slack]
-        score = x[rows] @ q[i]
-        best = np.lexsort((ids[rows], -score))[:k]
+        score = products(x[rows], q[i], norms[1][rows], norms[0][i])
+        best = np.lexsort((ids[rows], ~score))[:k]
         out_q.append(np.full(len(best), i))
         out_r.append(rows[best])
         out_s.append(score[best])
@@ -108,13 +134,13 @@ def _search(k: int):
                 q_ids, ids = (np.frombuffer(batch.column(c)[row].as_buffer(), "<i8") for c in (1, 3))
                 q, x = (np.frombuffer(batch.column(c)[row].as_buffer(), "<f8").reshape(-1, dim) for c in (2, 4))
                 a, b, score = search_block(q_ids, q, ids, x, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[b]), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[b]), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return search
 
 
 def valid(vector: str) -> Column:
-    bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double") * SCALE) == float("inf")))
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad
 
 
@@ -129,6 +155,8 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     x = x.withColumn("g", F.pmod(F.xxhash64("x_ids"), F.lit(groups)).cast("int"))
     q = vectors.where("q").select("id", "v").mapInArrow(_pack(QUERY_BLOCK), kind).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
     q = q.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # a block pair is CPU work: a task for each group, whatever its bytes
+    q, x = q.repartition(groups, "dim", "g"), x.repartition(groups, "dim", "g")
     pairs = q.join(x, ["dim", "g"]).select("dim", "q_ids", "q", "x_ids", "x")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
