@@ -94,17 +94,18 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, repeat=2):
 
 
 def mix(rows):
-    """doc_id -> taken; rows: (doc_id, source, size), ids distinct. Cells of the hash are taken in order while they bring the sum nearer."""
+    """doc_id -> taken; rows: (doc_id, source, text), ids distinct. Cells of the hash are taken in order while they bring the sum nearer."""
+    rows = [(d, s, len(words(t)), hashlib.md5(f"{d}|{hashlib.md5(t.encode()).hexdigest() if t is not None else ''}|mix".encode()).hexdigest()) for d, s, t in rows]
     sizes = defaultdict(int)
-    for _, s, n in rows:
+    for _, s, n, _ in rows:
         sizes[s] += n
     goal, out = targets(sizes), {}
     for source in sizes:
         whole = min(int(goal[source] // sizes[source]), 1) if sizes[source] else 0
         budget, cells = goal[source] - whole * sizes[source], defaultdict(list)
-        for d, s, n in rows:
+        for d, s, n, h in rows:
             if s == source:
-                cells[int(hashlib.md5(f"{d}|mix".encode()).hexdigest()[:15], 16) >> 36].append((d, n))
+                cells[int(h[:15], 16) >> 36].append((d, n))
         below = 0
         for cell in sorted(cells):
             own = sum(n for _, n in cells[cell])

@@ -24,7 +24,7 @@ def test_run_matches_brute_force(spark):
     docs = [{**r, "text": k.decode("utf-8", "ignore")} if n else r for r, (k, n, _) in zip(docs, cut, strict=True) if not n or k.decode("utf-8", "ignore").strip(" ")]
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
     docs = [r for r in docs if not brute.hits(r["text"], items)[1]]
-    taken = brute.mix([(r["doc_id"], r["source"], len(brute.words(r["text"]))) for r in docs])
+    taken = brute.mix([(r["doc_id"], r["source"], r["text"]) for r in docs])
 
     got = {r["doc_id"]: (r["text"], r["taken"]) for r in cp.run(spark, SF).collect()}
     assert got == {r["doc_id"]: (r["text"], taken[r["doc_id"]]) for r in docs if taken[r["doc_id"]]}

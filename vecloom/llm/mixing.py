@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms (DataFrame operations only).
 
-Every row gets a 60-bit hash of its id. Words are summed by source and by the
+Every row gets a 60-bit hash of its id and text. Words are summed by source and by the
 first 12 hash bits; running sums over those at most 4096 cells of a source show
 in which cell its budget ends; only the rows of that boundary cell are summed
 again by the next 12 bits. The result is one pair of thresholds for a source,
@@ -8,7 +8,7 @@ and rows are taken by comparing their own hash with it: nothing is sorted.
 Thresholds are nested: a larger budget keeps all that a smaller one takes.
 
 Null, empty, repeated: a null text has size 0; a null source is a source of its
-own, ordered last; rows with the same id share a hash and are taken together;
+own, ordered last; only rows with the same id and text share a hash and are taken together;
 an empty table gives an empty result; further columns are carried along, but
 for those named like the columns that are added, which are replaced.
 """
@@ -34,9 +34,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
-def row_hash(key: Column, seed: str = "mix") -> Column:
-    """60 bits of an md5, the same in any SQL engine."""
-    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"|{seed}"))
+def row_hash(key: Column, text: Column, seed: str = "mix") -> Column:
+    """60 bits of an md5 of id and text, the same in any SQL engine."""
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5(text.cast("binary")), F.lit("")), F.lit(f"|{seed}"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     last cell is taken if that brings the source nearer to its target.
     """
     docs = docs.drop("size", "source_size", "target", "taken", "_h", "_ks", "_whole", "_edge", "_last")
-    sized = docs.select("*", word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), seed).alias("_h"))
+    sized = docs.select("*", word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col), seed).alias("_h"))
     slim = stored(sized.select(F.col(source_col).alias("source"), "size", F.shiftright("_h", 60 - BITS).alias("_c1"), F.shiftright("_h", 60 - 2 * BITS).bitwiseAND(2**BITS - 1).alias("_c2")), "mix-sizes")
     cells = slim.groupBy("source", "_c1").agg(F.sum("size").alias("_s"))
     plan = source_targets(cells.groupBy("source").agg(F.sum("_s").alias("source_size")), weights, share, repeat)
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix'), 1, 15) AS BIGINT) >> 36 AS cell FROM documents),
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '') || '|mix'), 1, 15) AS BIGINT) >> 36 AS cell FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM s),
 c AS (SELECT *, CASE (n - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM w),
