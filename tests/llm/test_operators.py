@@ -157,6 +157,26 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_is_exact_for_large_components(spark):
+    """Products beyond 2**53 are summed as integers, beyond a long they are cut to its limits."""
+    r = np.random.default_rng(5)
+    for size, n in ((1.2e5, 60), (3e7, 40), (1e200, 5)):
+        x = r.normal(size=(n, 12)) * size
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, 10, groups=2).collect())
+        y = [[int(c) for c in np.floor(v * 1024)] for v in x]
+        score = [min(max(sum(a * b for a, b in zip(y[0], v, strict=True)), -(2**63)), 2**63 - 1) for v in y]
+        order = sorted(range(1, n), key=lambda i: (-score[i], i))[:10]
+        assert got == [(k + 1, i, score[i]) for k, i in enumerate(order)]
+
+
+def test_top_k_repeated_ids(spark):
+    """Rows that repeat the query's id are left out; equal scores go to the smaller id."""
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [9.0, 9.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>").select("*", F.lit("own").alias("dim"), F.lit("own").alias("g"))
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(df, (F.col("vec_id") == 0) & (F.col("embedding")[0] == 1), 10, groups=2).orderBy("rank").collect()]
+    assert got == [(i, 3 << 20) for i in (1, 2, 2)]
+
+
 def test_segment_bounds_hold():
     r = np.random.default_rng(4)
     q, x = r.normal(size=(20, 30)), r.normal(size=(50, 30))
@@ -251,12 +271,20 @@ def test_mixing(spark, messy, messy_rows, empty):
 def test_mixing_comes_near_targets(spark):
     rows = [(i, f"s{i % 7}" if i % 3 else "s0", prose(1 + i % 40, i)) for i in range(3000)]
     df = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
-    want = brute.mix([(d, s, len(brute.words(t))) for d, s, t in rows])
+    want = brute.mix(rows)
     assert {r["doc_id"]: r["taken"] for r in df.select("doc_id", "taken").collect()} == want
     for r in df.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
         assert abs(r["taken"] - r["target"]) <= 40
 
 
+def test_mixing_without_ids(spark):
+    """Rows without an id, or of one id, are drawn apart by their texts."""
+    rows = [(None if i % 5 < 2 else 7 if i % 5 == 2 else i, f"s{i % 4}", prose(1 + i % 30, i)) for i in range(2000)]
+    df = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    for r in df.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 60
+
+
 def test_word_count(spark, messy_rows):
     rows = [(t,) for _, t, _ in messy_rows] + [("\x0ba\x1cb\xa0c  ",), (" a b",)]
     got = spark.createDataFrame(rows, "t string").select("t", mixing.word_count(F.col("t")).alias("n")).collect()
@@ -342,6 +370,34 @@ def test_warc_members_and_chain():
     assert warc.reachable(chain[::-1], chain[::-1] + 7).all()
 
 
+def test_warc_unread_bytes(spark, tmp_path):
+    """A broken boundary, a file cut short and garbage are told; zeros after the last member are not bytes of the archive."""
+    import gzip
+
+    record = lambda n, body: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n" % (n, len(body)) + body + b"\r\n\r\n"
+    one, two = record(1, b"a\r\n\r\nb"), record(2, b"c" * 50)
+    for name, raw in (("whole", gzip.compress(one) + gzip.compress(two)), ("padded", gzip.compress(one) + b"\0" * 600), ("broken", one + b"??" + two), ("short", one + two[:-20]), ("junk", gzip.compress(one) + b"garbage"), ("empty", b"")):
+        (tmp_path / f"part-{name}").write_bytes(raw)
+    got = {}
+    for r in warc.read(spark, f"file://{tmp_path}").collect():
+        got.setdefault(r["path"].rpartition("-")[2], []).append((r["at"], r["page_id"], r["record_type"], r["payload_bytes"] if r["record_type"] == "unread" else None))
+    n = len(one)
+    first = (0, 1, "response", None)
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "whole": [first, (n, 2, "response", None)], "padded": [first], "broken": [first, (n, None, "unread", 2 + len(two))], "short": [first, (n, None, "unread", len(two) - 20)], "junk": [first, (n, None, "unread", 7)],
+    }
+
+
+def test_warc_files_by_size(spark, tmp_path, monkeypatch):
+    """A large page has a file of its own and doesn't cut the others small."""
+    monkeypatch.setattr(warc, "CLASSES", (4000, 1000, 100))
+    monkeypatch.setattr(warc, "MAX_BYTES", 40_000)
+    pages = spark.createDataFrame([(i, "u", "x" * (5000 if i < 2 else 50) + str(i)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    per = sorted(r["count"] for r in warc.read(spark, str(tmp_path / "w")).groupBy("path").count().collect())
+    assert per[:2] == [1, 1] and sum(per) == 60 and len(per) < 20
+
+
 def test_decontaminate(spark, messy, messy_rows, empty):
     base = messy_rows[0][1].split()
     items = [(1, " ".join(base[5:40])), (2, "ONE two"), (3, None), (4, "!!"), (10, " ".join(base[5:40])), (None, "ünï"), (5, " ".join(base[10:19]))]

@@ -13,17 +13,28 @@ _local: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a local one only where that is unset on a local master, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.TemporaryDirectory(prefix="vecloom-"))
     return f"file://{_local[0].name}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, known to release()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Results are lazy, so tables that nobody releases live as long as the application."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 #: Rows that one file of an intermediate table is planned to hold, where the number of rows is known.
@@ -42,8 +53,8 @@ def stored(df: DataFrame, name: str, rows: int | None = None, tasks: int | None
     elif tasks is not None:
         df = compact(df, tasks)
     path = fresh_path(spark, name)
-    _tables.append(path)
     df.write.parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,14 @@
 
 Writing: records of equal payloads of at least MIN_BYTES are told apart by their
 smallest id (response) and the others (revisit, without payload); each partition
-becomes gzipped archive files of bounded size in the shared folder, each read
-back by one task. Reading: a task looks for the record magic anywhere in a file, parses
+becomes gzipped archive files in the shared folder, each read back by one task.
+Pages of a like size share files, so that a file holds at most MAX_BYTES, or one
+page, however large some pages are. Reading: a task looks for the record magic anywhere in a file, parses
 what follows as a header and emits (file, offset, successor's offset) for every
 candidate; pointer jumping from offset 0 keeps the records that the chain
 reaches, so magic inside a payload is rejected however real its header looks.
+Bytes that the chain doesn't reach, as after a broken boundary or in a file cut
+short, are told by a row of type `unread` with their place and number.
 
 Null, empty, repeated: a null payload is empty, a null url is left out; rows with
 the same id and payload are both `response` if that id is the smallest; a null id
@@ -26,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import bounded_batches, fresh_path
+from .runtime import bounded_batches, delete_at_end, fresh_path
 
 MIN_BYTES = 100
-#: An archive has at most so many records and, by the largest payload, so many bytes.
-MAX_RECORDS, MAX_BYTES = 4000, 256 << 20
+#: Bytes of an archive, unless it is a single page; classes of page sizes that share archives, the largest first.
+MAX_BYTES = 128 << 20
+CLASSES = (8 << 20, 512 << 10, 32 << 10)
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 RECORDS = "path string, at long, next long, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 _NAMES = [x.split()[0] for x in RECORDS.split(", ")]
@@ -54,21 +58,29 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
     # the writer ends each value with a line feed, the last byte of a record
-    largest = pages.select(F.max(F.octet_length(payload_col))).first()[0] or 0
-    records = max(1, min(MAX_RECORDS, MAX_BYTES // (largest + 1024)))
-    p.select(F.concat(head, block, F.lit("\r\n\r")).alias("value")).write.option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
+    p = p.select("n", F.concat(head, block, F.lit("\r\n\r")).alias("value"))
+    bounds = [(None, CLASSES[0]), *zip(CLASSES, (*CLASSES[1:], -1), strict=True)]  # n in (low, high]
+    within = [(F.col("n") > low) & (F.lit(True) if high is None else F.col("n") <= high) for high, low in bounds]
+    sizes = pages.select(F.coalesce(F.octet_length(payload_col), F.lit(0)).alias("n")).agg(*[F.count(F.when(w, 1)) for w in within]).first()
+    for (high, _), mine, rows in zip(bounds, within, sizes, strict=True):
+        if rows or high == CLASSES[-1]:
+            records = 1 if high is None else MAX_BYTES // (high + 1024)
+            p.where(mine).select("value").write.mode("append").option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
 
 
 def unzip(raw: bytes) -> bytes:
-    """All gzip members of a file, or the file itself if it isn't zipped."""
+    """All gzip members of a file, or the file itself if it isn't zipped. What can't be unzipped stays as it is, but for zeros at the end."""
     if raw[:2] != b"\x1f\x8b":
         return raw
     out = []
-    while raw:
+    while raw[:2] == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        out.append(d.decompress(raw))
+        try:
+            out.append(d.decompress(raw))
+        except zlib.error:
+            break
         raw = d.unused_data
-    return b"".join(out)
+    return b"".join([*out, raw.rstrip(b"\0")])
 
 
 def _number(urn: bytes | None) -> int | None:
@@ -106,8 +118,9 @@ def _scan(payload: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = list(candidates(unzip(content.as_py()), payload))
-                if rows:
+                raw = unzip(content.as_py())
+                rows = [*candidates(raw, payload), (len(raw), None, None, "end", 0, "", None, None)]
+                if raw:
                     columns = list(zip(*rows, strict=True))
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(rows)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], _NAMES)
@@ -117,6 +130,8 @@ def _scan(payload: bool):
 
 def reachable(at: np.ndarray, following: np.ndarray) -> np.ndarray:
     """Which offsets the chain from offset 0 reaches; pointer jumping, so few rounds for any number of records."""
+    if not len(at):
+        return np.zeros(0, bool)
     order = np.argsort(at)
     spot = np.minimum(np.searchsorted(at[order], following), len(at) - 1)
     end = len(at)
@@ -132,12 +147,21 @@ def reachable(at: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 
 def _keep_chain(table):
+    """The records of one file that the chain reaches, and a row for what it doesn't."""
     table = table.combine_chunks()
-    return table.filter(pa.array(reachable(table["at"].to_numpy(), table["next"].to_numpy())))
+    is_end = table["record_type"].to_numpy() == "end"
+    size = int(table["at"].to_numpy()[is_end][0])
+    rows = table.filter(pa.array(~is_end))
+    rows = rows.filter(pa.array(reachable(rows["at"].to_numpy(), rows["next"].to_numpy())))
+    done = int(rows["next"].to_numpy().max()) if len(rows) else 0
+    if done == size:
+        return rows
+    rest = {"path": table["path"][0].as_py(), "at": done, "next": size, "page_id": None, "record_type": "unread", "payload_bytes": size - done, "payload_digest": None, "refers_to": None, "payload": None}
+    return pa.concat_tables([rows, pa.Table.from_pylist([rest], schema=table.schema)])
 
 
 def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """Records of all archives under `path`, by the chain of their boundaries; payload: with its bytes."""
+    """Records of all archives under `path`, by the chain of their boundaries, and unread rests of files; payload: with its bytes."""
     bounded_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = files.mapInArrow(_scan(payload), RECORDS)
@@ -149,7 +173,9 @@ def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write(pages, path, **columns)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    delete_at_end(spark, path)
+    whole = F.when(F.col("record_type") == "unread", F.raise_error(F.concat(F.lit("unread bytes in "), "path"))).otherwise(F.col("record_type"))
+    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", whole.alias("record_type"), "refers_to")
 
 
 ORACLE = """
