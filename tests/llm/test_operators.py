@@ -442,11 +442,13 @@ def test_chat(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string").select("*", F.lit("user").alias("role"), F.lit("own").alias("depth"), F.lit("own").alias("h"))
     out = chat.link(df)
     got = {(r["conv_id"], r["turn"]): (r["text"], r["reply_to"], r["n_quotes"], r["n_linked"], r["depth"], r["thread"]) for r in out.collect()}
-    assert got[1, 1] == ("Fine.", 0, 1, 1, 1, 0) and got[1, 2] == ("Good", 1, 2, 2, 2, 0) and got[1, 4] == ("hm", None, 1, 0, 0, 4)
+    assert got[1, 1] == ("Fine.", 0, 1, 1, 1, 0) and got[1, 2] == ("Good", 1, 2, 2, 2, 0) and got[1, 4] == ("hm", 2, 1, 0, 3, 0)
     assert got[2, 0][0] == "" and got[2, 1] == ("", 0, 0, 0, 1, 0) and got[3, None] == ("t", None, 0, 0, 0, None) and got[None, 1][5] == 1
     assert out.count() == len(rows) and chat.link(df.where("false")).count() == 0
     parts = chat.conversations(out, part_turns=2).where("conv_id = 1 AND thread = 0").orderBy("part").collect()
-    assert [[m["turn"] for m in r["messages"]] for r in parts] == [[0, 1, 1], [2]]
+    assert [[m["turn"] for m in r["messages"]] for r in parts] == [[0, 1, 1], [2], [4]]
+    in_order = chat.messages_in_order(chat.conversations(out, part_turns=2)).collect()
+    assert len(in_order) == len(rows) and all(r["position"] == 0 for r in in_order if r["turn"] is None)
 
 
 def test_chat_partial_quotes(spark):
@@ -461,6 +463,35 @@ def test_chat_partial_quotes(spark):
     assert got[1, 5] == (4, 1, 0) and got[2, 1] == (0, 1, 0) and got[None, 2] == (0, 1, 1)
 
 
+def test_chat_agrees_with_sql(spark):
+    """The SQL of the query on partial quotes, gaps, repeated rows and nulls."""
+    import duckdb
+    import pandas as pd
+
+    rows = [
+        (1, 0, "one a\ntwo b\nthree c", "u"), (1, 1, "p q\n\nr s\n\nt u", "a"), (1, 2, "> one a\n> TWO  b\nyes\nindeed\n> three c\nno\nnever", "u"), (1, 3, "> r s\n>\n> t u\nok", "a"), (1, 9, "> yes\n> indeed\nsure", "u"),
+        (1, 12, "> one a\n> three c\nhm", "a"), (1, 12, "> one a\n> three c\nhm", "a"), (2, 1500, "x y", None), (2, 2600, "plain", "u"), (2, None, "z", "u"), (2, None, "z", "u"), (3, 0, None, "u"), (None, 0, "k l\nm n\no p", "u"), (None, 4, "> k l\n> m n\nend", "a"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")
+    got = chat.messages_in_order(chat.conversations(chat.link(df)))
+    c = duckdb.connect()
+    c.register("raw", pd.DataFrame(rows, columns=["conv_id", "turn", "text", "role"], dtype=object))
+    c.execute("CREATE TABLE conversations AS SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CAST(text AS VARCHAR) AS text, CAST(role AS VARCHAR) AS role FROM raw")
+    cursor = c.execute(chat.ORACLE)
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(str([r[n] for n in names]) for r in got.collect()) == sorted(str(list(r)) for r in cursor.fetchall())
+
+
+def test_chat_gaps_in_turns(spark):
+    """A message without a linked quote answers the latest earlier one, near or far."""
+    turns = [-5000, -3, 0, 1, 1023, 1024, 5000, 2_000_000, 2_000_001, 3_000_000_000]
+    df = spark.createDataFrame([(c, t, f"m{t}", "u") for c in (1, None) for t in turns] + [(2, 7, "a", "u")], "conv_id long, turn long, text string, role string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["depth"]) for r in chat.link(df).collect()}
+    want = {(c, t): (turns[i - 1] if i else None, i) for c in (1, None) for i, t in enumerate(turns)}
+    assert got == want | {(2, 7): (None, 0)}
+
+
 def test_chat_long_reply_chain(spark):
     df = spark.createDataFrame([(1, i, f"m{i}", "u") for i in range(300)], "conv_id long, turn long, text string, role string")
     assert {r["turn"]: r["depth"] for r in chat.link(df).collect()} == {i: i for i in range(300)}

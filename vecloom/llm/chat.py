@@ -9,7 +9,8 @@ several lines without such a unit links to the earliest message that holds these
 lines one after another, blank lines aside: own texts are hashed once more in
 windows of as many lines as such passages of their conversation have. A message
 answers the latest message that it quotes directly (else at any depth), else the
-one before it. Depth and thread come from pointer doubling over these answers.
+latest earlier one of its conversation, however many turns lie between. Depth and
+thread come from pointer doubling over these answers.
 
 Originals are minima by (conversation, hash), summed up before the shuffle, so a
 line that is everywhere costs one row; no conversation is gathered in one task.
@@ -74,6 +75,25 @@ def line_windows(own: DataFrame, part: DataFrame) -> DataFrame:
     return window.groupBy("c", "wh").agg(F.min("turn").alias("source"))
 
 
+def earlier(nodes: DataFrame) -> DataFrame:
+    """Distinct (conv_id, turn) with `before`, the latest smaller turn of the conversation.
+
+    By runs of 1024 turns, then of 1024 runs and so on, so that no window holds more than 1024 rows.
+    """
+    nodes = stored(nodes, "chat-turns")
+    lo, hi = nodes.agg(F.coalesce(F.min("turn"), F.lit(0)), F.coalesce(F.max("turn"), F.lit(0))).first()
+    lag = lambda c, of, by: F.lag(c).over(Window.partitionBy("conv_id", of).orderBy(by))
+    run = lambda c, k: F.lit(0) if (hi >> k) - (lo >> k) < 1024 else F.shiftright(c, 10)
+    out, shift = nodes.withColumn("run", run("turn", 0)).withColumn("before", lag("turn", "run", "turn")).drop("run"), 0
+    while (hi >> shift) - (lo >> shift) >= 1024:
+        shift += 10
+        runs = nodes.groupBy("conv_id", F.shiftright("turn", shift).alias("g")).agg(F.max("turn").alias("last")).withColumn("run", run("g", shift))
+        runs = runs.select(F.col("conv_id").alias("rc"), "g", lag("last", "run", "g").alias("prev"))
+        out = out.join(runs, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.shiftright("turn", shift) == F.col("g")), "left")
+        out = stored(out.select("conv_id", "turn", F.coalesce("before", "prev").alias("before")), "chat-turns")
+    return out
+
+
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """messages, the text without quotes, with reply_to, n_quotes, n_linked, depth (0 at a thread's start) and thread."""
     messages = messages.drop("reply_to", "n_quotes", "n_linked", "depth", "thread", "_c", "_n")
@@ -94,11 +114,9 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     said = quotes.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("n")).agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("source").alias("n_linked"), F.coalesce(F.max(F.when(F.col("level") == 1, F.col("source"))), F.max("source")).alias("quoted")
     )
-    nodes = m.where(F.col("turn").isNotNull()).select("conv_id", "turn").distinct()
-    before = nodes.select(F.col("conv_id").alias("bc"), (F.col("turn") + 1).alias("bn"))
-    nodes = nodes.join(before, nodes["conv_id"].eqNullSafe(before["bc"]) & (F.col("turn") == F.col("bn")), "left")
+    nodes = earlier(m.where(F.col("turn").isNotNull()).select("conv_id", F.col("turn").cast("long").alias("turn")).distinct())
     nodes = nodes.join(said, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("n")), "left")
-    reply = F.coalesce("quoted", F.when(F.col("bn").isNotNull(), F.col("turn") - 1))
+    reply = F.coalesce("quoted", "before")
     nodes = stored(nodes.select("conv_id", "turn", reply.alias("reply_to"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "chat-nodes")
 
     n = nodes.count()
@@ -121,11 +139,19 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 def conversations(linked: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = 1000) -> DataFrame:
     """One row for each conversation, thread and part of `part_turns` turns: messages in reply order, quotes removed.
 
-    Answers come after what they answer, as links only lead back; parts keep rows bounded.
+    Answers come after what they answer, as links only lead back; parts keep rows bounded. Messages without a turn
+    have no place in a conversation: each is a row of its own.
     """
-    message = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col("reply_to"), F.col("depth"), F.col(text_col).alias("text"))
+    message = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), "reply_to", "depth", F.col(text_col).alias("text"), "n_quotes", "n_linked")
     part = F.floor(F.col(turn_col) / part_turns).alias("part")
-    return linked.groupBy(F.col(conv_col).alias("conv_id"), "thread", part).agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    alone = F.when(F.col(turn_col).isNull(), F.monotonically_increasing_id()).alias("_alone")
+    keyed = linked.select(F.col(conv_col).alias("conv_id"), "thread", part, alone, message.alias("_m"))
+    return keyed.groupBy("conv_id", "thread", "part", "_alone").agg(F.array_sort(F.collect_list("_m")).alias("messages")).drop("_alone")
+
+
+def messages_in_order(convs: DataFrame) -> DataFrame:
+    """The messages of conversations(), each with its position in its part."""
+    return convs.select("conv_id", "thread", "part", F.posexplode("messages").alias("position", "_m")).select("conv_id", "thread", "part", F.col("position").cast("long").alias("position"), "_m.*")
 
 
 ORACLE = r"""
@@ -136,16 +162,24 @@ o AS (SELECT conv_id, turn, text, CASE WHEN max(level) > 0 THEN trim(coalesce(st
   FROM (SELECT *, coalesce(lead(level) OVER (PARTITION BY conv_id, turn, text ORDER BY pos), 0) AS nxt FROM v) GROUP BY conv_id, turn, text),
 u AS (SELECT conv_id, turn, trim(regexp_replace(lower(unnest(list_concat([own], list_concat(string_split_regex(own, '\n[ \t]*\n'), string_split(own, chr(10)))))), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM o WHERE turn IS NOT NULL),
 s AS (SELECT conv_id, h, min(turn) AS source FROM u GROUP BY ALL),
-p AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(string_agg(regexp_replace(line, '^([ \t]*>)+[ \t]?', ''), chr(10) ORDER BY pos)), '[\x20\x09-\x0D]+', ' ', 'g')) AS h
+p AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(string_agg(regexp_replace(line, '^([ \t]*>)+[ \t]?', ''), chr(10) ORDER BY pos)), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
+    count(*) FILTER (regexp_matches(regexp_replace(line, '^([ \t]*>)+[ \t]?', ''), '[^\x20\x09-\x0D]')) AS m
   FROM (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, text, level ORDER BY pos) AS run FROM v WHERE level > 0) GROUP BY conv_id, turn, text, level, run),
-q AS (SELECT p.conv_id, p.turn, count(*) AS n_quotes, count(source) AS n_linked, coalesce(max(CASE WHEN level = 1 THEN source END), max(source)) AS quoted
-  FROM p LEFT JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.h = s.h AND source < p.turn WHERE p.h <> '' GROUP BY ALL),
-n AS (SELECT a.conv_id, a.turn, coalesce(quoted, b.turn) AS reply_to, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked
-  FROM (SELECT DISTINCT conv_id, turn FROM m WHERE turn IS NOT NULL) a LEFT JOIN (SELECT DISTINCT conv_id, turn FROM m WHERE turn IS NOT NULL) b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND b.turn = a.turn - 1
+pu AS (SELECT p.*, source AS whole FROM p LEFT JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.h = s.h AND source < p.turn WHERE p.h <> ''),
+ol AS (SELECT conv_id, turn, list_filter(list_transform(string_split(own, chr(10)), lambda x: trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM o WHERE turn IS NOT NULL),
+wl AS (SELECT conv_id, h, min(turn) AS source FROM (SELECT ol.conv_id, ol.turn, unnest(list_transform(range(1, len(ls) - m + 2), lambda i: array_to_string(list_slice(ls, i, i + m - 1), ' '))) AS h
+  FROM ol JOIN (SELECT DISTINCT conv_id AS pc, m FROM pu WHERE whole IS NULL AND m > 1) ON conv_id IS NOT DISTINCT FROM pc AND m <= len(ls)) GROUP BY ALL),
+pl AS (SELECT pu.*, coalesce(whole, wl.source) AS source FROM pu LEFT JOIN wl ON whole IS NULL AND m > 1 AND pu.conv_id IS NOT DISTINCT FROM wl.conv_id AND pu.h = wl.h AND wl.source < pu.turn),
+q AS (SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, coalesce(max(CASE WHEN level = 1 THEN source END), max(source)) AS quoted FROM pl GROUP BY ALL),
+n AS (SELECT a.conv_id, a.turn, coalesce(quoted, a.before) AS reply_to, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked
+  FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM m WHERE turn IS NOT NULL)) a
   LEFT JOIN q ON a.conv_id IS NOT DISTINCT FROM q.conv_id AND a.turn = q.turn),
 t AS (SELECT conv_id, turn, 0 AS depth, turn AS thread FROM n WHERE reply_to IS NULL
   UNION ALL SELECT n.conv_id, n.turn, t.depth + 1, t.thread FROM n JOIN t ON n.conv_id IS NOT DISTINCT FROM t.conv_id AND n.reply_to = t.turn)
-SELECT m.conv_id, m.turn, m.role, o.own AS text, n.reply_to, CAST(coalesce(n.n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n.n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth, t.thread
+, f AS (SELECT m.conv_id, m.turn, m.role, o.own AS text, n.reply_to, CAST(coalesce(n.n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n.n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth, t.thread, CAST(floor(m.turn / 1000.0) AS BIGINT) AS part
 FROM m JOIN o ON m.conv_id IS NOT DISTINCT FROM o.conv_id AND m.turn IS NOT DISTINCT FROM o.turn AND m.text = o.text
-LEFT JOIN n ON m.conv_id IS NOT DISTINCT FROM n.conv_id AND m.turn = n.turn LEFT JOIN t ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.turn = t.turn
+LEFT JOIN n ON m.conv_id IS NOT DISTINCT FROM n.conv_id AND m.turn = n.turn LEFT JOIN t ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.turn = t.turn)
+SELECT conv_id, thread, part, turn, role, text, reply_to, n_quotes, n_linked, depth,
+  CASE WHEN turn IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY conv_id, thread, part ORDER BY turn NULLS FIRST, role NULLS FIRST, reply_to NULLS FIRST, depth, text NULLS FIRST) - 1 END AS position
+FROM f
 """

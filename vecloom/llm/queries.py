@@ -57,7 +57,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text", "reply_to", "n_quotes", "n_linked", "depth", "thread")
+    return chat.messages_in_order(chat.conversations(chat.link(table(spark, sf_dir, "conversations"))))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
