@@ -1,6 +1,7 @@
 """run() against a brute-force version, stage by stage on what the stage before kept."""
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from vecloom.llm import quality
@@ -30,6 +31,19 @@ def test_run_matches_brute_force(spark):
     assert got == {r["doc_id"]: (r["text"], taken[r["doc_id"]]) for r in docs if taken[r["doc_id"]]}
 
 
+def test_stages_hand_on_columns_with_clashing_names(spark):
+    """Columns named like those of an operator keep their values; nulls, empty and repeated rows pass."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    docs = docs.unionByName(docs.limit(2)).unionByName(docs.limit(1).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "lang", "source", "n_chars"))
+    names = ["_key", "score", "predicted", "kept", "n_removed", "_d", "_n", "_own__key"]
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in names])
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in names)
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in cp.STAGES[:-1]:
