@@ -120,8 +120,53 @@ def test_pigeonhole_keys():
     assert same.all()
 
 
+def test_forest_spans_every_component():
+    r = np.random.default_rng(9)
+    for n, m in ((30, 25), (40, 90), (1, 0)):
+        edges = {tuple(sorted(e)) for e in r.integers(0, n, (m, 2)).tolist() if e[0] != e[1]}
+        near = lambda i, pool: np.array([j for j in pool.tolist() if tuple(sorted((i, j))) in edges], np.int64)  # noqa: B023, E731
+        every = np.arange(n)
+
+        def label(pairs):
+            p = list(range(n))  # noqa: B023
+            for a, b in list(pairs) * n:  # noqa: B023
+                p[a] = p[b] = min(p[a], p[b])
+            return p
+
+        whole = near_dup.forest(every, every, near)
+        assert len(whole) <= n - 1 and label(whole) == label(edges)
+        left, right = every[: n // 2], every[n // 2 :]
+        assert label(near_dup.forest(left, right, near)) == label([(a, b) for a, b in edges if a < n // 2 <= b])
+
+
+def test_candidates_are_the_pairs_under_the_distance(spark, monkeypatch):
+    """Every pair under the signature distance is connected, and nothing else; also when keys are frequent."""
+    r = np.random.default_rng(12)
+    sig = r.integers(0, 2**16, (90, near_dup.CHUNKS * near_dup.WIDTH)).astype(np.uint16)
+    for i in range(30, 90):
+        sig[i] = sig[i % 30]
+        sig[i, r.permutation(64)[: r.integers(20, 45)]] += 1
+    sig[:, :3] = 7  # a key that all share
+    apart = (sig[:, None, :] != sig[None, :, :]).sum(axis=2)
+
+    def label(pairs):
+        p = list(range(90))
+        for a, b in pairs * 90:
+            p[a] = p[b] = min(p[a], p[b])
+        return p
+
+    want = label([(i, j) for i in range(90) for j in range(i) if apart[i, j] < near_dup.DISTANCE])
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "c long, signature binary")
+    for rows in (4000, 7):
+        monkeypatch.setattr(near_dup, "RUN_ROWS", rows)
+        monkeypatch.setattr(near_dup, "BUCKET_ROWS", 50 if rows == 7 else 400_000)
+        got = [(r["a"], r["b"]) for r in near_dup.candidate_links(df, 3).collect()]
+        assert label(got) == want and all(apart[a, b] < near_dup.DISTANCE for a, b in got)
+
+
 def test_large_groups_are_compared_in_block_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(near_dup, "RUN_ROWS", 5)
     base = prose(80, 20).split()
     rows = []
     for i in range(30):

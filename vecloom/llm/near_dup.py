@@ -3,17 +3,20 @@
 1. Whole texts become sets of k-word shingles and signatures of CHUNKS x WIDTH
    b-bit minima. Equal sets form one class and are handled once.
 2. A signature is split into chunks. Two signatures that differ in fewer than
-   2 * CHUNKS places have, by pigeonhole, a chunk with at most one error, so
-   they share one of the keys (chunk, place left out, the other minima): all
+   2 * CHUNKS = DISTANCE places have, by pigeonhole, a chunk with at most one error,
+   so they share one of the keys (chunk, place left out, the other minima): all
    allowed errors are enumerated and every pair under the distance is found. At
    a similarity of 0.75 the distance is 16 of 64 on average; 32 is 4.6 standard
    deviations away. Keys are range-partitioned with the class as a tie-breaker,
-   so a frequent key is spread; each run of a key yields links to its smallest
-   class, which join exactly the classes that all pairs of the run would join.
-3. These candidate groups are cut into blocks; in each pair of blocks all full
-   sets are intersected exactly, and a spanning forest of the true links leaves
-   the task. A group of any size is thus compared in bounded tasks.
-4. Connected components of the links.
+   so a frequent key is spread.
+3. Classes that share a key are compared by their signatures; of the pairs under
+   the distance a spanning forest leaves the task, never all pairs. A class found
+   near leaves the pool, so a tight group costs as many comparisons as it has
+   members. A run of more than RUN_ROWS classes is compared in pairs of blocks.
+4. Components of these links are the candidate groups. They are cut into blocks of
+   bounded size; in each pair of blocks, sets of a like size whose signatures are
+   under the distance are intersected in full, again as a spanning forest.
+5. Connected components of the confirmed links.
 
 Null, empty, repeated: no words, an empty set, linked with nothing; rows of the
 same id are one document if their texts agree; a null id never represents a
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectext as V
@@ -36,8 +39,10 @@ from .runtime import bounded_batches, compact, scan_tasks, stored
 
 SHINGLE = 5
 CHUNKS, WIDTH, B_BITS = 16, 4, 16
-#: Rows of a range bucket; shingles in a block of a large candidate group.
-BUCKET_ROWS, BLOCK_SHINGLES = 400_000, 1_500_000
+#: Pairs at a smaller distance of signatures are candidates.
+DISTANCE = 2 * CHUNKS
+#: Rows of a range bucket; classes of a frequent key that are compared at once; shingles in a block of a large candidate group.
+BUCKET_ROWS, RUN_ROWS, BLOCK_SHINGLES = 400_000, 4_000, 1_500_000
 _rng = np.random.Generator(np.random.PCG64(11))
 _A = _rng.integers(0, 2**64, CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**64, CHUNKS * WIDTH, dtype=np.uint64)
@@ -104,81 +109,129 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], ["key", "c"])
 
 
-def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of each run to its smallest class; for the first and last run of the bucket also (key, a) with b null."""
+def _run_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, c, n) of runs of n > 1 equal keys; n is null for the first and last run of the bucket, which may go on in the next."""
     got = list(batches)
     if not got or not sum(len(b) for b in got):
         return
     table = pa.Table.from_batches(got)
     key, c = table["key"].to_numpy(), table["c"].to_numpy()
-    order = np.lexsort((c, key))
+    order = np.argsort(key, kind="stable")
     key, c = key[order], c[order]
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    head = np.repeat(c[new], np.diff(np.r_[new, len(key)]))
-    pair = np.flatnonzero(head != c)
-    links = np.unique(np.column_stack([head[pair], c[pair]]), axis=0) if len(pair) else np.zeros((0, 2), np.int64)
-    ends = np.unique(new[[0, -1]])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.r_[np.zeros(len(links), np.int64), key[ends]]), pa.array(np.r_[links[:, 0], c[ends]]), pa.array(np.r_[links[:, 1], np.zeros(len(ends), np.int64)], mask=np.r_[np.zeros(len(links), bool), np.ones(len(ends), bool)])],
-        ["key", "a", "b"],
-    )
+    size = np.diff(np.r_[new, len(key)])
+    n = np.repeat(size, size)
+    edge = np.repeat(np.isin(np.arange(len(size)), (0, len(size) - 1)), size)
+    at = np.flatnonzero((n > 1) | edge)
+    yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(c[at]), pa.array(n[at], mask=edge[at])], ["key", "c", "n"])
+
+
+def forest(left: np.ndarray, right: np.ndarray, near) -> list[tuple[int, int]]:
+    """A spanning forest of the graph between left and right (or within left, if they are equal), as pairs.
+
+    near(i, pool): those of pool that i is linked to. What has been reached leaves the pool.
+    """
+    same = np.array_equal(left, right)
+    pools = [left, left if same else right]
+    found: list[tuple[int, int]] = []
+    reached: set[int] = set()
+    for seed in left.tolist():
+        if seed in reached:
+            continue
+        stack = [(seed, 0)]
+        pools[0] = pools[0][pools[0] != seed]
+        while stack:
+            x, side = stack.pop()
+            other = 0 if same else 1 - side
+            if not len(pools[other]):
+                continue
+            hits = near(x, pools[other])
+            if len(hits):
+                pools[other] = pools[other][~np.isin(pools[other], hits)]
+                hits = hits.tolist()
+                found += [(x, h) for h in hits]
+                reached.update(hits)
+                stack += [(h, other) for h in hits]
+    return found
+
+
+def _apart(signature: np.ndarray, i: int, pool: np.ndarray) -> np.ndarray:
+    return (signature[pool] != signature[i]).sum(axis=1)
+
+
+def _near_in_runs(table):
+    """A spanning forest of the pairs under the distance in each run of a task."""
+    table = table.combine_chunks()
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    key, c, block = (table[x].to_numpy() for x in ("key", "c", "block"))
+    signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(table), -1)
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    size = np.diff(np.r_[cuts, len(order)])
+    a, b = [], []
+    two = cuts[(size == 2) & (i < 0)]
+    x, y = order[two], order[two + 1]
+    close = (signature[x] != signature[y]).sum(axis=1) < DISTANCE
+    a.append(x[close])
+    b.append(y[close])
+    near = lambda k, pool: pool[_apart(signature, k, pool) < DISTANCE]
+    for s, n in zip(cuts.tolist(), size.tolist(), strict=True):
+        if n > 2 or i >= 0:
+            rows = order[s : s + n]
+            pairs = forest(rows, rows, near) if i < 0 else forest(rows[block[rows] == i], rows[block[rows] == j], near)
+            a.append(np.array([p for p, _ in pairs], np.int64))
+            b.append(np.array([q for _, q in pairs], np.int64))
+    a, b = c[np.concatenate(a)], c[np.concatenate(b)]
+    links = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+    return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
+
+
+def _block_pairs(task) -> Column:
+    """What a row of block `block` of `blocks` takes part in: the pairs of its block with each block, by task."""
+    return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(task.alias("task"), F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
 
 
 def candidate_links(classes: DataFrame, parts: int) -> DataFrame:
-    """(a, b): links that connect all classes with a common key. classes: c, signature."""
+    """(a, b): links that connect all classes whose signatures are under the distance. classes: c, signature."""
     rows = classes.count() * CHUNKS * WIDTH
+    buckets = max(parts, -(-rows // BUCKET_ROWS))
     keys = classes.select("c", "signature").mapInArrow(_key_rows, "key long, c long")
-    runs = stored(keys.repartitionByRange(max(parts, -(-rows // BUCKET_ROWS)), "key", "c").mapInArrow(_link_runs, "key long, a long, b long"), "near-runs")
-    ends = runs.where("b IS NULL").select("key", "a")
-    least = ends.groupBy("key").agg(F.min("a").alias("m"))
-    across = ends.join(least, "key").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return runs.where("b IS NOT NULL").select("a", "b").unionByName(across)
+    runs = stored(keys.repartitionByRange(buckets, "key", "c").mapInArrow(_run_members, "key long, c long, n long"), "near-runs")
+    edges = runs.where("n IS NULL").select("key", "c")
+    across = edges.join(edges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").select("key", "c", "n")
+    runs = runs.where("n IS NOT NULL").unionByName(across).withColumn("blocks", F.ceil(F.col("n") / RUN_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("c", "key"), "blocks").cast("int"))
+    one = F.array(F.struct(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    dealt = runs.join(classes.select("c", "signature"), "c").select("key", "c", "signature", "block", F.explode(F.when(F.col("blocks") == 1, one).otherwise(_block_pairs(F.col("key")))).alias("p")).select("key", "c", "signature", "block", "p.*")
+    return dealt.groupBy("task", "i", "j").applyInArrow(_near_in_runs, "a long, b long")
 
 
-def exact_links(value: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def exact_links(value: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, signature: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of all pairs left x right with 100 * |intersection| >= percent * |union|.
 
-    value: sorted set elements, those of set i in first[i]:first[i + 1].
+    value: sorted set elements, those of set i in first[i]:first[i + 1]. signature: only pairs under the distance are intersected.
     """
     _, ids = np.unique(value, return_inverse=True)
     size = np.diff(first)
-    parent = np.arange(len(size))
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int32)
+    by_size = lambda x: (lambda y: y[np.argsort(size[y], kind="stable")])(x[size[x] > 0])
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    right = right[size[right] > 0]
-    if not len(right):
-        return []
-    same = np.array_equal(left, right)
-    right = right[np.argsort(size[right], kind="stable")]
-    if same:
-        left = right
-    rows = np.concatenate([ids[first[j] : first[j + 1]] for j in right])
-    sizes = size[right]
-    at = np.r_[0, np.cumsum(sizes)]
-    mark, found = np.zeros(int(ids.max()) + 1, np.int32), []
-    for x, i in enumerate(left):
+    def near(i: int, pool: np.ndarray) -> np.ndarray:
         n = int(size[i])
-        # only sets of a similar size can be linked; within one block each pair is seen from its smaller set
-        low = x + 1 if same else int(np.searchsorted(sizes, -(-n * percent // 100)))
-        high = int(np.searchsorted(sizes, n * 100 // percent, side="right"))
-        if not n or low >= high:
-            continue
-        own = ids[first[i] : first[i + 1]]
+        # only sets of a similar size can be linked
+        low, high = np.searchsorted(size[pool], -(-n * percent // 100)), np.searchsorted(size[pool], n * 100 // percent, side="right")
+        pool = pool[low:high]
+        if signature is not None and len(pool):
+            pool = pool[_apart(signature, i, pool) < DISTANCE]
+        if not len(pool):
+            return pool
+        own, sizes = ids[first[i] : first[i + 1]], size[pool]
+        begin = np.cumsum(sizes) - sizes
         mark[own] = 1
-        common = np.add.reduceat(mark[rows[at[low] : at[high]]], at[low:high] - at[low])
+        common = np.add.reduceat(mark[ids[np.repeat(first[pool] - begin, sizes) + np.arange(sizes.sum())]], begin)
         mark[own] = 0
-        near = right[low:high][100 * common >= percent * (n + sizes[low:high] - common)]
-        for j in near[near != i].tolist():
-            a, b = root(int(i)), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                found.append((int(i), j))
-    return found
+        return pool[100 * common >= percent * (n + sizes - common)]
+
+    return forest(by_size(left), by_size(right), near)
 
 
 def _confirm(k: int, percent: int):
@@ -192,6 +245,7 @@ def _confirm(k: int, percent: int):
             values.append(v)
         value = np.concatenate(values)
         first = np.r_[0, np.cumsum(np.bincount(np.concatenate(docs), minlength=len(table)))]
+        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(table), -1)
         group, block, c = table["g"].to_numpy(), table["block"].to_numpy(), table["c"].to_numpy()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         out = []
@@ -200,7 +254,7 @@ def _confirm(k: int, percent: int):
             rows, local = value[first[x] : first[y]], first[x : y + 1] - first[x]
             own = block[x:y]
             left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i >= 0 else (np.arange(y - x),) * 2
-            out += [(int(c[x + a]), int(c[x + b])) for a, b in exact_links(rows, local, left, right, percent)]
+            out += [(int(c[x + a]), int(c[x + b])) for a, b in exact_links(rows, local, left, right, percent, signature[x:y])]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return confirm
@@ -230,17 +284,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     classes = stored(classes.select("s1", "s2", "n", "m.d", "m.t", "m.signature", F.xxhash64("m.d", "s1", "s2").alias("c")), "near-classes", sets.count())
     group = components(candidate_links(classes, parts), "near-candidates")
 
-    member = classes.select("c", "d", "t", "n").join(group.select(F.col("node").alias("c"), F.col("label").alias("g")), "c")
+    member = classes.select("c", "d", "t", "n", "signature").join(group.select(F.col("node").alias("c"), F.col("label").alias("g")), "c")
     size = member.groupBy("g").agg(F.sum("n").alias("total"))
     blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
     member = member.join(size, "g").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-    member = stored(member.select("g", "c", "d", "t", "n", "blocks", "block"), "near-members", group.count())
+    member = stored(member.select("g", "c", "d", "t", "n", "signature", "blocks", "block"), "near-members", group.count())
     small = max(1, (member.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // (2 * BLOCK_SHINGLES))
     # a group of one block shares a task with others; in a larger one each pair of blocks is a task
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("g").alias("task"), F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
     one = F.array(F.struct(F.pmod(F.xxhash64("g"), F.lit(small)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
     texts = V.packed(keyed).join(member.drop("n").hint("merge"), ["d", "t"])
-    dealt = texts.select("g", "c", "block", "z", "size", F.explode(F.when(F.col("blocks") == 1, one).otherwise(pairs)).alias("p")).select("g", "c", "block", "z", "size", "p.*")
+    dealt = texts.select("g", "c", "signature", "block", "z", "size", F.explode(F.when(F.col("blocks") == 1, one).otherwise(_block_pairs(F.col("g")))).alias("p")).select("g", "c", "signature", "block", "z", "size", "p.*")
     links = dealt.groupBy("task", "i", "j").applyInArrow(_confirm(k, percent), "a long, b long")
     joined = components(links, "near-links")
 
