@@ -198,7 +198,9 @@ def candidate_links(classes: DataFrame, parts: int) -> DataFrame:
     keys = classes.select("c", "signature").mapInArrow(_key_rows, "key long, c long")
     runs = stored(keys.repartitionByRange(buckets, "key", "c").mapInArrow(_run_members, "key long, c long, n long"), "near-runs")
     edges = runs.where("n IS NULL").select("key", "c")
-    across = edges.join(edges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").select("key", "c", "n")
+    # a key that fills many buckets is dealt by class as well
+    counts = edges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    across = edges.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(16)).cast("int")).join(counts, ["key", "salt"]).select("key", "c", "n")
     runs = runs.where("n IS NOT NULL").unionByName(across).withColumn("blocks", F.ceil(F.col("n") / RUN_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("c", "key"), "blocks").cast("int"))
     one = F.array(F.struct(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
     dealt = runs.join(classes.select("c", "signature"), "c").select("key", "c", "signature", "block", F.explode(F.when(F.col("blocks") == 1, one).otherwise(_block_pairs(F.col("key")))).alias("p")).select("key", "c", "signature", "block", "p.*")
