@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import hashing, kernels
 from vecloom.functions import vector as V
 from vecloom.operators import knn, reduce, report, sampling, search, stats
-from vecloom.operators.partition import leader_count, pack_clusters, partition
+from vecloom.operators.partition import leader_count, pack_clusters, partition, split_large
 from vecloom.params import BuildParams
 from vecloom.plans import reuse
 from vecloom.plans.build import build
@@ -255,3 +255,68 @@ def test_large_leaves_are_compared_in_block_pairs(spark):
     line = spark.range(3600).select(F.lit(1).alias("leaf"), "id", F.array(F.col("id").cast("float")).alias("vec"))
     got = {(r["p"], r["rank"]): r["c"] for r in knn.group_neighbours(line, 2).collect()}
     assert len(got) == 7200 and all({got[i, 1], got[i, 2]} == {i - 1, i + 1} for i in range(1, 3599))
+
+
+def test_robust_select_against_plain_loops():
+    r = np.random.default_rng(6)
+    for n in (1, 5, 30):
+        x = {i: r.normal(size=6).astype(np.float32) for i in range(n + 1)}
+        x[1] = x[n]  # a copy
+        d = lambda a, b: float(((x[a].astype(float) - x[b].astype(float)) ** 2).sum())  # noqa: B023, E731
+        pool = [(i, d(0, i)) for i in range(1, n + 1)]
+        want = []
+        for alpha in (1.0, 1.2):
+            for c, _ in sorted(pool, key=lambda e: (e[1], e[0])):
+                if len(want) < 4 and c not in want and all(d(c, o) and d(0, c) / d(c, o) <= alpha for o in want):
+                    want.append(c)
+        assert reduce.robust_select(0, pool, x, 4, saturate=False) == want
+
+
+def test_adjacency_keeps_empty_rows(spark):
+    kept = spark.createDataFrame([(1, 2, 1)], "p long, c long, rank int")
+    got = {r["id"]: r["nbrs"] for r in reduce.adjacency(kept, spark.range(1, 4)).collect()}
+    assert got == {1: [2], 2: [], 3: []}
+
+
+def test_witnesses_of_large_leaves(spark, monkeypatch):
+    """Leaves whose vectors are fetched for pairs give the same witnesses as those that hold them."""
+    r = np.random.default_rng(3)
+    rows = [(i % 3 if i % 3 else None, i, r.normal(size=5).astype(np.float32).tolist()) for i in range(90)]
+    members = spark.createDataFrame(rows, "leaf long, id long, vec array<float>")
+    near = knn.group_neighbours(members, 5)
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    small = key(reduce.lune_witnesses(near, members))
+    monkeypatch.setattr(reduce, "LEAF_ROWS", 20)
+    assert small and key(reduce.lune_witnesses(near, members)) == small
+
+
+def test_partition_tries_again_and_cuts_along_leaders(spark):
+    """Data full of copies divides at the root; leaves over the cap are cut into clusters, copies of one vector by ids."""
+    p = BuildParams(c_min=8, c_max=64, psamp=0.02, leaf_knn=4, l_max=16, max_degree=16, fanout_top=1, fanout_second=1, max_leaders=64)
+    r = np.random.default_rng(1)
+    copies = [(i, [0.0, 0.0]) for i in range(560)] + [(560 + i, (r.normal(size=2) + 50).tolist()) for i in range(80)]
+    v = spark.createDataFrame(copies, "id long, vec array<float>")
+    leaves = partition(v, p)
+    assert leaves.where("depth = 0").isEmpty() and leaves.select("id").distinct().count() == len(copies)
+
+    spots = [(i, [float(i % 10) * 100, float(i)]) for i in range(200)]
+    v = spark.createDataFrame(spots, "id long, vec array<float>")
+    one = v.select(F.lit("x").alias("leaf"), F.lit(2).alias("depth"), F.lit("max_depth").alias("reason"), "id")
+    cut = split_large(one, v, replace(p, c_min=2), 40).collect()
+    sizes = {}
+    for row in cut:
+        sizes.setdefault(row["leaf"], []).append(row["id"])
+    assert sorted(i for ids in sizes.values() for i in ids) == list(range(200)) and max(map(len, sizes.values())) <= 40
+    assert sum(len({i % 10 for i in ids}) for ids in sizes.values()) < 5 * len(sizes)  # clusters, not runs of ids
+    same = spark.createDataFrame([(i, [1.0]) for i in range(100)], "id long, vec array<float>")
+    cut = split_large(same.select(F.lit("x").alias("leaf"), F.lit(2).alias("depth"), F.lit("max_depth").alias("reason"), "id"), same, p, 40)
+    assert sorted(r["count"] for r in cut.groupBy("leaf").count().collect()) == [33, 33, 34]
+
+
+def test_kept_partition_is_never_overwritten(spark, tmp_path):
+    p = BuildParams(c_min=8, c_max=64, psamp=0.05, leaf_knn=4, l_max=16, max_degree=16, fanout_top=2, fanout_second=1, max_leaders=64)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, vec array<float>")
+    n = reuse.load_or_build(v, p, str(tmp_path / "kept")).count()
+    with pytest.raises(ValueError):
+        reuse.load_or_build(v, replace(p, c_max=32), str(tmp_path / "kept"))
+    assert reuse.load_or_build(v, p, str(tmp_path / "kept")).count() == n

@@ -36,7 +36,7 @@ def test_oracle(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 200
+    assert e.entry(spark).count() == 10 * q.vectors(spark, SF).where("id % 100 = 0").count()
     assert set(e.oracle_sql()) <= set(e.queries())
 
 

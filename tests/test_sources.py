@@ -86,3 +86,10 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r["id"]: r["leader"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {i: 0 if i < 5 else 9 for i in range(10)}
+
+
+def test_append_after_a_largest_id_of_zero(spark, tmp_path):
+    one = spark.createDataFrame([(0, [1.0, 2.0])], "id long, vec array<float>")
+    binary.write_matrix(one, str(tmp_path / "one.fbin"))
+    assert sorted(r["id"] for r in binary.append(one, spark, str(tmp_path / "one.fbin")).collect()) == [0, 1]
+    assert [r["id"] for r in binary.append(one.where("false"), spark, str(tmp_path / "one.fbin")).collect()] == [0]

@@ -2,8 +2,9 @@
 
 A level is a table (node, id). Nodes that a stop rule holds for become leaves; in
 the others leaders are sampled, every point joins its nearest leaders, small
-clusters are packed together and the clusters are the next level's nodes. A
-node's points are dealt to blocks, each with a copy of the node's leaders (at
+clusters are packed together and the clusters are the next level's nodes. A node
+that its leaders leave whole is tried again with others. Leaves over the cap are
+cut along nearest leaders too, by runs of ids only where that fails. A node's points are dealt to blocks, each with a copy of the node's leaders (at
 most max_leaders), so the root is spread like any other; sizes, samples and
 packing are grouped by node and never collected.
 """
@@ -23,6 +24,8 @@ from .sampling import bottom_k_by
 
 #: Points of a node in one block of the assignment; the largest leaf that is never split by force.
 BLOCK_POINTS, HARD_LEAF = 20_000, 8000
+#: How often leaders are sampled anew for a node that they don't divide, or for a leaf that must be cut.
+ATTEMPTS = 6
 MEMBERS = "node string, id long"
 
 
@@ -106,6 +109,30 @@ def _pack(c_min: int, c_max: int):
     return pack
 
 
+def _divide(rows: DataFrame, vectors: DataFrame, p: BuildParams, limit: int, fanout: int, epsilon: float | None) -> tuple[DataFrame, DataFrame]:
+    """rows (node, id, n, k, seed) -> points with their leaders' places (node, id, leader), packed clusters (node, leader, child)."""
+    blocks = F.ceil(F.col("n") / BLOCK_POINTS).cast("int")
+    picked = bottom_k_by(rows.select("node", "id", "k", "seed", "n"), "node", "k", "seed", p.max_leaders)
+    leaders = picked.join(vectors.select("id", F.col("vec").alias("lv")), "id").select(F.col("node").alias("ln"), "place", "lv", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("lb"))
+    points = rows.select("node", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")).join(vectors, "id")
+    sides = points.select("node", "id", "vec", "block").groupBy("node", "block").cogroup(leaders.groupBy("ln", "lb"))
+    assigned = stored(sides.applyInArrow(_assign_blocks(fanout, epsilon, p.ads_group), "node string, id long, leader long"), "partition-assigned")
+    counts = assigned.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("size"))
+    packed = stored(counts.groupBy("node").applyInArrow(_pack(p.c_min, limit), "node string, leader long, child long"), "partition-packed")
+    return assigned, packed
+
+
+def _again(pending: DataFrame, attempt: int) -> DataFrame:
+    return pending.withColumn("seed", F.xxhash64("seed", F.lit(attempt))) if attempt else pending
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def partition(vectors: DataFrame, p: BuildParams, epsilon: float | None = None) -> DataFrame:
     """leaf, depth, reason, id: overlapping leaves that cover all ids. vectors: id, vec with distinct ids."""
     total = vectors.count()
@@ -119,40 +146,52 @@ def partition(vectors: DataFrame, p: BuildParams, epsilon: float | None = None)
         sizes = stored(sizes.select("node", "n", "parent_n", stop_reason(depth, p, limit).alias("reason"), leader_count(F.col("n"), depth, p).alias("k"), F.xxhash64("node", F.lit(p.seed)).alias("seed")), "partition-sizes")
         done = sizes.where("reason IS NOT NULL").select("node", "reason")
         leaves.append(level.join(done, "node").select(F.col("node").alias("leaf"), F.lit(depth).alias("depth"), "reason", "id"))
-        active = sizes.where("reason IS NULL")
+        pending = active = sizes.where("reason IS NULL")
         if active.isEmpty():
             break
-        rows = level.join(active, "node")
-        blocks = F.ceil(F.col("n") / BLOCK_POINTS).cast("int")
-        picked = bottom_k_by(rows.select("node", "id", "k", "seed", "n"), "node", "k", "seed", p.max_leaders)
-        leaders = picked.join(vectors.select("id", F.col("vec").alias("lv")), "id").select(F.col("node").alias("ln"), "place", "lv", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("lb"))
-        points = rows.select("node", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")).join(vectors, "id")
-        sides = points.select("node", "id", "vec", "block").groupBy("node", "block").cogroup(leaders.groupBy("ln", "lb"))
-        use = epsilon if depth <= 1 else None
-        assigned = stored(sides.applyInArrow(_assign_blocks(p.fanout(depth), use, p.ads_group), "node string, id long, leader long"), "partition-assigned")
-        counts = assigned.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("size"))
-        packed = stored(counts.groupBy("node").applyInArrow(_pack(p.c_min, limit), "node string, leader long, child long"), "partition-packed")
-        split = packed.groupBy("node").agg(F.countDistinct("child").alias("children"))
-        whole = split.where("children <= 1").select("node")
-        leaves.append(level.join(whole, "node").select(F.col("node").alias("leaf"), F.lit(depth).alias("depth"), F.lit("partition_fallback").alias("reason"), "id"))
-        parts = packed.join(split.where("children > 1"), "node").select("node", "leader", "child")
-        level = assigned.join(parts, ["node", "leader"]).select(F.concat_ws(".", "node", F.col("child").cast("string")).alias("node"), "id").distinct()
-        level = stored(level, "partition-level")
+        pieces = []
+        for attempt in range(ATTEMPTS):
+            rows = level.join(_again(pending, attempt), "node")
+            assigned, packed = _divide(rows, vectors, p, limit, p.fanout(depth), epsilon if depth <= 1 else None)
+            split = packed.groupBy("node").agg(F.countDistinct("child").alias("children"))
+            parts = packed.join(split.where("children > 1"), "node").select("node", "leader", "child")
+            pieces.append(assigned.join(parts, ["node", "leader"]).select(F.concat_ws(".", "node", F.col("child").cast("string")).alias("node"), "id").distinct())
+            pending = stored(pending.join(split.where("children <= 1"), "node", "left_semi"), "partition-pending")
+            if pending.isEmpty():
+                break
+        else:
+            leaves.append(level.join(pending, "node", "left_semi").select(F.col("node").alias("leaf"), F.lit(depth).alias("depth"), F.lit("partition_fallback").alias("reason"), "id"))
+        level = stored(_union(pieces), "partition-level")
         parents = active.select(F.col("node").alias("parent"), F.col("n").alias("parent_n"))
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return split_large(out, min(HARD_LEAF, p.leaf_cap))
+    return split_large(_union(leaves), vectors, p, min(HARD_LEAF, p.leaf_cap))
+
 
+def split_large(leaves: DataFrame, vectors: DataFrame, p: BuildParams, cap: int) -> DataFrame:
+    """Leaves of more than `cap` points cut into packed clusters of at most `cap`; all others as they are.
 
-def split_large(leaves: DataFrame, cap: int) -> DataFrame:
-    """Leaves of more than `cap` points cut into even runs of ids; all others as they are."""
+    Every point joins the nearest of ceil(n / cap) sampled leaders; if a cluster is too large, twice as many are
+    sampled (at most max_leaders). What no attempt divides (copies of one vector) is cut into even runs of ids.
+    """
     leaves = stored(leaves, "partition-leaves")
     large = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
     if large.isEmpty():
         return leaves
-    rows = leaves.join(large, "leaf")
-    place = F.row_number().over(Window.partitionBy("leaf").orderBy("id")) - 1
-    piece = F.floor(place * F.ceil(F.col("n") / cap) / F.col("n"))
-    cut = rows.select(F.concat_ws("/", "leaf", piece.cast("string")).alias("leaf"), "depth", F.lit("forced_split").alias("reason"), "id")
-    return leaves.join(large, "leaf", "left_anti").unionByName(cut)
+    pending = stored(large.select(F.col("leaf").alias("node"), "n", F.ceil(F.col("n") / cap).cast("int").alias("k"), F.xxhash64("leaf", F.lit(p.seed)).alias("seed")), "partition-large")
+    large = pending.select(F.col("node").alias("leaf"))
+    points = stored(leaves.join(large, "leaf", "left_semi").select(F.col("leaf").alias("node"), "depth", "id"), "partition-cut")
+    out = [leaves.join(large, "leaf", "left_anti")]
+    forced = lambda df, piece: df.select(F.concat_ws("/", "node", piece.cast("string")).alias("leaf"), "depth", F.lit("forced_split").alias("reason"), "id")
+    for attempt in range(ATTEMPTS):
+        more = F.least(F.col("k") * (1 << attempt), F.lit(p.max_leaders), F.col("n").cast("int"))
+        rows = points.select("node", "id").join(_again(pending, attempt).withColumn("k", more), "node")
+        assigned, packed = _divide(rows, vectors, p, cap, 1, None)
+        pieces = stored(assigned.join(packed, ["node", "leader"]).select("node", "id", "child"), "partition-pieces")
+        bad = pieces.groupBy("node", "child").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cap).select("node").distinct()
+        out.append(forced(pieces.join(bad, "node", "left_anti").join(points, ["node", "id"]), F.col("child")))
+        pending = stored(pending.join(bad, "node", "left_semi"), "partition-large")
+        if pending.isEmpty():
+            return _union(out)
+    place = F.row_number().over(Window.partitionBy("node").orderBy("id")) - 1
+    run = F.floor(place * F.ceil(F.col("n") / cap) / F.col("n"))
+    out.append(forced(points.join(pending.select("node", "n"), "node"), run))
+    return _union(out)

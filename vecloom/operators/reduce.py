@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import truncate_bf16
-from ..functions.vector import family_bit, is_shaded, rank_weight, shade_margin, squared_l2, witness_key
+from ..functions.vector import SHADE, family_bit, is_shaded, rank_weight, shade_margin, squared_l2, witness_key
+from .arrow import matrix
+from .knn import LEAF_ROWS
 
 #: Sources that share a task in grouped Python steps.
 SOURCES_PER_TASK = 2000
@@ -64,15 +66,18 @@ class Reservoir:
         return sorted(((t, h, d) for t, (h, d) in self.kept.items()), key=lambda r: (r[1], r[0]))
 
 
-def _by_source(df: DataFrame) -> DataFrame:
-    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+def _by_source(df: DataFrame, sources: int | None) -> DataFrame:
+    """df with a task for each source: SOURCES_PER_TASK share one, however many sources there are."""
+    if sources is None:
+        sources = df.agg(F.approx_count_distinct("p")).first()[0]
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sources // SOURCES_PER_TASK))
     return df.withColumn("task", F.pmod(F.xxhash64("p"), F.lit(tasks)))
 
 
-def prune_ordered(candidates: DataFrame, l_max: int, half_precision: bool = False) -> DataFrame:
+def prune_ordered(candidates: DataFrame, l_max: int, half_precision: bool = False, sources: int | None = None) -> DataFrame:
     """The reservoir rule over each source's candidates in a declared order: leaf, source place (p), rank, direct first, target.
 
-    candidates: leaf, p, c, hash, d2, rank, direct. Sources are dealt to tasks by hash; a source's candidates are bounded by its leaves.
+    candidates: leaf, p, c, hash, d2, rank, direct. Sources (how many, if known) are dealt to tasks by hash; a source's candidates are bounded by its leaves.
     """
 
     def fold(table):
@@ -89,7 +94,7 @@ def prune_ordered(candidates: DataFrame, l_max: int, half_precision: bool = Fals
         return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()), strict=True)], ["p", "c", "hash", "d2", "rank"])
 
     leaf = candidates.withColumn("direct", F.col("direct").cast("int"))
-    return _by_source(leaf).groupBy("task").applyInArrow(fold, "p long, c long, hash int, d2 double, rank int")
+    return _by_source(leaf, sources).groupBy("task").applyInArrow(fold, "p long, c long, hash int, d2 double, rank int")
 
 
 def adjacency(kept: DataFrame, ids: DataFrame, order: str = "rank") -> DataFrame:
@@ -151,15 +156,61 @@ def lune_candidates(edge: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("p").orderBy("d2", "c"))).where(F.col("rank") <= width)
 
 
-def lune_witnesses(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
-    """leaf, src, pivot, victim, margin, pivot_rank, victim_rank: earlier neighbours that shade later ones in a leaf."""
-    a = neighbours.select("leaf", F.col("p").alias("src"), F.col("c").alias("pivot"), F.col("rank").alias("pivot_rank"))
-    b = neighbours.select("leaf", F.col("p").alias("src"), F.col("c").alias("victim"), F.col("rank").alias("victim_rank"), F.col("d2").alias("sv"))
-    pairs = a.join(b, ["leaf", "src"]).where("pivot_rank < victim_rank")
-    left = vectors.select(F.col("id").alias("pivot"), F.col("vec").alias("_p"))
-    right = vectors.select(F.col("id").alias("victim"), F.col("vec").alias("_v"))
-    pairs = pairs.join(left, "pivot").join(right, "victim").withColumn("pv", squared_l2("_p", "_v"))
-    return pairs.where(is_shaded("sv", "pv")).select("leaf", "src", "pivot", "victim", shade_margin("sv", "pv").alias("margin"), "pivot_rank", "victim_rank")
+WITNESSES = "src long, pivot long, victim long, margin int, pivot_rank int, victim_rank int"
+
+
+def _leaf_witnesses(near, members):
+    """Witnesses of some sources of one leaf, from the vectors that the task holds anyway."""
+    names = ["leaf", "src", "pivot", "victim", "margin", "pivot_rank", "victim_rank"]
+    if not len(near) or not len(members):
+        return pa.table([near["leaf"].slice(0, 0), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names)
+    near = near.sort_by([("p", "ascending"), ("rank", "ascending")])
+    p, c, rank, d2 = (near[x].to_numpy() for x in ("p", "c", "rank", "d2"))
+    ids = members["id"].to_numpy()
+    order = np.argsort(ids)
+    x, place = matrix(members["vec"]), order[np.searchsorted(ids[order], c)]
+    first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+    size = np.diff(np.r_[first, len(p)])
+    at, end = np.arange(len(p)), np.repeat(first + size, size)
+    got = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+    for step in range(1, int(size.max())):  # a row's pivot and the victim `step` places after it
+        a = at[at + step < end]
+        for s in range(0, len(a), 4096):
+            i = a[s : s + 4096]
+            j = i + step
+            pv = np.cumsum((x[place[i]].astype(np.float64) - x[place[j]].astype(np.float64)) ** 2, axis=1)[:, -1]  # in index order
+            hit = (rank[i] < rank[j]) & (pv < d2[j] / SHADE)
+            got.append((i[hit], j[hit], pv[hit]))
+    i, j, pv = (np.concatenate(v) for v in zip(*got, strict=True))
+    reach = d2[j] / SHADE
+    share = np.where(reach > 0, np.clip((reach - pv) / np.where(reach > 0, reach, 1), 0, 1), 0.0)
+    margin = np.floor(share * 65535 + 0.5).astype(np.int32)
+    return pa.table([near["leaf"].combine_chunks().take(pa.array(i)), pa.array(p[i]), pa.array(c[i]), pa.array(c[j]), pa.array(margin), pa.array(rank[i].astype(np.int32)), pa.array(rank[j].astype(np.int32))], names)
+
+
+def lune_witnesses(neighbours: DataFrame, members: DataFrame) -> DataFrame:
+    """leaf, src, pivot, victim, margin, pivot_rank, victim_rank: earlier neighbours that shade later ones in a leaf.
+
+    members: leaf, id, vec, as for the neighbours. A leaf's rows meet its vectors once, in one task, so a vector isn't
+    fetched for every pair. Leaves of more than LEAF_ROWS vectors fetch them for their pairs by id instead.
+    """
+    kind = neighbours.schema["leaf"].dataType.simpleString()
+    near, rows = neighbours.select("leaf", "p", "c", "rank", "d2"), members.select("leaf", "id", "vec")
+    large = rows.groupBy(F.col("leaf").alias("_leaf")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LEAF_ROWS).select("_leaf")
+    same = F.col("leaf").eqNullSafe(F.col("_leaf"))
+    of_small = lambda df: df.join(large, same, "left_anti").groupBy("leaf")
+    out = of_small(near).cogroup(of_small(rows)).applyInArrow(_leaf_witnesses, f"leaf {kind}, {WITNESSES}")
+    if large.isEmpty():
+        return near.groupBy("leaf").cogroup(rows.groupBy("leaf")).applyInArrow(_leaf_witnesses, f"leaf {kind}, {WITNESSES}")
+    wide = near.join(large, same, "left_semi")
+    a = wide.select("leaf", F.col("p").alias("src"), F.col("c").alias("pivot"), F.col("rank").alias("pivot_rank"))
+    b = wide.select(F.col("leaf").alias("_l"), F.col("p").alias("_s"), F.col("c").alias("victim"), F.col("rank").alias("victim_rank"), F.col("d2").alias("sv"))
+    pairs = a.join(b, F.col("leaf").eqNullSafe(F.col("_l")) & (F.col("src") == F.col("_s")) & (F.col("pivot_rank") < F.col("victim_rank"))).drop("_l", "_s")
+    vec = rows.join(large, same, "left_semi")
+    left, right = vec.select(F.col("leaf").alias("_l"), F.col("id").alias("pivot"), F.col("vec").alias("_p")), vec.select(F.col("leaf").alias("_m"), F.col("id").alias("victim"), F.col("vec").alias("_v"))
+    pairs = pairs.join(left, (F.col("leaf").eqNullSafe(F.col("_l"))) & (pairs["pivot"] == left["pivot"])).drop(left["pivot"], "_l")
+    pairs = pairs.join(right, (F.col("leaf").eqNullSafe(F.col("_m"))) & (pairs["victim"] == right["victim"])).drop(right["victim"], "_m").withColumn("pv", squared_l2("_p", "_v"))
+    return out.unionByName(pairs.where(is_shaded("sv", "pv")).select("leaf", "src", "pivot", "victim", shade_margin("sv", "pv").alias("margin"), "pivot_rank", "victim_rank"))
 
 
 def lune_retained(witnesses: DataFrame, candidates: DataFrame, cap: int) -> DataFrame:
@@ -204,31 +255,34 @@ def robust_select(source: int, pool: list[tuple[int, float]], vectors: dict[int,
     """Occlusion pruning: take the nearest; it shades those much nearer to it than to the source. Two passes with growing
     tolerance, then filled up by distance if `saturate`. Distances are squared; a copy of a chosen one is shaded."""
     order = sorted({c: d for c, d in sorted(pool, key=lambda x: -x[1]) if c != source}.items(), key=lambda x: (x[1], x[0]))[:cap]
-    shade, chosen = dict.fromkeys((c for c, _ in order), 0.0), []
+    if not order:
+        return []
+    ids, near = [c for c, _ in order], np.array([d for _, d in order])
+    x = np.stack([vectors[c] for c in ids]).astype(np.float64)
+    shade, taken, chosen = np.zeros(len(ids)), np.zeros(len(ids), bool), []
     for alpha in alphas:
-        for c, _ in order:
+        for i in range(len(ids)):
             if len(chosen) >= max_degree:
                 break
-            if c in chosen or shade[c] > alpha:
+            if taken[i] or shade[i] > alpha:
                 continue
-            chosen.append(c)
-            for other, d in order:
-                if other not in chosen:
-                    diff = vectors[c].astype(np.float64) - vectors[other].astype(np.float64)
-                    apart = float(diff @ diff)
-                    shade[other] = max(shade[other], np.inf if apart == 0 else d / apart)
+            taken[i] = True
+            chosen.append(ids[i])
+            apart = np.cumsum((x - x[i]) ** 2, axis=1)[:, -1]  # in index order
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shade = np.maximum(shade, np.where(apart == 0, np.inf, near / apart))
     if saturate:
-        chosen += [c for c, _ in order if c not in chosen][: max(0, max_degree - len(chosen))]
+        chosen += [c for c, t in zip(ids, taken, strict=True) if not t][: max(0, max_degree - len(chosen))]
     return chosen
 
 
-def prune_robust(candidates: DataFrame, vectors: DataFrame, max_degree: int, saturate: bool = True, cap: int = 750) -> DataFrame:
+def prune_robust(candidates: DataFrame, vectors: DataFrame, max_degree: int, saturate: bool = True, cap: int = 750, sources: int | None = None) -> DataFrame:
     """(p, nbrs) by occlusion pruning. candidates: p, c, d2; target vectors are fetched by id, sources dealt to tasks by hash."""
     rows = candidates.join(vectors.select(F.col("id").alias("c"), "vec"), "c")
 
     def select(table):
         p, c, d2 = (table[x].to_numpy() for x in ("p", "c", "d2"))
-        vec = np.stack([np.asarray(v, np.float32) for v in table["vec"].to_pylist()]) if len(p) else np.zeros((0, 1))
+        vec = matrix(table["vec"]) if len(p) else np.zeros((0, 1))
         order = np.argsort(p, kind="stable")
         out = []
         for part in np.split(order, np.flatnonzero(p[order][1:] != p[order][:-1]) + 1):
@@ -236,4 +290,4 @@ def prune_robust(candidates: DataFrame, vectors: DataFrame, max_degree: int, sat
             out.append((int(p[part[0]]), robust_select(int(p[part[0]]), [(int(c[i]), float(d2[i])) for i in part], own, max_degree, saturate, cap)))
         return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.list_(pa.int64()))], ["p", "nbrs"])
 
-    return _by_source(rows.select("p", "c", "d2", "vec")).groupBy("task").applyInArrow(select, "p long, nbrs array<bigint>")
+    return _by_source(rows.select("p", "c", "d2", "vec"), sources).groupBy("task").applyInArrow(select, "p long, nbrs array<bigint>")

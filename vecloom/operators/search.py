@@ -84,13 +84,16 @@ def beam_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, widths
     return asked.select("id", "vec", "start").mapInArrow(search, "query_id long, width int, rank int, id long, d2 double")
 
 
-def search_rounds(asked: DataFrame, graph: DataFrame, vectors: DataFrame, width: int, k: int, most: int = 1000) -> DataFrame:
-    """The same search without a broadcast: each round expands every query's nearest unexpanded node by joins."""
+def search_rounds(asked: DataFrame, graph: DataFrame, vectors: DataFrame, width: int, k: int) -> DataFrame:
+    """The same search without a broadcast: each round expands every query's nearest unexpanded node by joins.
+
+    It ends when every query's beam is expanded: what has left a beam never comes back, so that is reached.
+    """
     keep = max(width, k + 1)
     q = asked.select(F.col("id").alias("query_id"), F.col("vec").alias("q"), F.col("start").alias("id"))
     pool = q.join(vectors, "id").select("query_id", "q", "id", squared_l2("q", "vec").alias("d2"), F.lit(False).alias("open_done"))
     by = Window.partitionBy("query_id").orderBy("d2", "id")
-    for _ in range(most):
+    while True:
         pool = stored(pool, "search-pool")
         ready = pool.where("NOT open_done")
         if ready.isEmpty():

@@ -57,6 +57,7 @@ def build(vectors: DataFrame, p: BuildParams) -> Graph:
         profile["seconds"][name], clock = round(now - clock, 3), now
         return out
 
+    total = vectors.count()
     leaves = step("leaves", partition(vectors, p))
     members = leaves.select("leaf", "id").join(vectors, "id")
     found = step("neighbours", knn.group_neighbours(members, p.leaf_knn, p.leaf_cap))
@@ -64,13 +65,13 @@ def build(vectors: DataFrame, p: BuildParams) -> Graph:
     hashed = knn.with_hash(every, sketches(vectors, p.m_bits, p.seed), residual_hash("_sp", "_sc"))
     if p.final_prune == "lune":
         width = reduce.lune_candidates(every, p.lune_candidates())
-        kept = reduce.lune_retained(reduce.lune_witnesses(found, vectors), width, p.lune_witnesses)
+        kept = reduce.lune_retained(reduce.lune_witnesses(found, members), width, p.lune_witnesses)
         rows = reduce.lune_select(reduce.lune_rows(width, kept), p.max_degree, p.lune_core).select(F.col("p").alias("id"), "nbrs")
     else:
         rule = {"nearest": reduce.prune_nearest, "bucket": reduce.prune_bucket, "ordered": reduce.prune_ordered}[p.reservoir]
-        kept = step("candidates", rule(hashed, p.l_max))
+        kept = step("candidates", rule(hashed, p.l_max, sources=total) if p.reservoir == "ordered" else rule(hashed, p.l_max))
         if p.final_prune == "robust":
-            rows = reduce.prune_robust(kept, vectors, p.max_degree).select(F.col("p").alias("id"), "nbrs")
+            rows = reduce.prune_robust(kept, vectors, p.max_degree, sources=total).select(F.col("p").alias("id"), "nbrs")
         elif p.final_prune == "spine":
             ranked = reduce.overlay_ranked(reduce.overlay_retained(reduce.overlay_support(every), p.max_degree), p.max_degree)
             rows = reduce.overlay_select(kept, ranked, p.max_degree, p.spine_budget).select(F.col("p").alias("id"), "nbrs")

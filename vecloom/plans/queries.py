@@ -47,10 +47,10 @@ _BIT = "CAST(((((((leaf * 2654435761) % 4294967296) << 13) % 4294967296 + (((lea
 CTES = f"""v AS (SELECT vec_id AS id, embedding AS vec, label FROM embeddings),
 leaders AS (SELECT * FROM v WHERE id % 37 = 0),
 assigned AS (SELECT * FROM (SELECT v.id, l.id AS leader, {_d2("v.vec", "l.vec")} AS d2, row_number() OVER (PARTITION BY v.id ORDER BY {_d2("v.vec", "l.vec")}, l.id) AS rank FROM v, leaders l) WHERE rank <= 3),
-nn AS (SELECT leaf, p, c, CAST(rank AS INTEGER) AS rank, d2 FROM (SELECT a.id % {LEAVES} AS leaf, a.id AS p, b.id AS c, {_d2("a.vec", "b.vec")} AS d2,
-  row_number() OVER (PARTITION BY a.id ORDER BY {_d2("a.vec", "b.vec")}, b.id) AS rank FROM v a JOIN v b ON a.id % {LEAVES} = b.id % {LEAVES} AND a.id <> b.id) WHERE rank <= {KNN}),
-nl AS (SELECT label + 100 AS leaf, p, c, CAST(rank AS INTEGER) AS rank, d2 FROM (SELECT a.label, a.id AS p, b.id AS c, {_d2("a.vec", "b.vec")} AS d2,
-  row_number() OVER (PARTITION BY a.id ORDER BY {_d2("a.vec", "b.vec")}, b.id) AS rank FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id) WHERE rank <= {KNN}),
+nn AS MATERIALIZED (SELECT * FROM (SELECT leaf, p, c, CAST(row_number() OVER (PARTITION BY p ORDER BY d2, c) AS INTEGER) AS rank, d2 FROM (
+  SELECT a.id % {LEAVES} AS leaf, a.id AS p, b.id AS c, {_d2("a.vec", "b.vec")} AS d2 FROM v a JOIN v b ON a.id % {LEAVES} = b.id % {LEAVES} AND a.id <> b.id)) WHERE rank <= {KNN}),
+nl AS MATERIALIZED (SELECT * FROM (SELECT leaf, p, c, CAST(row_number() OVER (PARTITION BY p ORDER BY d2, c) AS INTEGER) AS rank, d2 FROM (
+  SELECT a.label + 100 AS leaf, a.id AS p, b.id AS c, {_d2("a.vec", "b.vec")} AS d2 FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id)) WHERE rank <= {KNN}),
 neighbours AS (SELECT * FROM nn UNION ALL SELECT * FROM nl),
 e AS (SELECT leaf, p, c, rank, d2, true AS direct FROM neighbours UNION ALL SELECT leaf, c, p, rank, d2, false FROM neighbours),
 sk AS (SELECT id, {_PLANES} AS sketch FROM v),
@@ -89,6 +89,12 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _labelled(spark, sf_dir)
+    families = v.select((F.col("id") % LEAVES).alias("leaf"), "id", "vec").unionByName(v.select((F.col("label") + 100).cast("long").alias("leaf"), "id", "vec"))
+    return reduce.lune_witnesses(_neighbours(spark, sf_dir), families)
+
+
 def _sketches(v: DataFrame) -> DataFrame:
     return v.select("id", V.sketch("vec", fixed_hyperplanes(64, PLANES).tolist()).alias("sketch"))
 
@@ -102,6 +108,11 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.lune_candidates(knn.edges(_neighbours(spark, sf_dir)), 8)
 
 
+def _pairs(v: DataFrame) -> DataFrame:
+    """Every point with each of its three nearest leaders."""
+    return knn.assign(v, _leaders(v), 3)
+
+
 def _asked(v: DataFrame) -> DataFrame:
     """The query set: it grows with the table."""
     return v.where("id % 100 = 0")
@@ -109,14 +120,14 @@ def _asked(v: DataFrame) -> DataFrame:
 
 def _shades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     wide = _wide(spark, sf_dir)
-    return wide, reduce.lune_retained(reduce.lune_witnesses(_neighbours(spark, sf_dir), vectors(spark, sf_dir)), wide, 2)
+    return wide, reduce.lune_retained(_witnesses(spark, sf_dir), wide, 2)
 
 
 @query(f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, id, d2 FROM (SELECT q.id AS query_id, b.id, {_d2("q.vec", "b.vec")} AS d2,
-  row_number() OVER (PARTITION BY q.id ORDER BY {_d2("q.vec", "b.vec")}, b.id) AS rank FROM v q, v b WHERE q.id < 20) WHERE rank <= 10""".join((" ", "")))
+  row_number() OVER (PARTITION BY q.id ORDER BY {_d2("q.vec", "b.vec")}, b.id) AS rank FROM v q, v b WHERE q.id % 100 = 0) WHERE rank <= 10""".join((" ", "")))
 def knn_exact_top10(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return knn.nearest(v.where("id < 20"), v, 10)
+    return knn.nearest(_asked(v), v, 10)
 
 
 ORACLES["knn_exact_sql"] = ORACLES["knn_exact_top10"]
@@ -125,21 +136,21 @@ ORACLES["knn_exact_sql"] = ORACLES["knn_exact_top10"]
 @query()
 def knn_exact_sql(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return knn.nearest_sql(v.where("id < 20"), v, 10)
+    return knn.nearest_sql(_asked(v), v, 10)
 
 
-@query(f"SELECT a.id AS a, b.id AS b, {_d2('a.vec', 'b.vec')} AS d2 FROM v a, v b WHERE a.id < 20 AND b.id < 50")
+@query(f"SELECT a.id AS a, b.id AS b, {_d2('a.vec', 'b.vec')} AS d2 FROM assigned l JOIN v a ON a.id = l.id JOIN v b ON b.id = l.leader")
 def l2_pairs(spark, sf_dir):
+    """Distances of every point to its leaders, by ids."""
     v = vectors(spark, sf_dir)
-    pairs = v.where("id < 20").select(F.col("id").alias("a")).crossJoin(F.broadcast(v.where("id < 50").select(F.col("id").alias("b"))))
-    return knn.distances_by_id(pairs, v).select("a", "b", "d2")
+    return knn.distances_by_id(_pairs(v).select(F.col("id").alias("a"), F.col("leader").alias("b")), v).select("a", "b", "d2")
 
 
-@query(f"SELECT a.id AS a, b.id AS b, {_dot('a.vec', 'b.vec')} AS product FROM v a, v b WHERE a.id < 20 AND b.id < 50")
+@query(f"SELECT a.id AS a, b.id AS b, {_dot('a.vec', 'b.vec')} AS product FROM assigned l JOIN v a ON a.id = l.id JOIN v b ON b.id = l.leader")
 def dot_pairs(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    a, b = v.where("id < 20").select(F.col("id").alias("a"), F.col("vec").alias("x")), v.where("id < 50").select(F.col("id").alias("b"), F.col("vec").alias("y"))
-    return F.broadcast(a).crossJoin(b).select("a", "b", V.dot("x", "y").alias("product"))
+    a, b = v.select(F.col("id").alias("a"), F.col("vec").alias("x")), v.select(F.col("id").alias("b"), F.col("vec").alias("y"))
+    return _pairs(v).select(F.col("id").alias("a"), F.col("leader").alias("b")).join(a, "a").join(b, "b").select("a", "b", V.dot("x", "y").alias("product"))
 
 
 @query(f"SELECT id, {_dot('vec', 'vec')} AS norm2 FROM v")
@@ -159,11 +170,11 @@ def sketch_project(spark, sf_dir):
     return _sketches(vectors(spark, sf_dir))
 
 
-@query(f"SELECT a.id AS p, b.id AS c, {_HASH} AS hash FROM sk a, sk b WHERE a.id < 20 AND b.id < 50")
+@query(f"SELECT a.id AS p, b.id AS c, {_HASH} AS hash FROM assigned l JOIN sk a ON a.id = l.id JOIN sk b ON b.id = l.leader")
 def residual_hash(spark, sf_dir):
-    s = _sketches(vectors(spark, sf_dir))
-    a, b = s.where("id < 20").select(F.col("id").alias("p"), F.col("sketch").alias("x")), s.where("id < 50").select(F.col("id").alias("c"), F.col("sketch").alias("y"))
-    return F.broadcast(a).crossJoin(b).select("p", "c", V.residual_hash("x", "y").alias("hash"))
+    v = vectors(spark, sf_dir)
+    pairs = _pairs(v).select(F.col("id").alias("p"), F.col("leader").alias("c"))
+    return knn.with_hash(pairs, _sketches(v), V.residual_hash("_sp", "_sc")).select("p", "c", "hash")
 
 
 @query("SELECT CAST(g AS BIGINT) AS visited, CASE WHEN g <= 0 OR g >= 64 THEN 1.0::DOUBLE ELSE g / 64.0::DOUBLE * (1.0::DOUBLE + 1.75::DOUBLE / sqrt(g::DOUBLE)) * (1.0::DOUBLE + 1.75::DOUBLE / sqrt(g::DOUBLE)) END AS ratio FROM range(0, 65, 8) AS t(g)")
@@ -297,11 +308,9 @@ def hashprune_ordered_whole(spark, sf_dir):
     return reduce.prune_ordered(_candidates(spark, sf_dir), 1000)
 
 
-@query("SELECT v.id, coalesce(list(c ORDER BY rank) FILTER (c IS NOT NULL), []) AS nbrs FROM v LEFT JOIN kept ON p = v.id AND v.id % 5 <> 0 GROUP BY v.id")
+@query("SELECT v.id, coalesce(list(c ORDER BY rank) FILTER (c IS NOT NULL), []) AS nbrs FROM v LEFT JOIN kept ON p = v.id GROUP BY v.id")
 def adjacency_rows(spark, sf_dir):
-    """Ids without candidates keep an empty row."""
-    kept = reduce.prune_nearest(_candidates(spark, sf_dir), L_MAX).where("p % 5 <> 0")
-    return reduce.adjacency(kept, vectors(spark, sf_dir))
+    return reduce.adjacency(reduce.prune_nearest(_candidates(spark, sf_dir), L_MAX), vectors(spark, sf_dir))
 
 
 @query("SELECT p, c, d2, family_support, reciprocal_support, rank_mass, best_rank FROM support")
@@ -334,7 +343,7 @@ def lune_candidates_topw(spark, sf_dir):
 
 @query("SELECT leaf, src, \"pivot\", victim, margin, pivot_rank, victim_rank FROM wit")
 def lune_witnesses(spark, sf_dir):
-    return reduce.lune_witnesses(_neighbours(spark, sf_dir), vectors(spark, sf_dir))
+    return _witnesses(spark, sf_dir)
 
 
 @query("SELECT src, victim, \"pivot\", key, place FROM keep_w")
@@ -385,7 +394,18 @@ def ads_leaf_agreement(spark, sf_dir):
     return report.agreement(knn.group_neighbours(v, KNN, epsilon=50.0, group=16, pruned_from=2), knn.group_neighbours(v, KNN), ("p", "c", "rank"))
 
 
-@query()
+_ROBUST = f""", rp AS (SELECT a.p, b.c AS victim, a.c AS "by", b.d2 / nullif({_d2("x.vec", "y.vec")}, 0) AS ratio FROM kept a JOIN kept b ON a.p = b.p AND a.c <> b.c JOIN v x ON x.id = a.c JOIN v y ON y.id = b.c),
+rs AS (SELECT p, map_from_entries(list((victim, one))) AS one, map_from_entries(list((victim, two))) AS two FROM (
+  SELECT p, victim, list("by") FILTER (ratio IS NULL OR ratio > 1.0::DOUBLE) AS one, list("by") FILTER (ratio IS NULL OR ratio > 1.2::DOUBLE) AS two FROM rp GROUP BY p, victim) GROUP BY p),
+rc AS (SELECT p, list(c ORDER BY d2, c) AS cands FROM kept GROUP BY p),
+r1 AS (SELECT rc.p, cands, two, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(cands, lambda c: [c])),
+  lambda acc, x: CASE WHEN len(acc) >= 4 THEN acc WHEN coalesce(list_has_any(one[x[1]], acc), false) THEN acc ELSE list_append(acc, x[1]) END) AS t FROM rc LEFT JOIN rs ON rc.p = rs.p),
+r2 AS (SELECT p, cands, list_reduce(list_prepend(t, list_transform(cands, lambda c: [c])),
+  lambda acc, x: CASE WHEN len(acc) >= 4 OR list_contains(acc, x[1]) THEN acc WHEN coalesce(list_has_any(two[x[1]], acc), false) THEN acc ELSE list_append(acc, x[1]) END) AS t FROM r1)
+SELECT p, list_slice(list_concat(t, list_filter(cands, lambda c: NOT list_contains(t, c))), 1, 4) AS nbrs FROM r2"""
+
+
+@query(_ROBUST)
 def robust_prune(spark, sf_dir):
     kept = reduce.prune_nearest(_candidates(spark, sf_dir), L_MAX)
     return reduce.prune_robust(kept, vectors(spark, sf_dir), 4)
@@ -457,16 +477,39 @@ def recall_by_width(spark, sf_dir):
     return hits
 
 
-@query(""", a AS (SELECT q.id AS query_id, b.id, row_number() OVER (PARTITION BY q.id ORDER BY D2, b.id) AS rank FROM v q, v b WHERE q.id < 20),
-f AS (SELECT query_id, id FROM (SELECT q.id AS query_id, b.id, row_number() OVER (PARTITION BY q.id ORDER BY D2, b.id) AS rank FROM v q, v b WHERE q.id < 20 AND b.id % 2 = 0) WHERE rank <= 10)
+@query(""", a AS (SELECT q.id AS query_id, b.id, row_number() OVER (PARTITION BY q.id ORDER BY D2, b.id) AS rank FROM v q, v b WHERE q.id % 100 = 0 AND q.id <> b.id),
+f AS (SELECT query_id, id FROM (SELECT q.id AS query_id, b.id, row_number() OVER (PARTITION BY q.id ORDER BY D2, b.id) AS rank FROM v q, v b WHERE q.id % 100 = 0 AND q.id <> b.id AND q.label = b.label) WHERE rank <= 10)
 SELECT count(DISTINCT a.query_id) AS queries, count(f.id) / (count(DISTINCT a.query_id) * 10.0::DOUBLE) AS recall FROM a LEFT JOIN f ON a.query_id = f.query_id AND a.id = f.id WHERE a.rank <= 10""".replace("D2", _d2("q.vec", "b.vec")))
 def recall_at_k(spark, sf_dir):
-    """Recall of a search that sees only even ids."""
-    v = vectors(spark, sf_dir)
-    asked = v.where("id < 20")
-    return stats.recall(knn.nearest(asked, v.where("id % 2 = 0"), 10), knn.nearest(asked, v, 10), 10)
+    """Recall of a search that looks only at the query's own label."""
+    v = _labelled(spark, sf_dir)
+    near = knn.group_neighbours(v.select(F.col("label").alias("leaf"), "id", "vec"), 10)
+    found = near.join(_asked(v).select(F.col("id").alias("p")), "p", "left_semi").select(F.col("p").alias("query_id"), F.col("c").alias("id"), "rank")
+    return stats.recall(found, knn.nearest(_asked(v), v, 10, skip_self=True), 10)
 
 
 @query("SELECT count(*) AS n, max(CASE WHEN i = least(n // 2, n - 1) THEN s END) AS p50, max(CASE WHEN i = least(CAST(floor(n * 0.99::DOUBLE + 0.5) AS BIGINT), n - 1) THEN s END) AS p99 FROM (SELECT CAST(id * 37 % 101 AS DOUBLE) AS s, row_number() OVER (ORDER BY id * 37 % 101) - 1 AS i, count(*) OVER () AS n FROM v)")
 def latency_percentiles(spark, sf_dir):
     return stats.latency(vectors(spark, sf_dir).select((F.col("id") * 37 % 101).cast("double").alias("seconds")))
+
+
+@query("SELECT count(*) AS nodes, 0::BIGINT AS too_long, 0::BIGINT AS loops, 0::BIGINT AS repeats, 0::BIGINT AS strangers FROM v")
+def build_graph_sound(spark, sf_dir):
+    """A built graph has a row for each vector, of bounded degree, without loops, repeats or unknown ids."""
+    v = vectors(spark, sf_dir)
+    nodes = build(v, SMALL).nodes
+    ends = nodes.select(F.explode("nbrs").alias("id")).join(v, "id", "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    count = lambda c: F.count(F.when(c, 1))
+    rows = nodes.agg(F.count(F.lit(1)).alias("nodes"), count(F.size("nbrs") > SMALL.max_degree).alias("too_long"), count(F.array_contains("nbrs", F.col("id"))).alias("loops"), count(F.size(F.array_distinct("nbrs")) < F.size("nbrs")).alias("repeats"))
+    return rows.crossJoin(F.broadcast(ends))  # one row each
+
+
+@query("SELECT count(*) AS queries, true AS ordered, true AS recalled FROM v WHERE id % 100 = 0")
+def beam_search_sound(spark, sf_dir):
+    """Searches answer every query, with distances that don't fall, and find nine tenths of the exact neighbours."""
+    v = vectors(spark, sf_dir)
+    g, asked = build(v, SMALL), _asked(v)
+    found = stored(search.beam_search(asked, g.nodes, v, [100], 10, g.start), "found")
+    falls = found.withColumn("_d", F.lag("d2").over(Window.partitionBy("query_id").orderBy("rank"))).agg(F.coalesce(F.min(F.col("d2") >= F.col("_d")), F.lit(True)).alias("ordered"))
+    recall = stats.recall(found.select("query_id", "id", "rank"), knn.nearest(asked, v, 10), 10)
+    return recall.crossJoin(F.broadcast(falls)).select("queries", "ordered", (F.col("recall") >= 0.9).alias("recalled"))  # one row each

@@ -44,11 +44,12 @@ def load(vectors: DataFrame, p: BuildParams, path: str) -> DataFrame:
 
 
 def load_or_build(vectors: DataFrame, p: BuildParams, path: str) -> DataFrame:
-    try:
-        return load(vectors, p, path)
-    except Exception:
+    """The kept leaves; built and kept where there are none yet. What is there is never overwritten: a difference is refused."""
+    spark = vectors.sparkSession
+    kept = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not kept.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(kept):
         save(partition(vectors, p), vectors, p, path)
-        return load(vectors, p, path)
+    return load(vectors, p, path)
 
 
 def trace(leaves: DataFrame, depth: int) -> DataFrame:

@@ -14,17 +14,18 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.TemporaryDirectory(prefix="vecloom-"))
     return f"file://{_local[0].name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read back; later plans start from the files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written as Parquet and read back; later plans start from the files, which live as long as the application."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def rows_per_task(spark: SparkSession, rows: int, each: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)

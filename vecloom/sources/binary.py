@@ -111,7 +111,8 @@ def read_matrix(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def append(first: DataFrame, spark: SparkSession, path: str, count: int | None = None, **options) -> DataFrame:
     """first with the rows of a file, numbered on from first's last id."""
-    start = (first.agg(F.max("id")).first()[0] or -1) + 1
+    last = first.agg(F.max("id")).first()[0]
+    start = 0 if last is None else last + 1
     more = read_matrix(spark, path, firstId=start, **options, **({} if count is None else {"limit": count}))
     return first.unionByName(more)
 
