@@ -265,6 +265,20 @@ def test_suffix_dedup_many_buckets(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in got} == {d: (n, k) for (d, _), (k, n, _) in zip(rows, want, strict=True)}
 
 
+def test_ranges_keep_order_and_spread_frequent_suffixes():
+    r = np.random.default_rng(2)
+    lead, g = r.integers(0, 6, 4000), r.integers(0, 5, 4000)
+    lead[:1500], g[:1500] = 3, 2
+    order = np.lexsort((g, lead))
+    at = order[np.arange(1, 20) * 200]
+    got = suffix_dedup._ranges(lead, g, np.arange(4000), (lead[at], g[at]))
+    for b in range(20):  # ranges are ordered, and only rows equal to a splitter occur in several
+        for c in range(b + 1, 20):
+            x, y = got == b, got == c
+            assert not x.any() or not y.any() or max(zip(lead[x], g[x], strict=True)) <= min(zip(lead[y], g[y], strict=True))
+    assert np.bincount(got).max() < 700
+
+
 def test_multikey_classes():
     r = np.random.default_rng(1)
     keys = r.integers(0, 3, (3, 300))

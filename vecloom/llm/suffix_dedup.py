@@ -5,11 +5,12 @@ is sparse: in every string of `length` bytes the smallest hash of its GRAM-byte
 substrings picks one suffix (its anchor), equal strings pick equal anchors at
 equal offsets, so all copies of a string meet at suffixes that begin alike.
 
-1. Anchored suffixes become rows (leading 3 bytes and a hash of the first GRAM
-   bytes, hash of the stretch of strings that share the anchor, place). Sampled
-   splitters range-partition them by these keys and then by place, so that even
-   a suffix that starts a third of all rows is spread over many buckets. Buckets
-   are sorted; neighbours with the same stretch mark it as repeated.
+1. Anchored suffixes become rows (leading 8 bytes, hash of the first GRAM bytes,
+   hash of the stretch of strings that share the anchor, place). Splitters drawn
+   from a sample of documents deal them to ranges by leading bytes, then by that
+   hash; a suffix that starts a third of all rows repeats among the splitters and is
+   spread over all of its ranges. Buckets are sorted; neighbours with the same
+   stretch mark it as repeated.
 2. Suffixes that begin alike but lie in differing stretches (edges of shared
    passages, edited copies) are few. Their bytes are fetched, range-partitioned
    by leading bytes again, and each bucket sorts all strings of its stretches by
@@ -46,7 +47,9 @@ GRAM = 80
 BUCKET_ROWS, BUCKET_SPANS = 200_000, 8_000
 _PLACE = 0xFFFFF
 
-ANCHORS = "k long, f long, d long, t long, start int, n int, anchor int"
+ANCHORS = "bucket int, lead long, g long, f long, d long, t long, start int, n int, anchor int"
+#: Sampled suffixes for each bucket.
+SAMPLES = 64
 MARKS = "kind int, k long, f long, d long, t long, start int, n int, anchor int"
 SPANS = "kind int, k long, d long, t long, start int, n int, anchor int, bytes binary"
 WINDOWS = "kind int, core long, d long, t long, start int, stop int, items array<struct<kind int, a long, b long, start int, stop int>>"
@@ -55,14 +58,17 @@ STRIDE = 8
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, k, f, start, count, distance from start to anchor) of the runs of strings that share an anchor; a block of at most 2**20 bytes."""
+    """(document, lead, g, f, start, count, distance from start to anchor) of the runs of strings that share an anchor; a block of at most 2**20 bytes.
+
+    lead: the 8 bytes at the anchor, as an integer of the same order; g: hash of the first `gram` ones; f: hash of the run's stretch.
+    """
     sums = V.prefix_sums(data)
     h = V.window_hash(sums, gram)
     w = length - gram + 1
     n = len(h) - w + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z, z
+        return z, z, z, z, z, z, z
     low = (h & ~np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while span * 2 <= w:
@@ -74,13 +80,12 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     inside = np.arange(n) + length <= off[doc + 1]
     p = np.flatnonzero(inside)
     if not len(p):
-        return p, p, p, p, p, p
+        return p, p, p, p, p, p, p
     at, doc = at[p], doc[p]
     cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     first, last, at, doc = p[cut], p[np.r_[cut[1:] - 1, len(p) - 1]], at[cut], doc[cut]
-    lead = (data[at].astype(np.uint64) << np.uint64(56)) | (data[at + 1].astype(np.uint64) << np.uint64(48)) | (data[at + 2].astype(np.uint64) << np.uint64(40))
-    k = lead | (h[at] >> np.uint64(24))
-    return doc, k.view(np.int64), V.span_hash(sums, first, last + length).view(np.int64), first - off[doc], last - first + 1, at - first
+    lead = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)
+    return doc, lead.view(np.int64), h[at].view(np.int64), V.span_hash(sums, first, last + length).view(np.int64), first - off[doc], last - first + 1, at - first
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -95,21 +100,50 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[in
                 yield i, part[s:e], np.array([0, e - s]), s
 
 
-def _anchor_rows(length: int, gram: int):
-    names = ["k", "f", "d", "t", "start", "n", "anchor"]
+def _ranges(lead: np.ndarray, g: np.ndarray, place: np.ndarray, split: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Range of each (lead, g) among sorted splitters; equal splitters share theirs by place."""
+    leads, gs = split
+    out, high = np.searchsorted(leads, lead, side="left"), np.searchsorted(leads, lead, side="right")
+    tied = np.flatnonzero(out < high)
+    lows = out[tied]
+    for low in np.unique(lows).tolist():
+        rows = tied[lows == low]
+        own = gs[low : high[rows[0]]]
+        first, last = np.searchsorted(own, g[rows], side="left"), np.searchsorted(own, g[rows], side="right")
+        out[rows] = low + np.where(last > first, first + 1 + place[rows] % np.maximum(last - first, 1), first)
+    return out.astype(np.int32)
+
+
+def _anchor_rows(length: int, gram: int, shared=None):
+    """Rows of anchored suffixes, by ranges if there are splitters."""
+    names = ["bucket", "lead", "g", "f", "d", "t", "start", "n", "anchor"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = shared.value if shared is not None else None
         for batch in batches:
             d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, off = V.arrow_text(batch.column(2))
             for i, part, o, s in _pieces(data, off, length):
-                doc, k, f, start, n, anchor = anchors(part, o, length, gram)
+                doc, lead, g, f, start, n, anchor = anchors(part, o, length, gram)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f), pa.array(d[i + doc]), pa.array(t[i + doc]), pa.array((start + s).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int32))], names)
+                    start = start + s
+                    bucket = np.zeros(len(doc), np.int32) if split is None else _ranges(lead, g, (t[i + doc] >> 8) + start, split)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(lead), pa.array(g), pa.array(f), pa.array(d[i + doc]), pa.array(t[i + doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int32))], names)
 
     return rows
 
 
+def _splitters(keyed: DataFrame, rows: int, buckets: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lead, g) between the buckets, from a sample of documents; about SAMPLES suffixes a bucket reach the driver."""
+    share = min(1.0, SAMPLES * buckets / max(rows, 1))
+    sample = keyed if share == 1 else keyed.where(F.pmod(F.xxhash64("t", "d"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = sample.mapInArrow(_anchor_rows(length, gram), ANCHORS).select("lead", "g").toArrow()
+    lead, g = found["lead"].to_numpy(), found["g"].to_numpy()
+    order = np.lexsort((g, lead))
+    at = order[(np.arange(1, buckets) * len(order)) // buckets] if len(order) else order
+    return lead[at], g[at]
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Group number of each row of sorted keys."""
     new = np.zeros(len(keys[0]), bool)
@@ -125,16 +159,19 @@ def _mark_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got or not sum(len(b) for b in got):
         return
     table = pa.Table.from_batches(got)
-    k, f, d, t, start, n, anchor = (table[c].to_numpy() for c in ("k", "f", "d", "t", "start", "n", "anchor"))
-    order = np.lexsort((start, d, f, k))
-    k, f, d, t, start, n, anchor = (c[order] for c in (k, f, d, t, start, n, anchor))
-    gk, g = _runs(k), _runs(k, f)
-    size = np.bincount(g)
-    first = np.r_[True, g[1:] != g[:-1]]
-    single = size[g] == 1
+    bucket, lead, g, f, d, t, start, n, anchor = (table[c].to_numpy() for c in ("bucket", "lead", "g", "f", "d", "t", "start", "n", "anchor"))
+    order = np.lexsort((start, d, f, g, lead, bucket))
+    bucket, lead, g, f, d, t, start, n, anchor = (c[order] for c in (bucket, lead, g, f, d, t, start, n, anchor))
+    gk, gf = _runs(bucket, lead, g), _runs(bucket, lead, g, f)
+    size = np.bincount(gf)
+    first = np.r_[True, gf[1:] != gf[:-1]]
+    single = size[gf] == 1
     variants = np.bincount(gk[first])
     open_k = (variants >= 2) & (np.bincount(gk, weights=single) > 0)
-    edge = (gk == 0) | (gk == gk[-1])
+    ends = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])  # several ranges may share a task
+    edge = np.isin(gk, np.r_[gk[ends], gk[np.r_[ends[1:] - 1, len(gk) - 1]]])
+    # from here on: three leading bytes and 40 bits of the hash
+    k = ((lead.view(np.uint64) ^ np.uint64(1 << 63)) & ~np.uint64((1 << 40) - 1) | (g.view(np.uint64) >> np.uint64(24))).view(np.int64)
     for kind, rows in ((0, ~single), (1, single & open_k[gk] & ~edge), (2, ~single & first & open_k[gk] & ~edge), (3, single & edge), (4, ~single & first & edge)):
         at = np.flatnonzero(rows)
         for i in range(0, len(at), 100_000):
@@ -249,9 +286,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text")).where(F.octet_length(text_col) >= length)
     size = keyed.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    rows = keyed.mapInArrow(_anchor_rows(length, gram), ANCHORS)
     per_anchor = (length - gram + 2) // 2
-    marks = rows.repartitionByRange(_spread(size // per_anchor, parts, BUCKET_ROWS), "k", "f", "d", "start").mapInArrow(_mark_bucket, MARKS)
+    buckets = _spread(size // per_anchor, parts, BUCKET_ROWS)
+    shared = spark.sparkContext.broadcast(_splitters(keyed, size // per_anchor, buckets, length, gram))  # 16 bytes a bucket
+    rows = keyed.mapInArrow(_anchor_rows(length, gram, shared), ANCHORS)
+    marks = rows.repartition(buckets, "bucket").mapInArrow(_mark_bucket, MARKS)
     marks = stored(marks, "suffix-marks", tasks=_spread(size // per_anchor, 1, BUCKET_ROWS))
 
     edges = marks.where("kind >= 3").groupBy("k", "f").agg(
@@ -267,9 +306,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     n = marks.where("kind IN (1, 2)").count()
     found = cut.repartitionByRange(_spread(n, parts, BUCKET_SPANS), "k", "d", "start").mapInArrow(_compare_bucket(length), WINDOWS)
     found = stored(found, "suffix-windows", tasks=_spread(n, 1, BUCKET_SPANS))
-    shared = found.where("kind = 1")
-    shared = shared.join(shared.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("core"), "core")
-    across = shared.select("d", "t", F.explode("items").alias("i")).select("d", "t", "i.*").groupBy("a", "b").agg(
+    cores = found.where("kind = 1").withColumn("salt", F.pmod(F.xxhash64("d", "t"), F.lit(16)).cast("int"))  # a frequent core is spread
+    often = cores.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("core", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    across = cores.join(often, ["core", "salt"]).select("d", "t", F.explode("items").alias("i")).select("d", "t", "i.*").groupBy("a", "b").agg(
         F.sum(F.when(F.col("kind") == 4, 2).otherwise(1)).alias("c"), F.collect_list(F.when(F.col("kind") == 3, F.struct("d", "t", "start", "stop"))).alias("singles"),  # at most one a bucket
     ).where("c >= 2").select(F.explode("singles").alias("s")).select("s.*")
 
@@ -317,7 +356,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join([*parts, text[place:]]) if parts else text)
                 gone.append(lost)
                 runs.append(count)
-            shas = [hashlib.sha256(x).hexdigest() for x in kept]
+            shas = [hashlib.sha256(x).hexdigest() for x in kept] if as_text else [None] * len(kept)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string())], schema.fieldNames())
 
-    return compact(joined.mapInArrow(cut, schema), scan_tasks(docs))
+    out = joined.mapInArrow(cut, schema)
+    return compact(out if as_text else out.withColumn("kept_sha256", F.sha2("kept", 256)), scan_tasks(docs))
