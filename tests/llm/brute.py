@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -153,3 +154,56 @@ def ppm(rows, order=7):
         return out - math.log10(max(1, 256 - len(gone)))
 
     return {d: (len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), total, sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in tokens(t)), sum(cost(*x) for x in coded(t))) for d, t, _ in rows}
+
+
+def grams(text, order, bits):
+    """Hash buckets of the character n-grams of a text, lower-cased in Latin, Greek and Cyrillic."""
+    low = [ord(c) + 32 * (0x41 <= ord(c) <= 0x5A or (0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7) or 0x391 <= ord(c) <= 0x3A9 or 0x410 <= ord(c) <= 0x42F) for c in text]
+    out = []
+    for i in range(len(low) - order + 1):
+        h = order * 0x9E3779B1 % 2**32
+        for c in low[i : i + order]:
+            h = (h ^ c) * 0x85EBCA6B % 2**32
+            h ^= h >> 15
+        out.append((h * 0xC2B2AE35 % 2**32) >> (32 - bits))
+    return out
+
+
+def languages(rows, orders=(1, 2, 3), bits=15, alpha=0.5):
+    """(language, posterior) of each row by multinomial naive Bayes; rows: (text, lang, train)."""
+    count, total, prior = defaultdict(Counter), Counter(), Counter()
+    for text, lang, train in rows:
+        if train and text is not None and lang is not None:
+            prior[lang] += 1
+            for o in orders:
+                count[lang].update(grams(text, o, bits))
+    for lang in prior:
+        total[lang] = sum(count[lang].values()) + alpha * 2**bits
+    out = []
+    for text, _, _ in rows:
+        if not any(unicodedata.category(c)[0] == "L" for c in text or "") or not prior:
+            out.append(("und", 0.0))
+            continue
+        own = Counter(g for o in orders for g in grams(text, o, bits))
+        log = {lang: math.log(prior[lang] / sum(prior.values())) + sum(n * math.log((count[lang][g] + alpha) / total[lang]) for g, n in own.items()) for lang in sorted(prior)}
+        best = max(log, key=lambda x: (log[x], -sorted(prior).index(x)))
+        out.append((best, 1 / sum(math.exp(v - log[best]) for v in log.values())))
+    return out
+
+
+def statistics(text):
+    """Statistics of a text that the quality rules ask for."""
+    t = text or ""
+    n, lines, found = len(t), t.split("\n"), re.split(r"[\x20\x09-\x0D]+", t)
+    share = lambda chars: sum(c in chars for c in t) / n if n else 0.0
+    return {
+        "chars": float(n), "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "symbols": share("#$%&*|!@^~<>{}[]=+_\\/"), "bars": share("|"), "stops": share(".,;:?"),
+        "lines": float(len(lines)), "fresh_lines": len(set(lines)) / len(lines), "words": float(len(found)), "fresh_words": len(set(found)) / len(found), "word_length": n / len(found),
+    }
+
+
+def quality(text, model):
+    """Score of a text by the rules of an ensemble."""
+    x = statistics(text)
+    total = model.bias + sum(w for r, w in zip(model.rules, model.weights, strict=True) if all((x[k] <= t) if low else (x[k] > t) for k, low, t in r.parts))
+    return 1 / (1 + math.exp(-total))

@@ -585,6 +585,46 @@ def test_quality_repeated_rows(spark):
     assert all(got[d] == q for d, _, q in good + bad)
 
 
+def test_statistics_against_brute(spark, messy, messy_rows):
+    stats = quality.statistics(F.col("text"))
+    got = messy.select("text", *[c.alias(k) for k, c in stats.items()]).collect()
+    assert all({k: r[k] for k in stats} == pytest.approx(brute.statistics(r["text"])) for r in got)
+
+
+def test_first_split_and_lasso():
+    """The first rule is the best of all splits; weights are at the minimum of the penalised loss."""
+    r = np.random.default_rng(4)
+    x = {"a": r.normal(size=400), "b": r.normal(size=400)}
+    y = (x["a"] + 0.3 * r.normal(size=400) > 0.4).astype(float)
+    first = quality.tree_rules(x, y, trees=1, depth=1)
+    gain = {}
+    for k, v in x.items():
+        for t in np.unique(np.quantile(v, np.linspace(0.01, 0.99, 48), method="lower")):
+            parts = [(0.5 - y)[m].sum() ** 2 / (0.25 * m.sum() + 1) for m in (v <= t, v > t) if m.sum() >= 5]
+            gain[k, float(t)] = sum(parts) if len(parts) == 2 else -1.0
+    assert [p[0] for p in first[0].parts] == [max(gain, key=gain.get)[0]] and first[0].parts[0][2] == max(gain, key=gain.get)[1]
+
+    z = np.column_stack([v > q for v in x.values() for q in (-0.5, 0.0, 0.5)]).astype(float)
+    w, bias = quality.lasso_logistic(z, y, 2e-3)
+    scale = np.sqrt(np.maximum(z.mean(axis=0) * (1 - z.mean(axis=0)), 1e-4))
+
+    def loss(w, bias):
+        m = z @ w + bias
+        return np.mean(np.logaddexp(0, m) - y * m) + 2e-3 * np.abs(w * scale).sum()
+
+    best = loss(w, bias)
+    assert all(loss(w + s * np.eye(6)[j] / scale[j], bias) >= best - 1e-7 for j in range(6) for s in (0.02, -0.02)) and min(loss(w, bias + s) for s in (0.02, -0.02)) >= best
+
+
+def test_language_bound_and_nulls(spark):
+    docs = spark.createDataFrame([(i, f"wort {i}", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs, bits=24)
+    model = langid.fit(docs, bits=10)
+    want = brute.languages([(f"wort {i}", f"l{i}", True) for i in range(5)], bits=10)
+    assert [(r["lang_pred"], round(r["score"], 4)) for r in langid.predict(docs, model).orderBy("doc_id").collect()] == [(x, round(p, 4)) for x, p in want]
+
+
 def test_rules_agree_with_columns(spark):
     docs = spark.createDataFrame([(i, prose(3 + i, i) + "!" * (i % 5)) for i in range(40)], "doc_id long, text string")
     stats = quality.statistics(F.col("text"))

@@ -9,7 +9,9 @@ import duckdb
 import pyarrow.parquet as pq
 import pytest
 
+from vecloom.llm import quality
 from vecloom.llm import queries as q
+from vecloom.llm.runtime import crc_mod
 
 from . import brute
 
@@ -60,6 +62,12 @@ def test_suffix_dedup(spark, docs):
     assert got == {r["doc_id"]: (len((r["text"] or "").encode()), n, runs, hashlib.sha256(k).hexdigest()) for r, (k, n, runs) in zip(docs, want, strict=True)}
 
 
+def test_language(spark, docs):
+    want = brute.languages([(r["text"], r["lang"], crc(r["doc_id"], 3) != 1) for r in docs])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in q.op4_language_id(spark, SF).collect()}
+    assert all(got[r["doc_id"]][0] == lang and got[r["doc_id"]][1] == pytest.approx(p, rel=1e-3, abs=1e-4) for r, (lang, p) in zip(docs, want, strict=True))
+
+
 def test_language_held_out(spark, docs):
     got = {r["doc_id"]: r for r in q.op4_language_id(spark, SF).collect()}
     held = [r for r in docs if crc(r["doc_id"], 3) == 1]
@@ -77,6 +85,17 @@ def test_ppm(spark, docs):
         assert r["held_out"] == (crc(r["doc_id"], 7) == 2)
 
 
+def test_quality(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels, where=crc_mod("doc_id", 5) != 0)
+    assert model.rules
+    got = {r["doc_id"]: r for r in q.op10_quality(spark, SF).collect()}
+    for r in docs:
+        p = brute.quality(r["text"], model)
+        g = got[r["doc_id"]]
+        assert g["score"] == pytest.approx(p) and g["predicted"] == int(p >= 0.3) and g["held_out"] == (crc(r["doc_id"], 5) == 0)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}

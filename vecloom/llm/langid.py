@@ -7,7 +7,8 @@ of languages) is broadcast, and texts are scored in blocks with numpy gathers.
 
 Null, empty, repeated: a text that is null or has no letter is `und` with score
 0; rows with null text or null language teach nothing; ties go to the language
-first in order; without any training rows all is `und`. Further columns stay; those named like
+first in order; without any training rows all is `und`. More languages than fit the bound
+of the model (2,048 at 15 bits) are refused; fewer bits hold more. Further columns stay; those named like
 the added ones are replaced.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .runtime import bounded_batches
+from .runtime import bounded_batches, stored
 
 #: The broadcast matrix may not be larger than this (languages x buckets x 4 bytes).
 MAX_MODEL_BYTES = 256 << 20
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lang", "bucket", "n"])
 
-    got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = stored(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "langid-counts")
     languages = tuple(sorted(r[0] for r in got.where(F.col("bucket") == size).select("lang").collect()))
     if len(languages) * size * 4 > MAX_MODEL_BYTES:
         raise ValueError(f"{len(languages)} languages x {size} buckets exceed the bound of the broadcast model; use fewer bits")
