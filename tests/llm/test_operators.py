@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.llm import chat, components, decontam, langid, mixing, near_dup, ppm, quality, suffix_dedup, topk, warc
+from vecloom.llm import chat, components, decontam, langid, mixing, near_dup, ppm, quality, runtime, suffix_dedup, topk, warc
 from vecloom.llm import vectext as V
 
 from . import brute
@@ -634,3 +634,13 @@ def test_rules_agree_with_columns(spark):
     rules = quality.tree_rules(x, y, trees=3)
     got = docs.select(*[F.sum(r.column(stats).cast("int")).alias(str(i)) for i, r in enumerate(rules)]).first()
     assert list(got) == [int(r.holds(x).sum()) for r in rules]
+
+
+def test_join_spread(spark, monkeypatch):
+    """Frequent keys are broadcast, the others shuffled; keys that the table lacks go."""
+    rows = [(k, i) for k, n in ((1, 50), (2, 3), (3, 1), (4, 2)) for i in range(n)]
+    df, table = spark.createDataFrame(rows, "k long, i long"), spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (9, "z")], "k long, x string")
+    want = sorted((k, i, "abc"[k - 1]) for k, i in rows if k < 4)
+    for frequent in (1, 2, 10_000):
+        monkeypatch.setattr(runtime, "FREQUENT", frequent)
+        assert sorted(tuple(r) for r in runtime.join_spread(df, table, ["k"], len(rows)).select("k", "i", "x").collect()) == want

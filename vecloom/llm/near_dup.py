@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import vectext as V
 from .components import components
-from .runtime import bounded_batches, compact, scan_tasks, stored
+from .runtime import bounded_batches, compact, join_spread, scan_tasks, stored
 
 SHINGLE = 5
 CHUNKS, WIDTH, B_BITS = 16, 4, 16
@@ -281,15 +281,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
     sets = stored(keyed.mapInArrow(_set_rows(k), SETS), "near-sets")
+    n_sets = sets.count()
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "t", "signature")).alias("m"))
     # the class id is its smallest id; texts of one id that differ are told apart by their hash
-    classes = stored(classes.select("s1", "s2", "n", "m.d", "m.t", "m.signature", F.xxhash64("m.d", "s1", "s2").alias("c")), "near-classes", sets.count())
+    classes = stored(classes.select("s1", "s2", "n", "m.d", "m.t", "m.signature", F.xxhash64("m.d", "s1", "s2").alias("c")), "near-classes", n_sets)
+    n_classes = classes.count()
     group = components(candidate_links(classes, parts), "near-candidates")
 
     member = classes.select("c", "d", "t", "n", "signature").join(group.select(F.col("node").alias("c"), F.col("label").alias("g")), "c")
     size = member.groupBy("g").agg(F.sum("n").alias("total"))
     blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    member = member.join(size, "g").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    member = join_spread(member, size, ["g"], n_classes).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
     member = stored(member.select("g", "c", "d", "t", "n", "signature", "blocks", "block"), "near-members", group.count())
     small = max(1, (member.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // (2 * BLOCK_SHINGLES))
     # a group of one block shares a task with others; in a larger one each pair of blocks is a task
@@ -301,9 +303,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
     reach = classes.select("s1", "s2", "n", "c", "d").join(joined, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c"))
     smallest = reach.groupBy("label").agg(F.min("d").alias("component"))
-    reach = reach.join(smallest, "label").select("s1", "s2", "n", "component", "label")
-    out = sets.select("d", "t", "s1", "s2", "n").join(reach, ["s1", "s2", "n"], "left")
-    return compact(out.select("d", "t", "n", F.coalesce("component", "d").alias("component"), "label"), scan_tasks(sets))
+    reach = join_spread(reach, smallest, ["label"], n_classes).select("s1", "s2", "n", "component", "label")
+    out = join_spread(sets.where("n > 0").select("d", "t", "s1", "s2", "n"), reach, ["s1", "s2", "n"], n_sets).select("d", "t", "n", "component", "label")
+    empty = sets.where("n = 0").select("d", "t", "n", F.col("d").alias("component"), F.lit(None).cast("long").alias("label"))
+    return compact(out.unionByName(empty), scan_tasks(sets))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 75) -> DataFrame:

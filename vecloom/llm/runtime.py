@@ -69,6 +69,23 @@ def scan_tasks(df: DataFrame, each: int = 32 << 20) -> int:
     return min(-(-size // each), 1 << 20)
 
 
+#: Keys that join_spread may broadcast.
+FREQUENT = 10_000
+
+
+def join_spread(df: DataFrame, table: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """df with the further columns of table, for the rows that have their keys there. Keys are unique in table and not null.
+
+    rows: a bound of df's rows. At most FREQUENT keys have a FREQUENT-th of that or more; their rows of table are
+    broadcast, so no task takes all rows of a frequent key. The other keys are shuffled.
+    """
+    often = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * FREQUENT >= rows).drop("_n")
+    few = table.join(often, keys, "left_semi").withColumn("_often", F.lit(True))
+    marked = df.join(F.broadcast(few), keys, "left")
+    rest = marked.where("_often IS NULL").select(*df.columns).join(table, keys)
+    return marked.where("_often").drop("_often").unionByName(rest)
+
+
 def written() -> int:
     """How many intermediate tables there have been, as a mark for release()."""
     return len(_tables)
