@@ -644,3 +644,16 @@ def test_join_spread(spark, monkeypatch):
     for frequent in (1, 2, 10_000):
         monkeypatch.setattr(runtime, "FREQUENT", frequent)
         assert sorted(tuple(r) for r in runtime.join_spread(df, table, ["k"], len(rows)).select("k", "i", "x").collect()) == want
+
+
+def test_near_duplicates_repeated_rows(spark, monkeypatch):
+    """A row that is repeated many times takes part in the comparison of its group once."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(5, " ".join(words))] * 200 + [(3, near), (8, "quite another text of six words"), (9, None), (9, "")]
+    seen = []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "dropDuplicates", lambda self, c, plain=type(docs).dropDuplicates: seen.append(plain(self, c)) or seen[-1])
+    got = near_dup.near_duplicates(docs)
+    assert sorted(set((r["doc_id"], r["component_id"]) for r in got.collect())) == [(3, 3), (5, 3), (8, 8), (9, 9)]
+    assert got.count() == len(rows) and seen[0].count() == 2

@@ -296,7 +296,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     small = max(1, (member.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // (2 * BLOCK_SHINGLES))
     # a group of one block shares a task with others; in a larger one each pair of blocks is a task
     one = F.array(F.struct(F.pmod(F.xxhash64("g"), F.lit(small)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    texts = V.packed(keyed).join(member.drop("n").hint("merge"), ["d", "t"])
+    # a row that repeats an id and its text is one set
+    texts = V.packed(keyed).join(member.drop("n").hint("merge"), ["d", "t"]).dropDuplicates(["d", "t"])
     dealt = texts.select("g", "c", "signature", "block", "z", "size", F.explode(F.when(F.col("blocks") == 1, one).otherwise(_block_pairs(F.col("g")))).alias("p")).select("g", "c", "signature", "block", "z", "size", "p.*")
     links = dealt.groupBy("task", "i", "j").applyInArrow(_confirm(k, percent), "a long, b long")
     joined = components(links, "near-links")
