@@ -14,8 +14,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
     Each round hooks every current root to the smallest label seen across its links, then halves all paths by
     pointer jumping until they are flat. Links within one component are dropped, so rounds shrink; their
-    number is logarithmic. Minima are pre-aggregated before shuffles and labels that many rows carry are broadcast,
-    so a node with a third of all links, or a component of a third of all nodes, is no task's alone.
+    number is logarithmic. Minima are pre-aggregated before shuffles and labels that many nodes carry are broadcast,
+    so a component of a third of all nodes is no task's alone; joins of links by a node with many are left to
+    adaptive execution to split.
     """
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     left = _stored(pairs, f"{name}-links")
@@ -31,12 +32,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         parent = stored(label.select("label").distinct().join(hooks, F.col("label") == F.col("root"), "left").select(F.col("label").alias("root"), F.coalesce("to", "label").alias("to")), f"{name}-parents")
         while True:
             jump = parent.select(F.col("root").alias("to"), F.col("to").alias("next"))
-            parent = stored(join_spread(parent, jump, ["to"], 2 * n), f"{name}-parents")
+            parent = stored(parent.join(jump, "to"), f"{name}-parents")
             changed = not parent.where("next <> to").isEmpty()
             parent = parent.select("root", F.col("next").alias("to"))
             if not changed:
                 break
-        up = lambda c, to: parent.select(F.col("root").alias(c), F.col("to").alias(to))
-        label = stored(join_spread(label, up("label", "to"), ["label"], 2 * n).select("node", F.col("to").alias("label")), f"{name}-labels")
-        left = join_spread(join_spread(left, up("a", "x"), ["a"], n), up("b", "y"), ["b"], n)
-        left = stored(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), f"{name}-links")
+        label = stored(join_spread(label, parent.withColumnRenamed("root", "label"), ["label"], 2 * n).select("node", F.col("to").alias("label")), f"{name}-labels")
+        up = parent.select(F.col("root").alias("_r"), "to")
+        left = left.join(up, F.col("a") == F.col("_r")).select(F.col("to").alias("a"), "b").join(up, F.col("b") == F.col("_r")).select("a", F.col("to").alias("b"))
+        left = stored(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{name}-links")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import vectext as V
 from .components import components
-from .runtime import bounded_batches, compact, join_spread, scan_tasks, stored
+from .runtime import FILE_ROWS, bounded_batches, compact, join_spread, scan_tasks, stored
 
 SHINGLE = 5
 CHUNKS, WIDTH, B_BITS = 16, 4, 16
@@ -284,7 +284,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     n_sets = sets.count()
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "t", "signature")).alias("m"))
     # the class id is its smallest id; texts of one id that differ are told apart by their hash
-    classes = stored(classes.select("s1", "s2", "n", "m.d", "m.t", "m.signature", F.xxhash64("m.d", "s1", "s2").alias("c")), "near-classes", n_sets)
+    classes = stored(classes.select("s1", "s2", "n", "m.d", "m.t", "m.signature", F.xxhash64("m.d", "s1", "s2").alias("c")), "near-classes", tasks=-(-n_sets // FILE_ROWS))
     n_classes = classes.count()
     group = components(candidate_links(classes, parts), "near-candidates")
 
@@ -304,7 +304,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
     reach = classes.select("s1", "s2", "n", "c", "d").join(joined, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c"))
     smallest = reach.groupBy("label").agg(F.min("d").alias("component"))
-    reach = join_spread(reach, smallest, ["label"], n_classes).select("s1", "s2", "n", "component", "label")
+    reach = stored(join_spread(reach, smallest, ["label"], n_classes).select("s1", "s2", "n", "component", "label"), "near-reach", n_classes)
     out = join_spread(sets.where("n > 0").select("d", "t", "s1", "s2", "n"), reach, ["s1", "s2", "n"], n_sets).select("d", "t", "n", "component", "label")
     empty = sets.where("n = 0").select("d", "t", "n", F.col("d").alias("component"), F.lit(None).cast("long").alias("label"))
     return compact(out.unionByName(empty), scan_tasks(sets))
