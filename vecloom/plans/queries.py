@@ -10,7 +10,8 @@ from ..functions.hashing import fixed_hyperplanes
 from ..operators import knn, reduce, report, sampling, search, stats
 from ..operators.partition import partition
 from ..params import BuildParams, leader_share
-from ..runtime import stored
+from ..runtime import delete_at_end, fresh_path, stored
+from ..sources import binary
 from .build import build
 
 QUERIES: dict = {}
@@ -513,3 +514,79 @@ def beam_search_sound(spark, sf_dir):
     falls = found.withColumn("_d", F.lag("d2").over(Window.partitionBy("query_id").orderBy("rank"))).agg(F.coalesce(F.min(F.col("d2") >= F.col("_d")), F.lit(True)).alias("ordered"))
     recall = stats.recall(found.select("query_id", "id", "rank"), knn.nearest(asked, v, 10), 10)
     return recall.crossJoin(F.broadcast(falls)).select("queries", "ordered", (F.col("recall") >= 0.9).alias("recalled"))  # one row each
+
+
+def _exported(v: DataFrame, **options) -> str:
+    path = fresh_path(v.sparkSession, "matrix")
+    binary.write_matrix(v, path, **options)
+    delete_at_end(v.sparkSession, path)
+    return path
+
+
+_PLACE = "SELECT row_number() OVER (ORDER BY id) - 1 AS id, vec FROM v"
+
+
+@query(_PLACE)
+def matrix_round_trip(spark, sf_dir):
+    """Vectors exported as one matrix file and read by ranges; ids are places in the file."""
+    return binary.read_matrix(spark, _exported(vectors(spark, sf_dir)))
+
+
+@query(f"SELECT id, vec FROM ({_PLACE}) WHERE id < 100")
+def matrix_limited(spark, sf_dir):
+    """The row limit of the reader is the feature."""
+    return binary.read_matrix(spark, _exported(vectors(spark, sf_dir)), limit=100)
+
+
+@query("SELECT count(*) AS n, max(len(vec))::BIGINT AS columns, 8::BIGINT AS begin FROM v")
+def matrix_metadata(spark, sf_dir):
+    return spark.createDataFrame([binary.metadata(_exported(vectors(spark, sf_dir)))], "n long, columns long, begin long")
+
+
+@query(f"SELECT id, vec FROM v UNION ALL SELECT id + (SELECT max(id) + 1 FROM v), vec FROM ({_PLACE})")
+def matrix_append(spark, sf_dir):
+    """A file's rows are numbered on from the last id."""
+    v = vectors(spark, sf_dir)
+    return binary.append(v, spark, _exported(v))
+
+
+@query(_PLACE)
+def raw_round_trip(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return binary.read_matrix(spark, _exported(v, layout="raw"), layout="raw", columns=v.agg(F.max(F.size("vec"))).first()[0])
+
+
+@query("SELECT row_number() OVER (ORDER BY id) - 1 AS id, list_transform(sketch, lambda x: CAST(x AS FLOAT)) AS vec FROM sk")
+def sketch_store(spark, sf_dir):
+    sketches = _sketches(vectors(spark, sf_dir)).withColumnRenamed("sketch", "vec")
+    return binary.read_matrix(spark, _exported(sketches, layout="sketch"), layout="sketch")
+
+
+@query("SELECT id FROM v WHERE id % 7 <> 0")
+def deleted_ids(spark, sf_dir):
+    """Vectors without those that a list of deleted ids names."""
+    v = vectors(spark, sf_dir)
+    gone = _exported(v.where("id % 7 = 0").select("id", F.array("id").alias("vec")), layout="sized", dtype="u32")
+    return v.join(binary.read_ids(spark, gone), "id", "left_anti").select("id")
+
+
+@query(f"""SELECT dense_rank() OVER (ORDER BY query_id) - 1 AS query_id, CAST(rank AS INTEGER) AS rank, id FROM (SELECT q.id AS query_id, b.id,
+  row_number() OVER (PARTITION BY q.id ORDER BY {_d2("q.vec", "b.vec")}, b.id) AS rank FROM v q, v b WHERE q.id % 100 = 0) WHERE rank <= 10""")
+def result_round_trip(spark, sf_dir):
+    """Search results exported as a matrix of ids and read as a ground truth; queries are numbered by their place."""
+    path = fresh_path(spark, "results")
+    binary.write_results(knn_exact_top10(spark, sf_dir), path, 10)
+    delete_at_end(spark, path)
+    return binary.read_truth(spark, path, 10)
+
+
+ORACLES["graph_round_trip"] = ORACLES["adjacency_rows"]
+
+
+@query()
+def graph_round_trip(spark, sf_dir):
+    """A neighbour graph exported as one file and read back. Its ids are 0..n-1, as the format has no others."""
+    path = fresh_path(spark, "graph")
+    n = binary.write_graph(stored(adjacency_rows(spark, sf_dir), "adjacency"), path, 0)
+    delete_at_end(spark, path)
+    return binary.read_graph(spark, path, n)[0]

@@ -21,11 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0].name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read back; later plans start from the files, which live as long as the application."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """What has been written to path lives as long as the application."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet and read back; later plans start from the files."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,7 +26,7 @@ GRAPH_HEAD = "<QIIQ"
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in path:
-        return pafs.LocalFileSystem(), path
+        return pafs.LocalFileSystem(), path.removeprefix("file:")
     return pafs.FileSystem.from_uri(path)
 
 
