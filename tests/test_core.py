@@ -223,6 +223,28 @@ def test_search_recall_and_rounds(spark):
         stats.recall(found, truth.where("rank < 3"), 5).collect()
 
 
+def test_entries_reach_every_row(spark):
+    """Two rings and a row that nothing links to: a search from one ring finds rows of all three, by either plan."""
+    n = 40
+    v = spark.createDataFrame([(i, [float(i % 20), 100.0 * (i // 20)]) for i in range(2 * n + 1)], "id long, vec array<float>")
+    g = spark.createDataFrame([(i, [i // n * n + (i + 1) % n, i // n * n + (i - 1) % n] if i < 2 * n else [0]) for i in range(2 * n + 1)], "id long, nbrs array<long>")
+    entries = search.entries(g, 3)
+    assert {3, 2 * n} <= {r["id"] for r in entries.collect()}
+    for limit in (0, search.GRAPH_BYTES):
+        found = search.beam_search(v.where("id in (5, 75, 80)"), g, v, [4], 1, 3, limit=limit, entries=entries)
+        assert sorted((r["query_id"], r["id"]) for r in found.collect()) == [(5, 5), (75, 75), (80, 80)]
+
+
+def test_width_is_fitted(spark):
+    """A path of links: neighbours of a row lie far along it, so the least width is too small."""
+    v, _ = random_vectors(spark, 200, 8)
+    g = spark.createDataFrame([(i, [(i + 1) % 200, (i - 1) % 200]) for i in range(200)], "id long, nbrs array<long>")
+    assert search.fitted_width(g, v, 400, 5, 0) == 400
+    width = search.fitted_width(g, v, 12, 5, 0)
+    found = search.beam_search(v, g, v, [width], 5, 0)
+    assert width > 12 and stats.recall(found, knn.nearest(v, v, 5), 5).first()["recall"] >= 0.95
+
+
 def test_ordered_equals_nearest_without_overflow(spark):
     v, _ = random_vectors(spark, 60)
     n = knn.group_neighbours(v.withColumn("leaf", F.col("id") % 2), 4)

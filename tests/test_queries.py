@@ -47,3 +47,16 @@ def test_searches_ask_for_every_hundredth_id(spark, monkeypatch):
     seen, nearest = [], q.knn.nearest
     monkeypatch.setattr(q.knn, "nearest", lambda asked, *a: seen.append({r["id"] for r in asked.collect()}) or nearest(asked, *a))
     assert all(0 < r["recall"] <= 1 for r in q.recall_by_width(spark, SF).collect()) and seen == [ids]
+
+
+def test_search_of_more_vectors_and_near_copies(spark, tmp_path):
+    """The least width doesn't find nine tenths here, and near copies lie about the medoid, where searches start."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(6000, 64))
+    x[rng.permutation(6000)[:200]] = x[0] + rng.normal(size=(200, 64)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(a) for a in v], i % 10) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in q.beam_search_sound(spark, str(tmp_path)).select("queries", "ordered", "recalled").collect()] == [(60, True, True)]

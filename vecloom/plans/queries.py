@@ -119,6 +119,14 @@ def _asked(v: DataFrame) -> DataFrame:
     return v.where("id % 100 = 0")
 
 
+def _searched(v: DataFrame, width: int) -> DataFrame:
+    """The ten nearest of every hundredth vector by a built graph; `width` is the least, more is fitted on a sample."""
+    g = build(v, SMALL)
+    entries = search.entries(g.nodes, g.start)
+    fitted = search.fitted_width(g.nodes, v, width, 10, g.start, entries)
+    return search.beam_search(_asked(v), g.nodes, v, [fitted], 10, g.start, entries=entries)
+
+
 def _shades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     wide = _wide(spark, sf_dir)
     return wide, reduce.lune_retained(_witnesses(spark, sf_dir), wide, 2)
@@ -461,9 +469,7 @@ def build_graph_lune(spark, sf_dir):
 
 @query()
 def beam_search(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    g = build(v, SMALL)
-    return search.beam_search(_asked(v), g.nodes, v, [40], 10, g.start)
+    return _searched(vectors(spark, sf_dir), 40)
 
 
 @query()
@@ -473,7 +479,7 @@ def recall_by_width(spark, sf_dir):
     g = build(v, SMALL)
     asked = _asked(v)
     truth = stored(knn.nearest(asked, v, 10), "truth")
-    found = stored(search.beam_search(asked, g.nodes, v, [10, 40, 100], 10, g.start), "found")
+    found = stored(search.beam_search(asked, g.nodes, v, [10, 40, 100], 10, g.start, entries=search.entries(g.nodes, g.start)), "found")
     hits = found.join(truth.select("query_id", "id"), ["query_id", "id"]).groupBy("width").agg((F.count(F.lit(1)) / F.lit(asked.count() * 10)).alias("recall"))
     return hits
 
@@ -509,10 +515,9 @@ def build_graph_sound(spark, sf_dir):
 def beam_search_sound(spark, sf_dir):
     """Searches answer every query, with distances that don't fall, and find nine tenths of the exact neighbours."""
     v = vectors(spark, sf_dir)
-    g, asked = build(v, SMALL), _asked(v)
-    found = stored(search.beam_search(asked, g.nodes, v, [100], 10, g.start), "found")
+    found = stored(_searched(v, 100), "found")
     falls = found.withColumn("_d", F.lag("d2").over(Window.partitionBy("query_id").orderBy("rank"))).agg(F.coalesce(F.min(F.col("d2") >= F.col("_d")), F.lit(True)).alias("ordered"))
-    recall = stats.recall(found.select("query_id", "id", "rank"), knn.nearest(asked, v, 10), 10)
+    recall = stats.recall(found.select("query_id", "id", "rank"), knn.nearest(_asked(v), v, 10), 10)
     return recall.crossJoin(F.broadcast(falls)).select("queries", "ordered", (F.col("recall") >= 0.9).alias("recalled"))  # one row each
 
 
